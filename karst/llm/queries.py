@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, records
+from . import licences, media, mixing, packing, quality, records, sharding, toxicity
 from .common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": lambda spark, sf_dir: packing.digest(documents(spark, sf_dir)),
+        "op3_quality_outliers": lambda spark, sf_dir: quality.digest(documents(spark, sf_dir)),
+        "op5_license_notices": lambda spark, sf_dir: licences.digest(documents(spark, sf_dir)),
+        "op6_toxicity_trees": lambda spark, sf_dir: toxicity.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+        "op7_hash_tree_shards": lambda spark, sf_dir: sharding.digest(documents(spark, sf_dir)),
+        "op8_mpeg_audio": lambda spark, sf_dir: media.digest(documents(spark, sf_dir)),
+        "op9_systematic_mix": lambda spark, sf_dir: mixing.digest(documents(spark, sf_dir)),
         "op10_binary_records": lambda spark, sf_dir: records.digest(documents(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_systematic_mix": mixing.SQL}
