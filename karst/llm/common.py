@@ -27,9 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables under the shared folder, written once so that every later reader sees the same rows."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    made: list[Scratch] = []
+
+    def __init__(self, spark: SparkSession, name: str, kept: bool = False):
+        """kept: release() leaves it."""
         self.spark = spark
         self.root = f"{shared_folder(spark)}/karst-{name}-{uuid.uuid4().hex}"
+        if not kept:
+            Scratch.made.append(self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -45,6 +50,12 @@ class Scratch:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Drops all scratch tables made so far; for callers that have written what they wanted from them."""
+    while Scratch.made:
+        Scratch.made.pop().drop()
+
+
 def buckets(spark: SparkSession) -> int:
     """How many even blocks hot groups are cut into: as many as the session's shuffles have partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, media, mixing, packing, quality, records, sharding, toxicity
+from . import licences, media, minhash, mixing, packing, quality, records, sharding, suffixes, toxicity
 from .common import documents
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_duplicates": lambda spark, sf_dir: minhash.digest(documents(spark, sf_dir)),
         "op2_best_fit_packing": lambda spark, sf_dir: packing.digest(documents(spark, sf_dir)),
         "op3_quality_outliers": lambda spark, sf_dir: quality.digest(documents(spark, sf_dir)),
+        "op4_repeated_substrings": lambda spark, sf_dir: suffixes.digest(documents(spark, sf_dir)),
         "op5_license_notices": lambda spark, sf_dir: licences.digest(documents(spark, sf_dir)),
         "op6_toxicity_trees": lambda spark, sf_dir: toxicity.digest(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
         "op7_hash_tree_shards": lambda spark, sf_dir: sharding.digest(documents(spark, sf_dir)),
