@@ -4,44 +4,63 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame. run() writes it
 reads it again as the next stage's docs. All stages but the last return the columns of documents; the last returns
 packed pieces with their ids and places.
 
-A stage begins by dropping what earlier stages left in the shared folder, since their results are written by then.
+A stage begins by dropping the scratch tables of the stage before it, whose result is written by then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from karst.llm import minhash, mixing, packing, quality, suffixes
-from karst.llm.common import Scratch, documents, release
+from karst.llm.common import Scratch, documents
+
+_left: list[Scratch] = []
+
+
+def _stage(f: Callable) -> Callable:
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            _left.pop().drop()
+        before = len(Scratch.made)
+        out = f(spark, docs, sf_dir)
+        _left.extend(Scratch.made[before:])
+        del Scratch.made[before:]
+        return out
+
+    return run_stage
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the robust outlier rule reject go."""
-    release(spark)
     return quality.keep(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays, that with the least doc_id."""
-    release(spark)
     return minhash.keep_one(docs)
 
 
+@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by repeated strings are cut out of the texts; all documents stay."""
-    release(spark)
     return suffixes.cut(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    release(spark)
     return mixing.mix(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as packed pieces."""
-    release(spark)
     return packing.pack_documents(docs)
 
 
