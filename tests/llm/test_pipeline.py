@@ -14,6 +14,7 @@ def test_stages_on_the_smallest_table(spark):
         assert rows.columns == docs.columns
         rows = op(rows)
     rows = rows.cache()
+    rows.count()
     packed = pipeline.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in rows.select("doc_id").distinct().collect()}
     assert packed.filter("piece = 0").count() == rows.count()
