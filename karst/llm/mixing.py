@@ -101,13 +101,13 @@ WITH d AS (
   SELECT *, 2.0::DOUBLE * source_size AS cap,
     CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s
 ), r AS (
-  SELECT *, row_number() OVER o AS at,
+  SELECT *, row_number() OVER o AS pos,
     coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS caps,
     sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
     sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE AS total
   FROM w WINDOW o AS (ORDER BY cap / w, source NULLS LAST)
 ), l AS (
-  SELECT arg_min((total - caps) / rest, at) AS level FROM r WHERE cap / w >= (total - caps) / rest
+  SELECT arg_min((total - caps) / rest, pos) AS level FROM r WHERE cap / w >= (total - caps) / rest
 ), t AS (
   SELECT source, source_size, least(cap, coalesce(w * level, cap)) AS target FROM r, l
 ), k AS (
