@@ -309,11 +309,13 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = 200_000) -> tuple
     n = buckets(spark)
     scratch = Scratch(spark, "suffixes")
     marks = scratch.write(_anchored(docs, length), "anchors")
-    twice = marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumnRenamed("anchor", "of")
+    # a table of its own, so that the join's two sides are plain shuffles and Spark can split a hot anchor's rows
+    twice = scratch.write(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumnRenamed("anchor", "of"), "twice")
     of_node = marks.join(twice, F.col("anchor") == F.col("of")).groupBy("node").agg(F.collect_set(F.struct("place", "anchor", "low", "high", "k")).alias("marks"))
     texts = _packed(docs).groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("z").alias("z"))
     suspects = scratch.write(texts.join(of_node, "node", "left").filter("marks IS NOT NULL OR k > 1"), "suspects")
     scratch.drop("anchors")
+    scratch.drop("twice")
     runs = _merged(_shards(suspects.filter("marks IS NOT NULL"), length, hot), n, length)
     spans = runs.groupBy("node").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = _cut(suspects.select("node", "k", "z").join(spans, "node", "left"), length)
