@@ -10,9 +10,9 @@ least the threshold are linked. Classes are connected components of the links.
 How links are found without the pairs of a group:
 1. Equal texts are one node. Only nodes have bands, and equal texts are never compared.
 2. In each bucket of a band every node is compared with the bucket's leader (its least node).
-3. Buckets whose nodes are by then all in one component are closed. In the others, nodes of different components whose
-   registers agree nearly as often as the threshold asks for are compared too; this repeats until nothing new is
-   linked. These buckets are compared in blocks, whose candidates are found within tasks, not as joined rows.
+3. Buckets whose nodes are by then all in one component are closed. In the others, all pairs of nodes in different
+   components whose registers agree nearly as often as the threshold asks for are compared as well, within tasks, which
+   give links, not pairs; large buckets are dealt out as pairs of blocks.
 
 Texts without words have no shingles and are linked to equal texts only. Null text counts as empty. Null doc_id
 counts as the largest when a class's id is its least doc_id. Repeated rows are equal texts. An empty table gives an
@@ -180,8 +180,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Labels spread along edges and along themselves (root of the root), so that rounds are few; each round is a table.
     """
-    both = scratch.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = scratch.write(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), f"{name}-0")
+    both = scratch.write(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}/edges")
+    labels = scratch.write(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), f"{name}/0")
     step = 0
     while True:
         step += 1
@@ -189,116 +189,121 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         lower = labels.join(near, labels.node == near.a, "left").select("node", "root", F.least("root", "near").alias("next"))
         jump = labels.select(F.col("node").alias("at"), F.col("root").alias("beyond"))
         now = lower.join(jump, lower.next == jump["at"], "left").select("node", F.least("next", "beyond").alias("root"), (F.least("next", "beyond") != F.col("root")).alias("moved"))
-        found = scratch.write(now, f"{name}-{step}")
+        found = scratch.write(now, f"{name}/{step}")
         moved = found.filter("moved").limit(1).count()
-        scratch.drop(f"{name}-{step - 1}")
+        scratch.drop(f"{name}/{step - 1}")
         labels = found.select("node", "root")
         if not moved:
             return labels
 
 
-# --------------------------------------------------------------------------- candidates left between components
+# --------------------------------------------------------------------------- links left between components
 
 
-def left_over(bands: DataFrame, nodes: DataFrame, labels: DataFrame, threshold: float, slack: float = 0.15, block: int = 2048, partners: int = 8) -> DataFrame:
-    """Pairs (a, b) that share a bucket, are in different components and agree in nearly enough registers.
+def _links(node: list, root: list, sig: np.ndarray, items: list, mine: np.ndarray, band: int, across: bool, threshold: float, least: int):
+    """Links between components among the nodes of one bucket (of one pair of its blocks, if `across`).
 
-    A bucket with more nodes than a block is compared block by block. Within a block all such pairs are found; of a
-    node and another component the `partners` that agree most are given, the rest in later rounds if these fail.
+    A pair is compared in the first band that it shares, so in one bucket only, and only while the links found so far
+    leave it in two components.
     """
-    comp = bands.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    _, label = np.unique(np.array([r.hex() for r in root]), return_inverse=True)
+    parent = np.arange(int(label.max()) + 1)
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size = np.fromiter(map(len, items), np.int64, len(items))
+    for i in range(len(node) - 1):
+        fits = (label[i + 1 :] != label[i]) & (np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i]))
+        if across:
+            fits &= mine[i + 1 :] != mine[i]
+        at = np.flatnonzero(fits) + i + 1
+        if not len(at):
+            continue
+        same = sig[at] == sig[i]
+        close = same.sum(1) >= least
+        at, same = at[close], same[close]
+        earlier = same.reshape(len(at), BANDS, ROWS)[:, :band].all(2).any(1)
+        for j in at[~earlier]:
+            if find(label[i]) == find(label[j]):
+                continue
+            small, large = (items[i], items[j]) if size[i] <= size[j] else (items[j], items[i])
+            found = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            shared = int((large[found] == small).sum())
+            if shared >= threshold * (size[i] + size[j] - shared) - 1e-9:
+                parent[find(label[i])] = find(label[j])
+                yield node[i], node[j]
+
+
+def left_over(bands: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float, slack: float = 0.15, block: int = 512) -> DataFrame:
+    """Links (a, b) of nodes that share a bucket but are in different components so far.
+
+    Pairs whose registers agree less often than the threshold less `slack` (four standard deviations) are left out, all
+    others are verified, within tasks: what comes out is links, fewer than nodes. A bucket with more nodes than a block is
+    dealt out as pairs of blocks.
+    """
+    comp = bands.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     sizes = comp.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("k")).filter("low != high").select(F.col("bucket").alias("open"), "k")
     n = F.ceil(F.col("k") / block).cast("int")
-    mine = F.pmod(F.xxhash64("node"), n).cast("int")
-    members = comp.join(sizes, F.col("bucket") == F.col("open")).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    tiled = members.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root")
-    rows = tiled.join(nodes.select(F.col("node").alias("at"), "n", "signature"), F.col("node") == F.col("at")).select("bucket", "x", "y", "node", "root", "n", "signature", "mine")
-    rows = rows.repartition(buckets(bands.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    members = comp.join(sizes, F.col("bucket") == F.col("open")).withColumn("mine", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    tiled = members.select("bucket", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root")
+    full = nodes.select("node", "signature").join(texts, "node").withColumnRenamed("node", "at")
+    rows = tiled.join(full, F.col("node") == F.col("at")).select("bucket", "band", "x", "y", "mine", "node", "root", "signature", "text")
+    rows = rows.repartition(buckets(bands.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
     least = int((threshold - slack) * REGISTERS)
 
-    def compare(group: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(group)
-        node, root, mine = (table.column(c).to_pylist() for c in ("node", "root", "mine"))
-        x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        size = table.column("n").to_numpy()
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u4").reshape(len(node), -1)
-        _, comp_of = np.unique(np.array([r.hex() for r in root]), return_inverse=True)
-        block_of = np.array(mine)
-        for i in range(len(node) - 1):
-            rest = slice(i + 1, None)
-            fits = (comp_of[rest] != comp_of[i]) & (np.minimum(size[rest], size[i]) >= threshold * np.maximum(size[rest], size[i]))
-            if x != y:
-                fits &= block_of[rest] != block_of[i]
-            at = np.flatnonzero(fits) + i + 1
-            if not len(at):
-                continue
-            same = (sig[at] == sig[i]).sum(1)
-            at, same = at[same >= least], same[same >= least]
-            if len(at) > partners:
-                order = np.lexsort((-same, comp_of[at]))
-                at = at[order]
-                start = np.flatnonzero(np.append(True, comp_of[at][1:] != comp_of[at][:-1]))
-                place = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
-                at = at[place < partners]
-            for j in at:
-                yield (node[i], node[j]) if node[i] < node[j] else (node[j], node[i])
-
     def run(batches):
-        def give(group):
-            found = sorted(set(compare(group)))
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.binary()), pa.array([p[1] for p in found], pa.binary())], ["a", "b"])
-
         key, group = None, []
+
+        def give():
+            found = list(_links([g[0] for g in group], [g[1] for g in group], np.stack([g[2] for g in group]), [g[3] for g in group], np.array([g[4] for g in group]), group[0][5], key[1] != key[2], threshold, least)) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
+
         for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "x", "y")), strict=True))
-            start = 0
-            for i in range(1, len(keys) + 1):
-                if i == len(keys) or keys[i] != keys[start]:
-                    if keys[start] != key and group:
-                        yield give(group)
-                        group = []
-                    key = keys[start]
-                    group.append(batch.slice(start, i - start))
-                    start = i
+            for part in slices(batch, "text", 4 << 20):
+                row, item, _ = sets(*utf8(part.column("text")))
+                bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+                columns = [part.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "root", "signature", "mine", "band")]
+                for i, (bucket, x, y, node, root, signature, mine, band) in enumerate(zip(*columns, strict=True)):
+                    if (bucket, x, y) != key:
+                        if group:
+                            yield give()
+                        key, group = (bucket, x, y), []
+                    group.append((node, root, np.frombuffer(signature, "<u4"), item[bounds[i] : bounds[i + 1]].copy(), mine, band))
         if group:
-            yield give(group)
+            yield give()
 
-    return rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
 # --------------------------------------------------------------------------- classes
 
 
-def classes(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD, rounds: int = 4) -> DataFrame:
+def classes(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """The columns of signed() and uid, class (of the least doc_id and uid of its texts)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
     rows = scratch.write(signed(docs, keep).withColumn("uid", F.monotonically_increasing_id()), "signed")
     own = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.col("uid").alias("uid"))
     first = rows.groupBy("node").agg(F.min(own).alias("first"))
-    nodes = scratch.write(rows.join(first.select(F.col("first.uid").alias("chosen")), F.col("uid") == F.col("chosen"), "left_semi").select("node", "n", "bands", "signature"), "nodes")
-    bands = nodes.select("node", F.explode("bands").alias("bucket"))
+    nodes = scratch.write(rows.join(first.select(F.col("first.uid").alias("chosen")), F.col("uid") == F.col("chosen"), "left_semi").select("node", "bands", "signature"), "nodes")
+    bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("leader")).filter("k > 1").select(F.col("bucket").alias("of"), "leader")
-    joined = bands.join(shared, F.col("bucket") == F.col("of"))
-    together = scratch.write(joined.select("bucket", "node"), "bands")
-    pairs = scratch.write(joined.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs-0")
+    joined = scratch.write(bands.join(shared, F.col("bucket") == F.col("of")).select("bucket", "band", "node", "leader"), "bands")
+    pairs = scratch.write(joined.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     texts = text_of_nodes(docs)
-    links = scratch.write(verified(pairs, texts, threshold), "links-0")
-    tried = pairs
-    labels = components(links, scratch, "components-0")
-    for k in range(1, rounds + 1):
-        more = left_over(together, nodes, labels, threshold)
-        more = scratch.write(more.join(tried, ["a", "b"], "left_anti"), f"pairs-{k}")
-        if not more.limit(1).count():
-            break
-        new = scratch.write(verified(more, texts, threshold), f"links-{k}")
-        tried = tried.unionByName(more)
-        if new.limit(1).count():
-            links = links.unionByName(new)
-            labels = components(links, scratch, f"components-{k}")
+    links = scratch.write(verified(pairs, texts, threshold), "links")
+    labels = components(links, scratch, "led")
+    more = scratch.write(left_over(joined.drop("leader"), nodes, texts, labels, threshold), "more")
+    labels = components(links.unionByName(more), scratch, "all")
     rooted = first.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("class")).withColumnRenamed("root", "of")
     table = scratch.write(rooted.join(least, F.col("root") == F.col("of")).select(F.col("node").alias("at"), "class"), "classes")
+    for done in ("nodes", "bands", "pairs", "links", "more", "led", "all"):
+        scratch.drop(done)
     return rows.join(table, F.col("node") == F.col("at")).drop("at")
 
 
