@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +95,23 @@ def gapless(df: DataFrame, group: list[str], order: list, block, name: str, star
     )
 
 
+def tidied(work: Callable) -> Callable:
+    """A function of Arrow batches that gives freed memory back to the system when it is done: Python workers are kept
+    for later tasks, and would hold it meanwhile."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 # --------------------------------------------------------------------------- UTF-8 buffers
 
 U = np.uint64

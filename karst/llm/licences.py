@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, tidied, utf8
 
 #: Base phrases, as words, and their labels.
 PHRASES = {
@@ -170,7 +170,7 @@ def scan(docs: DataFrame, notices: tuple = NOTICES, rate: float = 0.09) -> DataF
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), *columns], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {COLUMNS}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), f"doc_id long, {COLUMNS}")
 
 
 def spans(docs: DataFrame, **options) -> DataFrame:

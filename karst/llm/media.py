@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, slices, tidied
 
 #: Fixed values of the format: kilobits a second by version 1 or 2, layer and index; samples a second by version.
 BITRATES = {
@@ -231,7 +231,7 @@ def encode(docs: DataFrame) -> DataFrame:
                     media.append(store(data.ljust(max(1, -(-len(data) // UNIT)) * UNIT), len(data)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_bytes long, media binary")
 
 
 FEATURES = "samples long, rate int, duration_us long, frames int, table string, table_frames int, bad_frames int, skipped long, bitrates map<int,int>, seek array<long>"
@@ -260,7 +260,7 @@ def describe(rows: DataFrame) -> DataFrame:
                 columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns, pa.array(payloads, pa.binary())], [*part.schema.names, *names, "payload"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, Scratch, U, buckets, mix, prefix, range_hash, shingles, slices, utf8, words
+from .common import SPACED, U, Scratch, buckets, mix, prefix, range_hash, shingles, slices, tidied, utf8, words
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -121,7 +121,7 @@ def signed(docs: DataFrame, keep: list[str]) -> DataFrame:
                 signature = [x.tobytes() for x in (found >> U(32)).astype("<u4")]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(signature, pa.binary())], schema.names)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(tidied(run), schema)
 
 
 # --------------------------------------------------------------------------- verification
@@ -169,7 +169,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                         out_b.append(node[i])
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
 
-    return rows.select("a", "salt", "side", "node", "text").mapInArrow(run, "a binary, b binary")
+    return rows.select("a", "salt", "side", "node", "text").mapInArrow(tidied(run), "a binary, b binary")
 
 
 # --------------------------------------------------------------------------- components
@@ -276,7 +276,7 @@ def left_over(bands: DataFrame, nodes: DataFrame, texts: DataFrame, labels: Data
         if group:
             yield give()
 
-    return rows.mapInArrow(run, "a binary, b binary")
+    return rows.mapInArrow(tidied(run), "a binary, b binary")
 
 
 # --------------------------------------------------------------------------- classes

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, buckets, gapless, slices
+from .common import Scratch, buckets, gapless, slices, tidied
 from .tokens import Encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -62,7 +62,7 @@ def cut_documents(docs: DataFrame, path: str | None = None, end_id: int = 0, cap
                         data.append(own[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary())], PIECES.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidied(cut), PIECES)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACED, Scratch, U, mix, prefix, range_hash, shingles, slices, utf8, words
+from .common import SPACED, U, Scratch, mix, prefix, range_hash, shingles, slices, tidied, utf8, words
 
 #: The statistics' names and the least scale of each, so that one that hardly varies in a group rejects nothing by itself.
 STATISTICS = (
@@ -118,7 +118,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(counts[c], pa.int64()) for c in COUNTS), v], schema.names)
 
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return read.mapInArrow(run, schema).withColumn("base_failed", failed)
+    return read.mapInArrow(tidied(run), schema).withColumn("base_failed", failed)
 
 
 # --------------------------------------------------------------------------- chi-square, for an even number of degrees

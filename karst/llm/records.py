@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, buckets, slices
+from .common import Scratch, buckets, slices, tidied
 from .tokens import Encoder, tokenizer_path
 
 #: The reversed Castagnoli polynomial and the mask's constant.
@@ -162,7 +162,7 @@ def write_records(docs: DataFrame, root: str, path: str | None = None, end_id: i
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInArrow(write, MANIFEST).write.parquet(f"{root}/manifest")
+    dealt.mapInArrow(tidied(write), MANIFEST).write.parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 
 
@@ -204,7 +204,7 @@ def read_records(spark: SparkSession, root: str, seed: int | None = None) -> Dat
                         i = j
 
     n = max(1, manifest.count())
-    return files.select("part", "file", "base").repartition(n).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return files.select("part", "file", "base").repartition(n).mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U, buckets, mix, prefix, range_hash, slices, utf8
+from .common import U, Scratch, buckets, mix, prefix, range_hash, slices, tidied, utf8
 
 LENGTH = 200
 GRAM = 48
@@ -172,7 +172,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                 parts = [text[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(p).digest() for p in parts], pa.binary()), pa.array([squeeze(p) for p in parts], pa.binary())], ["node", "z"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node binary, z binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "node binary, z binary")
 
 
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([node, pa.array((place - at[:-1][row]).astype(np.int32)), pa.array(found.view(np.int64)), pa.array((place - last).astype(np.int16)), pa.array((place - first).astype(np.int16))], ["node", "place", "anchor", "low", "high"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text")).mapInArrow(run, "node binary, place int, anchor long, low short, high short")
+    return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text")).mapInArrow(tidied(run), "node binary, place int, anchor long, low short, high short")
 
 
 def _unpacked(column: pa.Array) -> list[bytes]:
@@ -221,7 +221,7 @@ def _shards(texts: DataFrame, length: int, hot: int) -> DataFrame:
                 keys = sorted(found)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.binary()), pa.array([x[2] for x in keys], pa.binary()), pa.array([[{"node": n, "place": p} for n, p in found[x]] for x in keys], kind)], ["anchor", "before", "after", "at"])
 
-    return texts.select("node", "z", "marks").mapInArrow(run, f"anchor long, before binary, after binary, at array<{OCCURRENCE}>")
+    return texts.select("node", "z", "marks").mapInArrow(tidied(run), f"anchor long, before binary, after binary, at array<{OCCURRENCE}>")
 
 
 def _merged(shards: DataFrame, n: int, length: int, batch_rows: int = 20_000) -> DataFrame:
@@ -266,7 +266,7 @@ def _merged(shards: DataFrame, n: int, length: int, batch_rows: int = 20_000) ->
         if held:
             yield from solve(pa.Table.from_batches(held))
 
-    return shards.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(run, "node binary, begin int, end int")
+    return shards.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(tidied(run), "node binary, begin int, end int")
 
 
 def united(spans) -> list[tuple[int, int]]:
@@ -300,7 +300,7 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
                     out.append((len(text), len(text) - len(kept), len(runs), kept))
                 yield pa.RecordBatch.from_arrays([part.column("node"), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3)), pa.array([o[3] for o in out], pa.binary())], ["node", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return texts.mapInArrow(run, RESULT)
+    return texts.mapInArrow(tidied(run), RESULT)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, hot: int = 200_000) -> tuple[DataFrame, DataFrame]:
@@ -341,7 +341,7 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kept = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(kept, pa.string())], ["at", "cut_"])
 
-    fresh = changed.mapInArrow(whole, "at binary, cut_ string")
+    fresh = changed.mapInArrow(tidied(whole), "at binary, cut_ string")
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}_") for i, c in enumerate(names)], _node(docs).alias("node"))
     joined = rows.join(fresh, F.col("node") == F.col("at"), "left")
     text = F.coalesce(F.col("cut_"), F.col(f"c{names.index('text')}_").cast("string"))

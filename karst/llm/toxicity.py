@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, U, prefix, range_hash, slices, utf8, words
+from .common import U, Scratch, prefix, range_hash, slices, tidied, utf8, words
 
 #: Plain English insults, and second persons of four languages.
 INSULTS = ("clown", "disgusting", "dumb", "fool", "hate", "idiot", "idiots", "imbecile", "loser", "losers", "moron", "morons", "pathetic", "scum", "stupid", "trash", "ugly", "useless", "vile", "worthless")
@@ -170,7 +170,7 @@ def lexicon(taught: DataFrame, most: int = 400, lift: float = 6.0, support: floa
     if not p or p == n:
         return np.empty(0, U), np.empty(0)
     odds = F.log((F.col("pos") + 0.5) / F.lit(p + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n - p + 1.0))
-    found = taught.select("text", "label").mapInArrow(count, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    found = taught.select("text", "label").mapInArrow(tidied(count), "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     found = found.filter(F.col("pos") >= max(3, support * p / 4)).withColumn("odds", odds).filter(F.col("odds") >= float(np.log(lift)))
     rows = found.orderBy((F.col("odds") * F.sqrt("pos")).desc(), "term").limit(most).collect()  # a bounded lexicon
     keys = np.array([r["term"] for r in rows], np.int64).view(U)
@@ -189,7 +189,7 @@ def measured(docs: DataFrame, keys: np.ndarray, weights: np.ndarray) -> DataFram
                 f = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(x).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), f], ["doc_id", "f"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, f array<double>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, f array<double>")
 
 
 def score(docs: DataFrame, labels: DataFrame, bound: int = 60_000, trees: int = 25, depth: int = 3, step: float = 0.3, seed: int = 11) -> DataFrame:
