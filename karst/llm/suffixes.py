@@ -16,8 +16,9 @@ of the texts' UTF-8 bytes; they don't cross texts.
    reaches past the anchor are resolved and leave.
 4. The intervals of a text are united and cut out.
 
-Equal texts are one text with a count: with two or more copies, every window of theirs repeats. An anchor with more than
-`hot` occurrences is dealt out by whole windows instead, so no task holds more than that many of one anchor.
+Equal texts are one text with a count: with two or more copies, every window of theirs repeats. The
+windows of an anchor with more than `hot` occurrences are counted instead (_counted), so no task holds more than that
+many of one anchor.
 
 Null text counts as empty; texts shorter than `length` lose nothing. Repeated rows are copies. An empty table gives an
 empty result. Extra columns are kept by cut() and ignored by digest().
@@ -213,17 +214,42 @@ def _shards(texts: DataFrame, length: int, hot: int) -> DataFrame:
                         p, low, high = m["place"], m["low"], m["high"]
                         if m["k"] <= hot:
                             found.setdefault((m["anchor"], text[p - high : p], text[p : p - low + length]), []).append((node, p))
-                        else:
-                            for d in range(low, high + 1):
-                                window = text[p - d : p - d + length]
-                                key = int.from_bytes(hashlib.md5(window).digest()[:8], "little", signed=True)
-                                found.setdefault((key, window[:d], window[d:]), []).append((node, p))
                 keys = sorted(found)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.binary()), pa.array([x[2] for x in keys], pa.binary()), pa.array([[{"node": n, "place": p} for n, p in found[x]] for x in keys], kind)], ["anchor", "before", "after", "at"])
 
     return texts.select("node", "z", "marks").mapInArrow(tidied(run), f"anchor long, before binary, after binary, at array<{OCCURRENCE}>")
 
 
+def _frequent(texts: DataFrame, length: int, hot: int) -> DataFrame:
+    """window, node, begin: the digest and the place of each window of the anchors with more than `hot` occurrences."""
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 16) for i in range(0, batch.num_rows, 16)):
+                window, owner, begin = [], [], []
+                for node, text, marks in zip(part.column("node").to_pylist(), _unpacked(part.column("z")), part.column("marks").to_pylist(), strict=True):
+                    for m in marks:
+                        if m["k"] > hot:
+                            starts = range(m["place"] - m["high"], m["place"] - m["low"] + 1)
+                            window += [hashlib.md5(text[b : b + length]).digest() for b in starts]
+                            owner += [node] * len(starts)
+                            begin += starts
+                yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), pa.array(owner, pa.binary()), pa.array(begin, pa.int32())], ["window", "node", "begin"])
+
+    return texts.filter(F.exists("marks", lambda m: m["k"] > hot)).select("node", "z", "marks").mapInArrow(tidied(run), "window binary, node binary, begin int")
+
+
+def _counted(texts: DataFrame, scratch: Scratch, length: int, hot: int) -> DataFrame:
+    """node, begin, end: the repeated windows of frequent anchors, whose occurrences no task could hold together.
+
+    Windows are counted with partial sums, and the counts, a table of its own, meet the windows in a join whose hot keys
+    Spark splits.
+    """
+    windows = scratch.write(_frequent(texts, length, hot), "windows")
+    several = scratch.write(windows.groupBy("window").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("window").alias("of")), "several")
+    return windows.join(several, F.col("window") == F.col("of")).select("node", "begin", (F.col("begin") + length).alias("end"))
+
+
 def _merged(shards: DataFrame, n: int, length: int, batch_rows: int = 20_000) -> DataFrame:
     """node, begin, end: the bytes of repeated windows."""
 
@@ -316,7 +342,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = 200_000) -> tuple
     suspects = scratch.write(texts.join(of_node, "node", "left").filter("marks IS NOT NULL OR k > 1"), "suspects")
     scratch.drop("anchors")
     scratch.drop("twice")
-    runs = _merged(_shards(suspects.filter("marks IS NOT NULL"), length, hot), n, length)
+    marked = suspects.filter("marks IS NOT NULL")
+    runs = _merged(_shards(marked, length, hot), n, length)
+    if not marked.filter(F.exists("marks", lambda m: m["k"] > hot)).isEmpty():
+        runs = runs.unionByName(_counted(marked, scratch, length, hot))
     spans = runs.groupBy("node").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = _cut(suspects.select("node", "k", "z").join(spans, "node", "left"), length)
     return cut, suspects.select("node")
