@@ -1,11 +1,12 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A text is a set of shingles of five words (one shingle of all its words if it has fewer), weighted by how often they
-occur. Shingles arrive as Poisson processes with their weights as rates; each arrival goes to one of m registers, and a
-register keeps the shingle that arrived first. A shingle's process stops once its next arrival is later than all
-registers of its text (early termination). Two texts agree in a register with the probability Jaccard of their
-weighted shingles. Bands of registers give candidates, and texts whose sets of shingles have a Jaccard similarity of at
-least the threshold are linked. Classes are connected components of the links.
+A text is a set of shingles of five words (one shingle of all its words if it has fewer). Shingles arrive as Poisson
+processes with their weights as rates; each arrival goes to one of m registers, and a register keeps the shingle that
+arrived first. A shingle's process stops once its next arrival is later than all registers of its text (early
+termination). Two texts agree in a register with the probability Jaccard of their weighted shingles; every distinct
+shingle has weight 1, however often it occurs, so that is the Jaccard similarity of their sets, by which they are
+verified too. Bands of registers give candidates, and texts whose sets of shingles have a Jaccard similarity of at least
+the threshold are linked. Classes are connected components of the links.
 
 How links are found without the pairs of a group:
 1. Equal texts are one node. Only nodes have bands, and equal texts are never compared.
@@ -111,8 +112,8 @@ def signed(docs: DataFrame, keep: list[str]) -> DataFrame:
             for part in slices(batch, "text", 4 << 20):
                 raw, at = utf8(part.column("text"))
                 n = part.num_rows
-                row, item, weight = sets(raw, at)
-                found = registers(row, item, weight, n)
+                row, item, _ = sets(raw, at)
+                found = registers(row, item, np.ones(len(row)), n)
                 size = np.bincount(row, minlength=n)
                 text = raw.tobytes()
                 node = [hashlib.md5(text[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

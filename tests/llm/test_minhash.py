@@ -94,3 +94,18 @@ def test_registers_estimate_the_probability_jaccard():
     raw, at = utf8(pa.array(["a b c d e f", "a b", ""]))
     row, item, count = minhash.sets(raw, at)
     assert row.tolist() == [0, 0, 1] and count.tolist() == [1, 1, 1]
+
+
+def test_copies_that_differ_in_how_often_a_line_repeats(spark):
+    """Their sets of shingles are alike however far apart the counts are."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(20):
+        body, line = prose(rng, 200), prose(rng, 8)
+        texts += [" ".join([body] + [line] * k) for k in (3, 30, 120)]
+        texts.append(" ".join([edited(rng, body, 2)] + [line] * 60))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(4)
+    got = sorted(map(tuple, minhash.digest(docs).collect()))
+    assert got == sorted(brute(rows))
+    assert len({c for _, c in got}) == 20
