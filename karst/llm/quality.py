@@ -2,8 +2,9 @@
 
 Each text has a vector of transformed statistics. For each language and source, the minimum covariance determinant
 gives a location and a scatter that outliers don't pull: from two starts (medians and deviations from them; the same with
-the correlations of squashed scores), concentration steps refit to the three quarters of rows that are nearest, and
-the fit with the smaller determinant is refit once to all rows that it doesn't call outlying. A row is rejected if its
+the correlations of squashed scores), concentration steps refit to the half of the rows that are nearest, (n + p + 1) / 2
+of n rows with p statistics, so that junk may make up nearly half of a group; and the fit with the smaller determinant is
+refit once to all rows that it doesn't call outlying. A row is rejected if its
 Mahalanobis distance from its group's fit is beyond a chi-square quantile, or by the base rules.
 
 A step is one aggregation: rows are counted and summed up by group and by bin of their distance, which is combined
@@ -174,17 +175,14 @@ def _joined(rows: DataFrame, fits: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _step(rows: DataFrame, fits: DataFrame, h: float | None, within: float | None = None) -> DataFrame:
-    """Fits to the nearest share h of each group's rows, or to those within a squared distance."""
+    """Fits to the nearest of each group's rows (from the half for h = 0.5 to all for 1), or to those within a squared
+    distance."""
     binned = _joined(rows, fits.drop("n", "logdet"), UNIT[:3]).withColumn("bin", F.floor(16 * F.log2(1 + _distance())).cast("int"))
     sums = binned.groupBy(*UNIT, "bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(F.col("v")[i]) for i in range(P)]).alias("s"),
         F.array(*[F.sum(F.col("v")[i] * F.col("v")[j]) for i, j in _PAIRS]).alias("q"),
     )
-    share = h if h is not None else 0.975
-    quantile = chi2_quantile(share, P)
-    factor = share / chi2_cdf(quantile, P + 2)  # makes the scatter of the nearest share that of all, for normal rows
-
     def fit(key, group):
         import pandas as pd
 
@@ -193,11 +191,16 @@ def _step(rows: DataFrame, fits: DataFrame, h: float | None, within: float | Non
         s, q = np.stack(group["s"].to_numpy()), np.stack(group["q"].to_numpy())
         total = n.sum()
         if h is not None:
-            take = np.clip((total * h - (np.cumsum(n) - n)) / n, 0, 1)  # the last bin counts in part
+            half = min(total, (total + P + 1) / 2)
+            nearest = half + (total - half) * (2 * h - 1)
+            share = nearest / total
+            take = np.clip((nearest - (np.cumsum(n) - n)) / n, 0, 1)  # the last bin counts in part
         else:
+            share = 0.975
             take = (group["bin"].to_numpy() <= math.floor(16 * math.log2(1 + within))).astype(float)
             if not take.any():
                 take[0] = 1
+        factor = share / chi2_cdf(chi2_quantile(share, P), P + 2)  # makes the scatter of the nearest share that of all, for normal rows
         m = (n * take).sum()
         mu = (s * take[:, None]).sum(0) / m
         cov = np.zeros((P, P))
@@ -240,7 +243,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     return sums.mapInPandas(start, FIT)
 
 
-def fits(rows: DataFrame, scratch: Scratch, steps: int = 3, h: float = 0.75, within: float = 0.999) -> DataFrame:
+def fits(rows: DataFrame, scratch: Scratch, steps: int = 3, h: float = 0.5, within: float = 0.999) -> DataFrame:
     """A fit for each language and source, and for each language (pooled)."""
     own = rows.filter(~F.col("base_failed")).select("lang", "source", "v")
     unit = lambda source, pooled: F.struct(F.col("lang").alias("u_lang"), (F.col(source) if source else F.lit(None).cast("string")).alias("u_source"), F.lit(pooled).alias("pooled"))

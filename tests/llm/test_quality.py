@@ -83,3 +83,22 @@ def test_distances_against_an_exact_fit(spark):
     want = exact_fit(vector)
     assert np.corrcoef(want, [got[i] for i in range(400)])[0, 1] > 0.99
     assert abs(quality.chi2_cdf(quality.chi2_quantile(0.9, 8), 8) - 0.9) < 1e-9
+
+
+def test_groups_with_nearly_half_junk(spark):
+    """Junk that passes the base rules goes, whether varied or copies of one text, and the rest stays."""
+    rng = random.Random(4)
+    rows, bad = [], set()
+    for source, share, copies in (("a", 0.33, False), ("b", 0.33, True), ("c", 0.45, False), ("d", 0.45, True), ("e", 0.28, True)):
+        one = None
+        for i in range(300):
+            words = prose(rng, rng.randrange(60, 300)).capitalize().split()
+            text = "\n".join(" ".join(words[k : k + 12]) + "." for k in range(0, len(words), 12))
+            if i < 300 * share:
+                bad.add(len(rows))
+                text = " ".join(w + rng.choice(["###", "%%%", "|&"]) for w in text.split(" "))
+                text = one = (one or text) if copies else text
+            rows.append((len(rows), text, "en", source, 0))
+    got = quality.digest(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert not any(r.base_failed for r in got)
+    assert {r.doc_id for r in got if not r.kept} == bad
