@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import scores
 from karst.functions import text as txt
-from karst.operators import evaluation, events, graph, grounding, ingest, search
+from karst.operators import evaluation, events, graph, grounding, ingest, lookups, search
 from karst.sources import tables as kb
 from karst.streaming import windows
 
@@ -114,7 +114,10 @@ def hash_bucket_embedding(spark, sf_dir):
 
 @query("lsh_topk")
 def lsh_topk(spark, sf_dir):
-    return search.bucketed_top(_live(spark, sf_dir), _vector(spark, sf_dir), 10, planes=8, near=4).select("chunk_id", "similarity")
+    """The approximate ten of every vector with an id divisible by 20."""
+    vectors = kb.table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "embedding")
+    rows = _live(spark, sf_dir).select(F.col("chunk_id").alias("id"), "embedding")
+    return lookups.bucketed_top_each(vectors, rows, 10).select("query", F.col("id").alias("chunk_id"), "similarity")
 
 
 # --------------------------------------------------------------------------- named statements
