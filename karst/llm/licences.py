@@ -2,7 +2,9 @@
 
 A notice within k edits of its wording holds at least one of k + 1 pieces of it unchanged. So each notice is cut into
 k + 1 seeds, one automaton finds all seeds in a text, and around each hit the regex library matches the whole
-notice with at most k errors and reports the span. Beside it, the phrases of PHRASES are found word by word.
+notice with at most k errors and reports the span. Each hit's window is matched by itself, so a text that repeats a seed
+costs time in proportion to its hits; equal windows are matched once. Of overlapping spans of a notice that with the
+fewest edits stays (the first of equals). Beside it, the phrases of PHRASES are found word by word.
 
 Letters A-Z count as a-z. Null text counts as empty; a text without a hit has no labels and score 0. Notices are
 found in whole texts, wherever they stand; repeated rows give repeated results. An empty table gives an empty
@@ -12,6 +14,7 @@ result. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from functools import lru_cache
 
@@ -94,27 +97,32 @@ class Scanner:
         self._window = lru_cache(1 << 14)(self._match)
 
     def _match(self, i: int, window: str) -> tuple:
+        # an edit spoils three of the notice's trigrams at most, so with fewer of them in the window there is no match
+        _, notice, k = self.notices[i]
+        held = {window[j : j + 3] for j in range(len(window) - 2)}
+        if sum(notice[j : j + 3] in held for j in range(len(notice) - 2)) < len(notice) - 2 - 3 * k:
+            return ()
         return tuple((m.start(), m.end(), sum(m.fuzzy_counts)) for m in self.patterns[i].finditer(window))
 
     def find(self, text: str) -> list[tuple]:
         """(label, notice, begin, end, edits) of each place, in code points of the text in lower case."""
-        windows = defaultdict(list)
+        windows: dict[int, set] = defaultdict(set)
         for last, (size, places) in self.automaton.iter(text):
             for i, a in places:
-                _, notice, k = self.notices[i]
-                begin = last - size + 1 - a
-                windows[i].append((max(0, begin - k), begin + len(notice) + k))
+                windows[i].add(last - size + 1 - a)
         found = []
-        for i, spans in windows.items():
-            spans.sort()
-            joined = [list(spans[0])]
-            for a, b in spans[1:]:
-                if a <= joined[-1][1]:
-                    joined[-1][1] = max(b, joined[-1][1])
-                else:
-                    joined.append([a, b])
-            label, notice, _ = self.notices[i]
-            found += [(label, notice, a + s, a + e, n) for a, b in joined for s, e, n in self._window(i, text[a:b])]
+        for i, begins in windows.items():
+            label, notice, k = self.notices[i]
+            spans = set()
+            for begin in begins:
+                a = max(0, begin - k)
+                spans |= {(n, a + s, a + e) for s, e, n in self._window(i, text[a : begin + len(notice) + k])}
+            taken: list[tuple] = []  # (begin, end), in order
+            for n, s, e in sorted(spans):
+                at = bisect_left(taken, (s, e))
+                if (at == 0 or taken[at - 1][1] <= s) and (at == len(taken) or e <= taken[at][0]):
+                    taken.insert(at, (s, e))
+                    found.append((label, notice, s, e, n))
         return sorted(found, key=lambda x: (x[2], x[3], x[0], x[1]))
 
 
@@ -179,5 +187,5 @@ def spans(docs: DataFrame, **options) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """What op5 returns."""
-    return scan(docs).withColumn("n_notices", F.size("spans")).drop("spans")
+    """What op5 returns, with the notices' number and spans."""
+    return scan(docs).withColumn("n_notices", F.size("spans"))

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import regex
 from karst.llm import licences
@@ -50,3 +51,18 @@ def test_against_brute_force(spark, odd_docs, no_docs):
         assert regex.fullmatch(f"(?:{regex.escape(r.notice, special_only=True)}){{e<={r.edits}}}", own)
     odd = licences.digest(odd_docs)
     assert odd.count() == odd_docs.count() and licences.digest(no_docs).collect() == []
+
+
+def test_texts_that_repeat_a_seed():
+    scanner = licences.Scanner(licences.NOTICES, 0.09)
+    rng = random.Random(3)
+    begin = time.perf_counter()
+    for word in ("permission ", "gnu ", "licensed under the ", "released under the mit license "):
+        text = word * (1_000_000 // len(word))
+        found = scanner.find(text)
+        assert all(a[3] <= b[2] for a, b in zip(found, found[1:]) if a[1] == b[1])
+        if word.startswith("released"):
+            assert [(s[2], s[4]) for s in found if s[0] == "mit"] == [(i * len(word), 0) for i in range(1_000_000 // len(word))]
+    mixed = " ".join(rng.choice(["permission", "gnu", "license", "under", "the", str(rng.random())]) for _ in range(20_000))
+    scanner.find(mixed)
+    assert time.perf_counter() - begin < 30
