@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,19 +17,25 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own is set."""
+    """The folder named by spark.checkpoint.dir; where that is unset, one of our own on a local master, else an error:
+    a folder of one machine would hide each executor's files from the others."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file:///tmp/karst-scratch"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
 class Scratch:
-    """Parquet tables under the shared folder, written once so that every later reader sees the same rows."""
+    """Parquet tables under the shared folder, written once so that every later reader sees the same rows.
+
+    A result is read from them, so they stay until release(), or until the driver's Python ends.
+    """
 
     made: list[Scratch] = []
 
@@ -59,6 +66,13 @@ def release(spark: SparkSession) -> None:
         Scratch.made.pop().drop()
 
 
+@atexit.register
+def _at_exit() -> None:
+    """Drops what is left if the application still runs."""
+    if Scratch.made and (spark := SparkSession.getActiveSession()) is not None:
+        release(spark)
+
+
 def buckets(spark: SparkSession) -> int:
     """How many even blocks hot groups are cut into: as many as the session's shuffles have partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
