@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling.
 
 Each source has a target number of words; its documents' expected copies are target / size of the source. The
-documents of a source stand in order of size (then of a hash of doc_id), their expected copies are summed up
+documents of a source stand in order of size (then of a hash of doc_id and text), their expected copies are summed up
 along it, one random offset is added, and a document is taken once for each integer that its step crosses. As
 the order is by size, the words taken differ from the target by about one document at most.
 
@@ -51,14 +51,14 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
 
 
 def copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
-    """Adds source_size, target and copies to rows with doc_id, source, size; rows must be the same on every read."""
+    """Adds source_size, target and copies to rows with doc_id, source, size, digest; rows must be the same on every read."""
     n = buckets(rows.sparkSession)
     source = rows.select("doc_id", "source", "size").groupBy("source").agg(F.sum("size").alias("source_size"))
     target = targets(source, weights, share, most).select(F.col("source").alias("__source"), "source_size", "target", "rate")
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("__n"))
     smaller = F.sum("__n").over(W.partitionBy("source").orderBy("size").rowsBetween(W.unboundedPreceding, -1))  # a row for each size
     before = counts.select(F.col("source").alias("__of"), F.col("size").alias("__size"), F.coalesce(smaller, F.lit(0)).alias("__smaller"))
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("digest")))
     block = F.floor(F.conv(F.substring("__draw", 1, 6), 16, 10).cast("long") * F.lit(n) / F.lit(1 << 24)).cast("int")
     ranked = gapless(rows.withColumn("__draw", draw), ["source", "size"], [F.col("__draw"), F.col("doc_id")], block, "__rank")
     ranked = ranked.join(before, F.col("source").eqNullSafe(F.col("__of")) & F.col("size").eqNullSafe(F.col("__size")))
@@ -69,32 +69,35 @@ def copies(rows: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most:
     return ranked.withColumn("copies", F.least(taken, F.ceil("rate"))).drop("__rank", "__smaller", "__draw", "__of", "__size", "__source", "rate")
 
 
-def sized(docs: DataFrame, name: str = "size") -> DataFrame:
-    return docs.withColumn(name, F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long"))
+def sized(docs: DataFrame) -> DataFrame:
+    """Adds size (words) and digest (of the text), and drops the text."""
+    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumn("size", size).withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).drop("text")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
     scratch = Scratch(docs.sparkSession, "mixing")
     names = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}_") for i, c in enumerate(names)], "text", F.col("doc_id"), F.col("source").cast("string").alias("source"))
-    kept = scratch.write(sized(inner).drop("text"), "rows")
-    drawn = copies(kept, **options)
-    emitted = drawn.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}_") for i, c in enumerate(names)], F.col("text").cast("string").alias("text"), F.col("doc_id"), F.col("source").cast("string").alias("source"))
+    kept = scratch.write(sized(inner).withColumn("uid", F.monotonically_increasing_id()), "rows")
+    # ranks and draws move narrow rows; the documents' own columns are moved once, to meet their copies
+    drawn = copies(kept.select("uid", "doc_id", "source", "size", "digest"), **options).filter("copies > 0").select(F.col("uid").alias("at"), F.col("copies").cast("int").alias("copies"))
+    emitted = kept.join(drawn, F.col("uid") == F.col("at")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return emitted.select(*[F.col(f"c{i}_").alias(c) for i, c in enumerate(names)])
 
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     """What op9 returns: each document's size, its source's size and target, and the words that the mix takes of it."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = scratch.write(sized(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text")).drop("text"), "rows")
+    rows = scratch.write(sized(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))), "rows")
     return copies(rows, **options).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 #: The same draw in DuckDB's SQL.
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS digest FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
@@ -113,7 +116,7 @@ WITH d AS (
 ), k AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, d.source,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5('7:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id NULLS FIRST) - 1 AS k,
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size, md5('7:' || coalesce(d.doc_id::VARCHAR, '') || ':' || d.digest), d.doc_id NULLS FIRST) - 1 AS k,
     ('0x' || substr(md5('7/' || coalesce(d.source, '')), 1, 5))::BIGINT::DOUBLE / 1048576.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )

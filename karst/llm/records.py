@@ -7,7 +7,7 @@ bytes in an id (2 or 4), two zero bytes, the ids. Beside each file stands an ind
 attempts that were committed, with their order, records and ids; files of lost or repeated attempts are not in it.
 
 Null text counts as empty; an empty text is a record with the end id alone. Rows with equal doc_id stand side by
-side, in order of their text; null doc_id come first. An empty table gives an empty manifest and result.
+side, in order of a hash of their text and of it; null doc_id come first. An empty table gives an empty manifest and result.
 """
 
 from __future__ import annotations
@@ -160,8 +160,11 @@ def write_records(docs: DataFrame, root: str, path: str | None = None, end_id: i
                 index.write(np.array(at, "<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([len(at)], pa.int64()), pa.array([tokens], pa.int64()), pa.array([size], pa.int64())], ["part", "file", "records", "tokens", "bytes"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("spread"))
+    # a doc_id with many rows, null for one, is cut into ranges of the hash
+    order = [F.col("doc_id").asc_nulls_first(), F.col("spread")]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     dealt.mapInArrow(tidied(write), MANIFEST).write.parquet(f"{root}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{root}/manifest")
 

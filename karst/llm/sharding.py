@@ -90,6 +90,7 @@ def digest(docs: DataFrame, shards: int = 40) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     rows = assign(assign(rows, old), grown(old), name="grown_shard")
-    rows = rows.withColumn("__spread", F.xxhash64("doc_id"))
+    # a doc_id with many rows, null for one, is spread over the blocks of its shard by its texts
+    rows = rows.withColumn("__spread", F.xxhash64("doc_id", "text_crc32"))
     block = F.floor((F.shiftright("__spread", 32) + F.lit(1 << 31)) * F.lit(n) / F.lit(1 << 32)).cast("int")
     return gapless(rows, ["shard"], [F.col("__spread"), F.col("doc_id"), F.col("text_crc32"), F.col("size")], block, "slot").select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

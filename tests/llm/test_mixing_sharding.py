@@ -1,7 +1,10 @@
+import math
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
+import xxhash
 from karst.llm import mixing, sharding
 from pyspark.sql import functions as F
 
@@ -70,6 +73,47 @@ def test_shards(spark, odd_docs, no_docs):
     assert len({r.shard for r in rows if r.doc_id is None}) == 1
 
 
+def drawn(key, nodes):
+    """The shard of a key by the rule itself: at each node the child with the least -ln(u) / weight."""
+
+    def seeded(data, seed):
+        return xxhash.xxh64(data.encode(), seed=seed).intdigest()
+
+    start, path = (42 if key is None else seeded(key, 42)), ""
+    while isinstance(nodes, dict):
+        by = {}
+        for name, below in nodes.items():
+            u = ((seeded(f"{path}/{name}", start) >> 11) + 0.5) / (1 << 53)
+            by[-math.log(u) / sharding.total(below)] = name
+        won = by[min(by)]
+        nodes, path = nodes[won], f"{path}/{won}"
+    return won
+
+
+def test_shards_against_the_rule(odd_docs):
+    tree = sharding.tree(40)
+    rows = odd_docs.select("doc_id", "text").collect()
+    want = []
+    for r in rows:
+        key, raw = None if r.doc_id is None else str(r.doc_id), (r.text or "").encode()
+        want.append((key, len(raw) + 16, zlib.crc32(raw), drawn(key, tree), drawn(key, sharding.grown(tree))))
+    got = sharding.digest(odd_docs).collect()
+    assert sorted(map(str, want)) == sorted(str((None if r.doc_id is None else str(r.doc_id), r["size"], r.text_crc32, r.shard, r.grown_shard)) for r in got)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_a_doc_id_that_many_rows_share_is_spread(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("s").alias("source"))
+    assert sorted(r.slot for r in sharding.digest(docs).collect()) == list(range(4000))
+    block = F.floor((F.shiftright(F.xxhash64("doc_id", F.crc32("text")), 32) + F.lit(1 << 31)) * 8 / F.lit(1 << 32))
+    assert docs.groupBy(block).count().count() == 8
+    got = mixing.digest(docs).collect()
+    assert len(got) == 4000 and abs(sum(r.taken for r in got) - 12000) <= 2
+
+
 def test_weights_and_confined_movement(spark):
     keys = spark.range(30000).select(F.col("id").alias("doc_id"))
     old = {"r0": {"a": {0: 1.0, 1: 1.0}, "b": {2: 2.0}}, "r1": {"c": {3: 1.0, 4: 3.0}}}
