@@ -38,7 +38,9 @@ class Encoder:
     The pre-tokenizer cuts a text into pieces that are encoded one by one, so a piece has the same ids
     wherever it stands. The cuts are made here for whole batches; the library encodes each piece it has not
     met yet. Texts with characters outside ASCII and U+00C0 to U+023F, or with a special token's string, go
-    to the library whole. The cache is emptied when it holds `most` pieces: that changes speed, not ids.
+    to the library whole. The cache finds a piece by a hash and compares its bytes with those it was made from; a text
+    with a piece that differs goes to the library whole. It is emptied when it holds `most` pieces: that changes speed,
+    not ids.
     """
 
     _kept: dict[str, "Encoder"] = {}
@@ -66,8 +68,10 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.first, self.count = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.ids = np.empty(0, np.uint32)
+        self.keys = np.empty(0, U)
+        #: of each key: where its ids begin and how many they are, where its bytes begin and how many they are
+        self.first, self.count, self.at, self.size = (np.empty(0, np.int64) for _ in range(4))
+        self.ids, self.bytes = np.empty(0, np.uint32), np.empty(0, np.uint8)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows in turn as uint32, and each row's bounds in them; null counts as empty."""
@@ -86,22 +90,26 @@ class Encoder:
                 while i >= 0:
                     whole[np.searchsorted(at, i, side="right") - 1] = True
                     i = text.find(s, i + 1)
-        if not whole.any():
-            return self._by_piece(raw, at)
-        ids: list[np.ndarray] = [None] * n
+        ids: list = [None] * n
+        rest = np.flatnonzero(~whole)
+        if len(rest):
+            sub, sub_at = raw, at
+            if len(rest) < n:
+                parts = [raw[at[r] : at[r + 1]] for r in rest]
+                sub_at = np.zeros(len(rest) + 1, np.int64)
+                np.cumsum([len(p) for p in parts], out=sub_at[1:])
+                sub = np.concatenate(parts)
+            found, bounds, differs = self._by_piece(sub, sub_at)
+            if len(rest) == n and not len(differs):
+                return found, bounds
+            for i, r in enumerate(rest):
+                ids[r] = found[bounds[i] : bounds[i + 1]]
+            whole[rest[differs]] = True
         rows = np.flatnonzero(whole)
         texts = [bytes(raw[at[r] : at[r + 1]]).decode("utf-8", "replace") for r in rows]
         for i in range(0, len(rows), 64):
             for r, e in zip(rows[i : i + 64], self.library.encode_batch(texts[i : i + 64], add_special_tokens=False), strict=True):
                 ids[r] = np.asarray(e.ids, np.uint32)
-        rest = np.flatnonzero(~whole)
-        if len(rest):
-            parts = [raw[at[r] : at[r + 1]] for r in rest]
-            sub_at = np.zeros(len(rest) + 1, np.int64)
-            np.cumsum([len(p) for p in parts], out=sub_at[1:])
-            sub, bounds = self._by_piece(np.concatenate(parts), sub_at)
-            for i, r in enumerate(rest):
-                ids[r] = sub[bounds[i] : bounds[i + 1]]
         out = np.zeros(n + 1, np.int64)
         np.cumsum([len(x) for x in ids], out=out[1:])
         return (np.concatenate(ids) if n else np.empty(0, np.uint32)), out
@@ -143,9 +151,10 @@ class Encoder:
                 begin[after[(kind[after] == LETTER)]] = True
         return np.flatnonzero(begin)
 
-    def _by_piece(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _by_piece(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of all rows in turn, each row's bounds in them, and the rows with a piece that isn't what its key stands for."""
         if not len(raw):
-            return np.empty(0, np.uint32), np.zeros(len(at), np.int64)
+            return np.empty(0, np.uint32), np.zeros(len(at), np.int64), np.empty(0, np.int64)
         begin = self.cuts(raw, at)
         end = np.append(begin[1:], len(raw))
         key = range_hash(prefix(raw), begin, end)
@@ -158,19 +167,29 @@ class Encoder:
                 self._clear()
                 found[:] = False
             new = np.flatnonzero(~found)
-            texts = [raw[begin[w] : end[w]].tobytes().decode("utf-8") for w in where[new]]
-            got = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            pieces = [raw[begin[w] : end[w]].tobytes() for w in where[new]]
+            got = [e.ids for e in self.library.encode_batch_fast([p.decode("utf-8") for p in pieces], add_special_tokens=False)]
             count = np.fromiter(map(len, got), np.int64, len(got))
+            size = np.fromiter(map(len, pieces), np.int64, len(pieces))
             first = len(self.ids) + np.cumsum(count) - count
+            place = len(self.bytes) + np.cumsum(size) - size
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(count.sum()))])
+            self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
             put = np.searchsorted(self.keys, known[new])
             self.keys = np.insert(self.keys, put, known[new])
-            self.first = np.insert(self.first, put, first)
-            self.count = np.insert(self.count, put, count)
+            self.first, self.count = np.insert(self.first, put, first), np.insert(self.count, put, count)
+            self.at, self.size = np.insert(self.at, put, place), np.insert(self.size, put, size)
             slot = np.searchsorted(self.keys, known)
-        first, count = self.first[slot][back], self.count[slot][back]
+        own = slot[back]
+        size = end - begin
+        longer = self.size[own] != size
+        # pieces stand side by side, so a byte's own place and its piece's shift give the byte it is compared with
+        source = np.repeat(np.where(longer, 0, self.at[own] - begin), size) + np.arange(len(raw))
+        unlike = raw != self.bytes[np.minimum(source, len(self.bytes) - 1)]
+        differs = np.unique(np.searchsorted(at, np.concatenate([begin[longer], np.flatnonzero(unlike)]), side="right") - 1)
+        first, count = self.first[own], self.count[own]
         ends = np.cumsum(count)
         total = int(ends[-1])
         ids = self.ids[np.arange(total) + np.repeat(first - (ends - count), count)]
-        pieces = np.concatenate([[0], ends])
-        return ids, pieces[np.searchsorted(begin, at)]
+        bounds = np.concatenate([[0], ends])
+        return ids, bounds[np.searchsorted(begin, at)], differs
