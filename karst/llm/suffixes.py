@@ -1,24 +1,27 @@
-"""Exact substring dedup: suffixes merged by iterative interleave refinement.
+"""Exact substring dedup: Burrows-Wheeler transforms of shards, merged by iterative interleave refinement.
 
 A byte is removed if it is covered by a string of `length` bytes that also starts anywhere else. Strings are windows
 of the texts' UTF-8 bytes; they don't cross texts.
 
-1. Anchors. Of the hashes of GRAM bytes that start within a window, the least (the first of equals) is its anchor. Equal
-   windows have equal anchors at equal places, so only occurrences of one anchor need to be compared, and an anchor that
-   occurs once needs no comparison. Anchors are counted with partial sums before the shuffle.
-2. Shards. Each part of the corpus gives the occurrences of its repeated anchors, as the bytes around them; equal ones
-   are put together at once.
-3. Merging. The occurrences of an anchor, from all shards, are sorted by what follows the anchor, with the common
-   prefixes of neighbours. From there on no suffix is sorted again: each iteration steps one byte to the left and puts
-   the suffixes that the byte extends in order by a stable sort on that byte alone (the Burrows-Wheeler
-   transform's character), and the common prefixes of new neighbours are range minima of the old ones plus one. Runs of
-   neighbours with a common prefix of `length` or more are the repeated intervals. Suffixes whose common prefix no longer
-   reaches past the anchor are resolved and leave.
+1. Narrowing, without loss. Of the hashes of GRAM bytes that start within a window, the least (the first of equals) is its
+   anchor. Equal windows have equal anchors at equal places, so only occurrences of one anchor need to be compared, and
+   an anchor that occurs once needs no comparison. Anchors are counted with partial sums before the shuffle. Where an anchor
+   occurs more than `hot` times, each of its windows reaches further beyond it on one side than on the other: they are
+   told apart by a longer anchor, grown to that side by half of what a window has to spare, until no anchor is that
+   frequent or the anchor is the window itself. Then it is counted by its digest.
+2. Shards. The bytes that the windows of an anchor can cover around one occurrence are a string; strings are aligned at the
+   anchor. A shard (a slice of the corpus) turns its strings of an anchor into their transform: beginning at the right
+   end, level by level, the symbols that stand before the suffixes in the suffixes' order. A string's end is a symbol
+   of its own, less than all bytes and equal to none.
+3. Merging. The transforms of an anchor are merged without sorting suffixes: the interleave says which shard each suffix of
+   the merged order is from. It begins as the shards one after the other, at the strings' right ends; each iteration reads
+   the shards' symbols in the order of the interleave and refines it by dealing them out stably by symbol, which is one
+   step to the left. The common prefixes of neighbours come with it: 1 more than the least between the two before, or 0
+   where the symbols differ. At each place where a window can start, a suffix whose common prefix with a neighbour is
+   `length` or more is in a repeated interval.
 4. The intervals of a text are united and cut out.
 
-Equal texts are one text with a count: with two or more copies, every window of theirs repeats. The
-windows of an anchor with more than `hot` occurrences are counted instead (_counted), so no task holds more than that
-many of one anchor.
+Equal texts are one text with a count: with two or more copies, every window of theirs repeats.
 
 Null text counts as empty; texts shorter than `length` lose nothing. Repeated rows are copies. An empty table gives an
 empty result. Extra columns are kept by cut() and ignored by digest().
@@ -27,16 +30,19 @@ empty result. Extra columns are kept by cut() and ignored by digest().
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, Scratch, buckets, mix, prefix, range_hash, slices, tidied, utf8
 
 LENGTH = 200
 GRAM = 48
+#: Occurrences of an anchor that one task may merge.
+HOT = 10_000
 
 
 # --------------------------------------------------------------------------- anchors
@@ -92,68 +98,79 @@ def _range_minima(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.
     return out
 
 
-def merge(group: np.ndarray, left: list[bytes], right: list[bytes], times: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The repeated windows of occurrences of anchors: occurrence, and the first and last distance (of the window's start
-    before the anchor) of each run of them.
+def strings(raw: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A row for each level, from the right end to the left: the symbols (a byte and 1, or 0 beyond the ends) of strings
+    that reach `high` bytes to the left and `length - low` to the right of their places in raw."""
+    left = int(high.max(initial=0))
+    out = np.zeros((length + left, len(place)), np.uint16)
+    last = max(len(raw) - 1, 0)
+    for t in range(length + left):
+        j = length - 1 - t
+        inside = j < length - low if j >= 0 else -j <= high
+        out[t] = np.where(inside, raw[np.clip(place + j, 0, last)].astype(np.uint16) + 1, 0)
+    return out
+
+
+def transform(group: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    """The transform of each group's strings (columns of symbols, a row for each level; groups ascend): at each level the
+    symbols before the suffixes, in the order of the suffixes."""
+    out = np.empty_like(symbols)
+    order = np.arange(len(group))
+    block = group.astype(np.int64) * 257
+    for t, level in enumerate(symbols):
+        out[t] = level[order]
+        order = order[np.argsort(block + out[t], kind="stable")]
+    return out
 
-    group: the anchor's number of each occurrence, in ascending order; left: what stands before it, right: it and what
-    follows; times: how often exactly this occurs.
+
+def merge(group: np.ndarray, shard: np.ndarray, columns: np.ndarray, length: int = LENGTH, merged: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merges transforms (columns, side by side by group and then by shard; shard: the number of each column's transform).
+
+    Returns the repeated windows: string, and the first and last distance (of the window's start before the anchor) of
+    each run of them. The merged transform is put into `merged`, if it is given.
     """
     k = len(group)
-    before = np.fromiter(map(len, left), np.int64, k)
-    after = np.fromiter(map(len, right), np.int64, k)
-    width = max(1, int(before.max()))
-    rights = np.array(right, f"S{length}")
-    grid = np.zeros((k, width), np.uint8)
-    for i, x in enumerate(left):
-        grid[i, : len(x)] = np.frombuffer(x, np.uint8)[::-1]
-    # the only sort of suffixes: those at the anchor
-    order = np.argsort(rights, kind="stable")
-    order = order[np.argsort(group[order], kind="stable")]
-    wide = rights[order].view(np.uint8).reshape(k, length)
-    lcp = np.full(k, -1, np.int64)
-    if k > 1:
-        differs = wide[1:] != wide[:-1]
-        first = np.where(differs.any(1), differs.argmax(1), length)
-        lcp[1:] = np.minimum(first, np.minimum(after[order][1:], after[order][:-1]))
-        lcp[1:][group[order][1:] != group[order][:-1]] = -1
-    del wide
+    block = group.astype(np.int64) * 257
+    who = np.arange(k)  # the string of each suffix; its shard is the interleave
+    at = np.empty(k, np.int64)
+    lcp = np.zeros(k, np.int64)
     hits, hit_distance = [], []
-    for d in range(width + 1):
-        beside = np.maximum(lcp, np.append(lcp[1:], -1))
-        found = order[beside >= length]
+
+    def look(distance: int) -> None:
+        found = who[np.maximum(lcp, np.append(lcp[1:], 0)) >= length]
         hits.append(found)
-        hit_distance.append(np.full(len(found), d))
-        # those that still share the anchor with a neighbour, and have a byte before them
-        stay = np.flatnonzero((beside >= d + gram) & (before[order] > d))
-        if len(stay) < 2:
-            break
-        lcp = np.minimum.reduceat(lcp[: stay[-1] + 1], np.append(0, stay[:-1] + 1))
-        order = order[stay]
-        symbol = grid[order, d].astype(np.int64)
-        apart = lcp < d + gram
-        block = np.cumsum(apart)
-        key = block * 256 + symbol
+        hit_distance.append(np.full(len(found), distance))
+
+    for t, level in enumerate(columns):
+        if t >= length:
+            look(t - length)
+        # the next of a shard's suffixes in the interleave is the next of its transform
+        at[np.argsort(shard[who], kind="stable")] = np.arange(k)
+        symbol = level[at]
+        if merged is not None:
+            merged[t] = symbol
+        key = block + symbol
         to = np.argsort(key, kind="stable")
         key = key[to]
-        same = key[1:] == key[:-1]
-        new = np.full(len(to), -1, np.int64)
-        if same.any():
-            new[1:][same] = 1 + _range_minima(lcp, to[:-1][same] + 1, to[1:][same] + 1)
-        order, lcp = order[to], new
+        same = np.zeros(k, bool)
+        same[1:] = (key[1:] == key[:-1]) & (symbol[to[1:]] > 0)
+        new = np.zeros(k, np.int64)
+        beside = same.copy()
+        beside[1:] &= to[1:] == to[:-1] + 1
+        new[beside] = lcp[to[beside]] + 1
+        apart = np.flatnonzero(same & ~beside)
+        if len(apart):
+            new[apart] = _range_minima(lcp, to[apart - 1] + 1, to[apart] + 1) + 1
+        who, lcp = who[to], new
+    look(len(columns) - length)
     row, distance = np.concatenate(hits), np.concatenate(hit_distance)
-    # what occurs more than once repeats in all its windows
-    alone = times[row] < 2
-    row, distance = row[alone], distance[alone]
-    many = np.flatnonzero(times > 1)
     sort = np.lexsort((distance, row))
     row, distance = row[sort], distance[sort]
     fresh = np.ones(len(row), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (distance[1:] != distance[:-1] + 1)
     first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(row)) - 1
-    low, high = distance[first], distance[last] if len(row) else distance[:0]
-    return np.concatenate([row[first], many]), np.concatenate([low, length - after[many]]), np.concatenate([high, before[many]])
+    last = np.append(first[1:], len(row)) - 1 if len(row) else first
+    return row[first], distance[first], distance[last]
 
 
 # --------------------------------------------------------------------------- Spark
@@ -198,103 +215,195 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [spread(z) for z in column.to_pylist()]
 
 
-OCCURRENCE = "struct<node:binary,place:int>"
-
-
-def _shards(texts: DataFrame, length: int, hot: int) -> DataFrame:
-    """anchor, before, after, at: the bytes around each repeated anchor, and where they stand; equal ones of a part once."""
-    kind = pa.list_(pa.struct([("node", pa.binary()), ("place", pa.int32())]))
+PLACE = [pa.field("node", pa.binary()), pa.field("place", pa.int32())]
+STRING = [pa.field("low", pa.int16()), pa.field("high", pa.int16()), pa.field("at", pa.list_(pa.struct(PLACE)))]
+SHARD = "anchor long, k int, right int, left int, symbols binary, ends binary, strings array<struct<low:short,high:short,at:array<struct<node:binary,place:int>>>>"
+
+
+# A mark (place, anchor, left, right, low, high, k) stands for the windows that begin `low` to `high` bytes before a place;
+# all hold the bytes from `left` before it to `right` behind it, their anchor, which occurs k times.
+
+
+def _marked(part: pa.RecordBatch) -> tuple[list[bytes], pa.Array, np.ndarray, dict[str, np.ndarray]]:
+    """Texts, their nodes, their bytes one after the other, and their marks as arrays (row: of the text, at: place in the bytes)."""
+    texts = _unpacked(part.column("z"))
+    begin = np.cumsum([0, *map(len, texts)])
+    lists = part.column("marks")
+    flat = lists.flatten()
+    marks = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False).astype(np.int64) for f in flat.type}
+    marks["row"] = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    marks["at"] = marks["place"] + begin[marks["row"]]
+    return texts, part.column("node"), np.frombuffer(b"".join(texts), np.uint8), marks
+
+
+def _shards(texts: DataFrame, length: int, most: int = 16_384) -> DataFrame:
+    """A row for each anchor of a shard (a slice of texts, with `most` marks at most): the transform of the k different
+    strings around it, that reach `right` and `left` bytes at most (symbols level by level; ends: which of them are ends, as
+    bits, if any), and where each string stands."""
+    names = ["anchor", "k", "right", "left", "symbols", "ends", "strings"]
+
+    def shard(node: pa.Array, raw: np.ndarray, sums: np.ndarray, m: dict) -> pa.RecordBatch:
+        # equal strings stand side by side in the order of a hash; they are compared level by level
+        key = range_hash(sums, m["at"] - m["high"], m["at"] + length - m["low"])
+        by = np.lexsort((m["high"], m["low"], key, m["anchor"]))
+        m = {name: x[by] for name, x in m.items()}
+        symbols = strings(raw, m["at"], m["low"], m["high"], length)
+        fresh = np.ones(len(by), bool)
+        fresh[1:] = (m["anchor"][1:] != m["anchor"][:-1]) | (symbols[:, 1:] != symbols[:, :-1]).any(0)
+        first = np.flatnonzero(fresh)
+        anchor, low, high = (m[x][first] for x in ("anchor", "low", "high"))
+        new = np.ones(len(first), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        group = np.cumsum(new) - 1
+        columns = transform(group, symbols[:, first])
+        ends = columns == 0
+        plain = (columns - ~ends).astype(np.uint8)
+        own = np.append(np.flatnonzero(new), len(first))
+        right, left = length - np.minimum.reduceat(low, own[:-1]), np.maximum.reduceat(high, own[:-1])
+        data, over = [], []
+        for a, b, r, q in zip(own[:-1].tolist(), own[1:].tolist(), right.tolist(), left.tolist(), strict=True):
+            levels = slice(length - r, length + q)
+            data.append(plain[levels, a:b].tobytes())
+            over.append(np.packbits(ends[levels, a:b]).tobytes() if b > a + 1 and ends[levels, a:b].any() else b"")
+        places = pa.StructArray.from_arrays([node.take(pa.array(m["row"])), pa.array(m["place"], pa.int32())], fields=PLACE)
+        at = pa.ListArray.from_arrays(pa.array(np.append(first, len(by)), pa.int32()), places)
+        each = pa.StructArray.from_arrays([pa.array(low, pa.int16()), pa.array(high, pa.int16()), at], fields=STRING)
+        lists = pa.ListArray.from_arrays(pa.array(own, pa.int32()), each)
+        numbers = [pa.array(anchor[own[:-1]]), *(pa.array(x, pa.int32()) for x in (np.diff(own), right, left))]
+        return pa.RecordBatch.from_arrays([*numbers, pa.array(data, pa.binary()), pa.array(over, pa.binary()), lists], names)
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                found: dict = {}
-                for node, text, marks in zip(part.column("node").to_pylist(), _unpacked(part.column("z")), part.column("marks").to_pylist(), strict=True):
-                    for m in marks:
-                        p, low, high = m["place"], m["low"], m["high"]
-                        if m["k"] <= hot:
-                            found.setdefault((m["anchor"], text[p - high : p], text[p : p - low + length]), []).append((node, p))
-                keys = sorted(found)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.binary()), pa.array([x[2] for x in keys], pa.binary()), pa.array([[{"node": n, "place": p} for n, p in found[x]] for x in keys], kind)], ["anchor", "before", "after", "at"])
-
-    return texts.select("node", "z", "marks").mapInArrow(tidied(run), f"anchor long, before binary, after binary, at array<{OCCURRENCE}>")
-
+                _, node, raw, m = _marked(part)
+                sums = prefix(raw)
+                for i in range(0, len(m["row"]), most):
+                    yield shard(node, raw, sums, {name: x[i : i + most] for name, x in m.items()})
 
-def _frequent(texts: DataFrame, length: int, hot: int) -> DataFrame:
-    """window, node, begin: the digest and the place of each window of the anchors with more than `hot` occurrences."""
-
-    def run(batches):
-        for batch in batches:
-            for part in (batch.slice(i, 16) for i in range(0, batch.num_rows, 16)):
-                window, owner, begin = [], [], []
-                for node, text, marks in zip(part.column("node").to_pylist(), _unpacked(part.column("z")), part.column("marks").to_pylist(), strict=True):
-                    for m in marks:
-                        if m["k"] > hot:
-                            starts = range(m["place"] - m["high"], m["place"] - m["low"] + 1)
-                            window += [hashlib.md5(text[b : b + length]).digest() for b in starts]
-                            owner += [node] * len(starts)
-                            begin += starts
-                yield pa.RecordBatch.from_arrays([pa.array(window, pa.binary()), pa.array(owner, pa.binary()), pa.array(begin, pa.int32())], ["window", "node", "begin"])
+    return texts.select("node", "z", "marks").mapInArrow(tidied(run), SHARD)
 
-    return texts.filter(F.exists("marks", lambda m: m["k"] > hot)).select("node", "z", "marks").mapInArrow(tidied(run), "window binary, node binary, begin int")
 
-
-def _counted(texts: DataFrame, scratch: Scratch, length: int, hot: int) -> DataFrame:
-    """node, begin, end: the repeated windows of frequent anchors, whose occurrences no task could hold together.
-
-    Windows are counted with partial sums, and the counts, a table of its own, meet the windows in a join whose hot keys
-    Spark splits.
-    """
-    windows = scratch.write(_frequent(texts, length, hot), "windows")
-    several = scratch.write(windows.groupBy("window").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("window").alias("of")), "several")
-    return windows.join(several, F.col("window") == F.col("of")).select("node", "begin", (F.col("begin") + length).alias("end"))
-
-
-def _merged(shards: DataFrame, n: int, length: int, batch_rows: int = 20_000) -> DataFrame:
+def _merged(shards: DataFrame, n: int, length: int, most: int = 20_000) -> DataFrame:
     """node, begin, end: the bytes of repeated windows."""
 
     def solve(table: pa.Table):
-        anchor = table.column("anchor").to_pylist()
-        found: dict = {}
-        for a, b, c, at in zip(anchor, table.column("before").to_pylist(), table.column("after").to_pylist(), table.column("at").to_pylist(), strict=True):
-            found.setdefault((a, b, c), []).extend((x["node"], x["place"]) for x in at)
-        several: dict = {}
-        for a, _, _ in found:
-            several[a] = several.get(a, 0) + 1
-        keys = [x for x in found if several[x[0]] > 1 or len(found[x]) > 1]
-        if not keys:
-            return
-        numbers = {a: i for i, a in enumerate(dict.fromkeys(x[0] for x in keys))}
-        group = np.array([numbers[x[0]] for x in keys])
-        order = np.argsort(group, kind="stable")
-        keys = [keys[i] for i in order]
-        row, low, high = merge(group[order], [x[1] for x in keys], [x[2] for x in keys], np.array([len(found[x]) for x in keys]), length)
-        node, begin, end = [], [], []
-        for r, a, b in zip(row.tolist(), low.tolist(), high.tolist(), strict=True):
-            for who, place in found[keys[r]]:
-                node.append(who)
-                begin.append(place - b)
-                end.append(place - a + length)
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["node", "begin", "end"])
+        table = table.combine_chunks()
+        anchor, count, right, left = (table.column(c).to_numpy() for c in ("anchor", "k", "right", "left"))
+        each = table.column("strings").combine_chunks().flatten()
+        low, high = (each.field(x).to_numpy().astype(np.int64) for x in ("low", "high"))
+        at = each.field("at")
+        edge, places = at.offsets.to_numpy(), at.values
+        node, place = places.field("node"), places.field("place").to_numpy()
+        times = np.diff(edge)
+        # an anchor of one string has nothing to be merged
+        group = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])])
+        several = np.bincount(group, weights=count)[group] > 1
+        mine = np.flatnonzero(np.repeat(several, count))
+        found = [np.empty(0, np.int64)] * 3
+        if len(mine):
+            shard = np.repeat(np.arange(len(anchor)), count)[mine]
+            columns = np.zeros((length + int(left[several].max()), len(mine)), np.uint16)
+            symbols, ends = table.column("symbols").to_pylist(), table.column("ends").to_pylist()
+            i = 0
+            for r in np.flatnonzero(several).tolist():
+                k, size = int(count[r]), int(count[r]) * (int(right[r]) + int(left[r]))
+                block = np.frombuffer(symbols[r], np.uint8, size).astype(np.uint16) + 1
+                if ends[r]:
+                    block[np.unpackbits(np.frombuffer(ends[r], np.uint8), count=size).astype(bool)] = 0
+                columns[length - right[r] : length + left[r], i : i + k] = block.reshape(-1, k)
+                i += k
+            string, near, far = merge(group[shard], shard, columns, length)
+            string = mine[string]
+            alone = times[string] == 1
+            found = [string[alone], near[alone], far[alone]]
+        # what stands in several places of one shard repeats there in all its windows
+        many = np.flatnonzero(times > 1)
+        string, near, far = (np.concatenate(x) for x in zip(found, (many, low[many], high[many]), strict=True))
+        n_places = times[string]
+        of = np.repeat(np.arange(len(string)), n_places)
+        row = np.arange(len(of)) + np.repeat(edge[string] - (np.cumsum(n_places) - n_places), n_places)
+        begin, end = place[row] - far[of], place[row] - near[of] + length
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(row)), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["node", "begin", "end"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < batch_rows:
+            size += int(batch.column("k").to_numpy().sum())
+            if size < most:
                 continue
-            table = pa.Table.from_batches(held).combine_chunks()
+            table = pa.Table.from_batches(held)
             anchor = table.column("anchor").to_numpy()
             cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
             if cut:
                 yield from solve(table.slice(0, cut))
             held = table.slice(cut).to_batches()
-        if held:
+            size = sum(int(b.column("k").to_numpy().sum()) for b in held)
+        if held and sum(b.num_rows for b in held):
             yield from solve(pa.Table.from_batches(held))
 
     return shards.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(tidied(run), "node binary, begin int, end int")
 
 
+# --------------------------------------------------------------------------- frequent anchors
+
+
+def _longer(texts: DataFrame, length: int) -> DataFrame:
+    """Marks with longer anchors, for the same windows. Windows that reach further behind a mark's bytes than half of what
+    they have to spare get those bytes too; the others get those in front. An anchor of a whole window is the window's md5,
+    in two numbers."""
+    names = ["node", "place", "anchor", "check", "left", "right", "low", "high"]
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                _, node, raw, m = _marked(part)
+                half = (length - m["left"] - m["right"] + 1) // 2
+                turn = length - m["right"] - half
+                behind = m | {"right": m["right"] + half, "high": np.minimum(m["high"], turn)}
+                before = m | {"left": turn + 1, "low": np.maximum(m["low"], turn + 1)}
+                m = {name: np.concatenate([behind[name], before[name]]) for name in m}
+                m = {name: x[m["low"] <= m["high"]] for name, x in m.items()}
+                begin, end = m["at"] - m["left"], m["at"] + m["right"]
+                anchor = mix(range_hash(prefix(raw), begin, end) ^ mix(m["left"].astype(U) + U(1))).view(np.int64)
+                check = np.zeros(len(anchor), np.int64)
+                for i in np.flatnonzero(end - begin == length).tolist():
+                    digest = hashlib.md5(raw[begin[i] : end[i]]).digest()
+                    anchor[i], check[i] = (int.from_bytes(x, "little", signed=True) for x in (digest[:8], digest[8:]))
+                columns = [pa.array(m["place"], pa.int32()), pa.array(anchor), pa.array(check), *(pa.array(m[x], pa.int32()) for x in names[4:])]
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(m["row"])), *columns], names)
+
+    return texts.select("node", "z", "marks").mapInArrow(tidied(run), "node binary, place int, anchor long, check long, left int, right int, low int, high int")
+
+
+def _narrowed(texts: DataFrame, scratch: Scratch, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Texts with the marks whose anchors have grown until they occur `hot` times at most; and node, begin, end of the
+    windows that are anchors themselves and occur twice or more."""
+    few, whole, step = None, None, 0
+    # an anchor grows by half of what is left to the window, so the rounds are at most as many as the window's bits
+    while True:
+        longer = scratch.write(_longer(texts, length), f"longer{step}")
+        twice = scratch.write(longer.groupBy("anchor", "check").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("anchor").alias("of"), F.col("check").alias("and_of"), "k"), f"twice{step}")
+        known = longer.join(twice, (F.col("anchor") == F.col("of")) & (F.col("check") == F.col("and_of")))
+        ready = known.filter(F.col("left") + F.col("right") == length).select("node", (F.col("place") - F.col("left")).alias("begin"), (F.col("place") + F.col("right")).alias("end"))
+        whole = ready if whole is None else whole.unionByName(ready)
+        marks = F.collect_list(F.struct("place", "anchor", "left", "right", "low", "high", "k")).alias("marks")
+        of_node = known.filter(F.col("left") + F.col("right") < length).groupBy(F.col("node").alias("at")).agg(marks)
+        found = scratch.write(texts.select("node", "z").join(of_node, F.col("node") == F.col("at")).select("node", "z", "marks"), f"narrowed{step}")
+        mine = _having(found, lambda m: m["k"] <= hot)
+        few = mine if few is None else few.unionByName(mine)
+        texts = _having(found, lambda m: m["k"] > hot)
+        if texts.isEmpty():
+            return few, whole
+        step += 1
+
+
+def _having(texts: DataFrame, which: Callable[[Column], Column]) -> DataFrame:
+    """node, z, marks: texts with those of their marks for which a condition holds, if any."""
+    return texts.select("node", "z", F.filter("marks", which).alias("marks")).filter(F.size("marks") > 0)
+
+
 def united(spans) -> list[tuple[int, int]]:
     """The maximal runs of spans (begin, end); those that touch are one."""
     out: list[list[int]] = []
@@ -329,23 +438,28 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(tidied(run), RESULT)
 
 
-def repeated(docs: DataFrame, length: int = LENGTH, hot: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The texts with a repeated anchor or copies, cut (node, n_bytes, n_removed, n_spans, kept), and the nodes of those."""
     spark = docs.sparkSession
     n = buckets(spark)
     scratch = Scratch(spark, "suffixes")
     marks = scratch.write(_anchored(docs, length), "anchors")
-    # a table of its own, so that the join's two sides are plain shuffles and Spark can split a hot anchor's rows
+    # a table of its own, so that the join's two sides are plain shuffles and Spark can split a frequent anchor's rows
     twice = scratch.write(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumnRenamed("anchor", "of"), "twice")
-    of_node = marks.join(twice, F.col("anchor") == F.col("of")).groupBy("node").agg(F.collect_set(F.struct("place", "anchor", "low", "high", "k")).alias("marks"))
+    frequent = not twice.filter(F.col("k") > hot).isEmpty()
+    mark = F.struct("place", "anchor", F.lit(0).alias("left"), F.lit(GRAM).alias("right"), F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), "k")
+    of_node = marks.join(twice, F.col("anchor") == F.col("of")).groupBy("node").agg(F.collect_set(mark).alias("marks"))
     texts = _packed(docs).groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("z").alias("z"))
     suspects = scratch.write(texts.join(of_node, "node", "left").filter("marks IS NOT NULL OR k > 1"), "suspects")
     scratch.drop("anchors")
     scratch.drop("twice")
-    marked = suspects.filter("marks IS NOT NULL")
-    runs = _merged(_shards(marked, length, hot), n, length)
-    if not marked.filter(F.exists("marks", lambda m: m["k"] > hot)).isEmpty():
-        runs = runs.unionByName(_counted(marked, scratch, length, hot))
+    marked = suspects.filter("marks IS NOT NULL").select("node", "z", "marks")
+    if frequent:
+        few, whole = _narrowed(_having(marked, lambda m: m["k"] > hot), scratch, length, hot)
+        marked = _having(marked, lambda m: m["k"] <= hot).unionByName(few)
+    runs = _merged(_shards(marked, length), n, length)
+    if frequent:
+        runs = runs.unionByName(whole)
     spans = runs.groupBy("node").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     cut = _cut(suspects.select("node", "k", "z").join(spans, "node", "left"), length)
     return cut, suspects.select("node")
