@@ -5,14 +5,14 @@ of the texts' UTF-8 bytes; they don't cross texts.
 
 1. Narrowing, without loss. Of the hashes of GRAM bytes that start within a window, the least (the first of equals) is its
    anchor. Equal windows have equal anchors at equal places, so only occurrences of one anchor need to be compared, and
-   an anchor that occurs once needs no comparison. Anchors are counted with partial sums before the shuffle. Where an anchor
-   occurs more than `hot` times, each of its windows reaches further beyond it on one side than on the other: they are
-   told apart by a longer anchor, grown to that side by half of what a window has to spare, until no anchor is that
-   frequent or the anchor is the window itself. Then it is counted by its digest.
-2. Shards. The bytes that the windows of an anchor can cover around one occurrence are a string; strings are aligned at the
-   anchor. A shard (a slice of the corpus) turns its strings of an anchor into their transform: beginning at the right
-   end, level by level, the symbols that stand before the suffixes in the suffixes' order. A string's end is a symbol
-   of its own, less than all bytes and equal to none.
+   an anchor that occurs once needs no comparison. Anchors are counted with partial sums before the shuffle. The bytes
+   that an anchor's windows can cover around an occurrence are a string; equal strings are one, which repeats in all its
+   windows. So an anchor costs as much as it has different strings, however often it occurs. Where it has more than `hot`,
+   its windows are told apart by longer anchors, grown by half of what a window has to spare to the side on which it
+   reaches further, until none has that many strings or the anchor is the window itself, which is then counted by its digest.
+2. Shards. Strings are aligned at the anchor. A shard (a slice of the strings) turns its strings of an anchor into their
+   transform: beginning at the right end, level by level, the symbols that stand before the suffixes in the suffixes'
+   order. A string's end is a symbol of its own, less than all bytes and equal to none.
 3. Merging. The transforms of an anchor are merged without sorting suffixes: the interleave says which shard each suffix of
    the merged order is from. It begins as the shards one after the other, at the strings' right ends; each iteration reads
    the shards' symbols in the order of the interleave and refines it by dealing them out stably by symbol, which is one
@@ -30,19 +30,18 @@ empty result. Extra columns are kept by cut() and ignored by digest().
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U, Scratch, buckets, mix, prefix, range_hash, slices, tidied, utf8
 
 LENGTH = 200
 GRAM = 48
-#: Occurrences of an anchor that one task may merge.
-HOT = 10_000
+#: Different strings of an anchor that one task may merge.
+HOT = 50_000
 
 
 # --------------------------------------------------------------------------- anchors
@@ -215,115 +214,96 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [spread(z) for z in column.to_pylist()]
 
 
-PLACE = [pa.field("node", pa.binary()), pa.field("place", pa.int32())]
-STRING = [pa.field("low", pa.int16()), pa.field("high", pa.int16()), pa.field("at", pa.list_(pa.struct(PLACE)))]
-SHARD = "anchor long, k int, right int, left int, symbols binary, ends binary, strings array<struct<low:short,high:short,at:array<struct<node:binary,place:int>>>>"
-
-
-# A mark (place, anchor, left, right, low, high, k) stands for the windows that begin `low` to `high` bytes before a place;
-# all hold the bytes from `left` before it to `right` behind it, their anchor, which occurs k times.
-
-
-def _marked(part: pa.RecordBatch) -> tuple[list[bytes], pa.Array, np.ndarray, dict[str, np.ndarray]]:
-    """Texts, their nodes, their bytes one after the other, and their marks as arrays (row: of the text, at: place in the bytes)."""
-    texts = _unpacked(part.column("z"))
-    begin = np.cumsum([0, *map(len, texts)])
-    lists = part.column("marks")
-    flat = lists.flatten()
-    marks = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False).astype(np.int64) for f in flat.type}
-    marks["row"] = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    marks["at"] = marks["place"] + begin[marks["row"]]
-    return texts, part.column("node"), np.frombuffer(b"".join(texts), np.uint8), marks
-
-
-def _shards(texts: DataFrame, length: int, most: int = 16_384) -> DataFrame:
-    """A row for each anchor of a shard (a slice of texts, with `most` marks at most): the transform of the k different
-    strings around it, that reach `right` and `left` bytes at most (symbols level by level; ends: which of them are ends, as
-    bits, if any), and where each string stands."""
-    names = ["anchor", "k", "right", "left", "symbols", "ends", "strings"]
-
-    def shard(node: pa.Array, raw: np.ndarray, sums: np.ndarray, m: dict) -> pa.RecordBatch:
-        # equal strings stand side by side in the order of a hash; they are compared level by level
-        key = range_hash(sums, m["at"] - m["high"], m["at"] + length - m["low"])
-        by = np.lexsort((m["high"], m["low"], key, m["anchor"]))
-        m = {name: x[by] for name, x in m.items()}
-        symbols = strings(raw, m["at"], m["low"], m["high"], length)
-        fresh = np.ones(len(by), bool)
-        fresh[1:] = (m["anchor"][1:] != m["anchor"][:-1]) | (symbols[:, 1:] != symbols[:, :-1]).any(0)
-        first = np.flatnonzero(fresh)
-        anchor, low, high = (m[x][first] for x in ("anchor", "low", "high"))
-        new = np.ones(len(first), bool)
-        new[1:] = anchor[1:] != anchor[:-1]
-        group = np.cumsum(new) - 1
-        columns = transform(group, symbols[:, first])
-        ends = columns == 0
-        plain = (columns - ~ends).astype(np.uint8)
-        own = np.append(np.flatnonzero(new), len(first))
-        right, left = length - np.minimum.reduceat(low, own[:-1]), np.maximum.reduceat(high, own[:-1])
-        data, over = [], []
-        for a, b, r, q in zip(own[:-1].tolist(), own[1:].tolist(), right.tolist(), left.tolist(), strict=True):
-            levels = slice(length - r, length + q)
-            data.append(plain[levels, a:b].tobytes())
-            over.append(np.packbits(ends[levels, a:b]).tobytes() if b > a + 1 and ends[levels, a:b].any() else b"")
-        places = pa.StructArray.from_arrays([node.take(pa.array(m["row"])), pa.array(m["place"], pa.int32())], fields=PLACE)
-        at = pa.ListArray.from_arrays(pa.array(np.append(first, len(by)), pa.int32()), places)
-        each = pa.StructArray.from_arrays([pa.array(low, pa.int16()), pa.array(high, pa.int16()), at], fields=STRING)
-        lists = pa.ListArray.from_arrays(pa.array(own, pa.int32()), each)
-        numbers = [pa.array(anchor[own[:-1]]), *(pa.array(x, pa.int32()) for x in (np.diff(own), right, left))]
-        return pa.RecordBatch.from_arrays([*numbers, pa.array(data, pa.binary()), pa.array(over, pa.binary()), lists], names)
+PLACE = pa.struct([("node", pa.binary()), ("place", pa.int32())])
+PIECE = "sid binary, anchor long, low short, high short, body binary, at array<struct<node:binary,place:int>>"
+SHARD = "anchor long, k int, right int, left int, symbols binary, ends binary, sids array<binary>"
+RUN = "sid binary, near short, far short"
+
+
+def _pieces(texts: DataFrame, length: int) -> DataFrame:
+    """Strings around repeated anchors, each once for a slice of texts: sid (its digest), anchor, body (the bytes from `high`
+    before a place to `length - low` behind it: the windows that begin low to high bytes before it), and its places."""
+    names = [x.split()[0] for x in PIECE.replace("node:binary,place:int", "x").split(", ")]
+    kinds = (pa.binary(), pa.int64(), pa.int16(), pa.int16(), pa.binary(), pa.list_(PLACE))
 
     def run(batches):
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                _, node, raw, m = _marked(part)
-                sums = prefix(raw)
-                for i in range(0, len(m["row"]), most):
-                    yield shard(node, raw, sums, {name: x[i : i + most] for name, x in m.items()})
+                found: dict = {}
+                for node, text, marks in zip(part.column("node").to_pylist(), _unpacked(part.column("z")), part.column("marks").to_pylist(), strict=True):
+                    for m in marks:
+                        p, low, high = m["place"], m["low"], m["high"]
+                        body = text[p - high : p - low + length]
+                        sid = hashlib.md5(b"%d %d " % (low, high) + body).digest()
+                        found.setdefault(sid, (m["anchor"], low, high, body, []))[4].append({"node": node, "place": p})
+                rows = [(sid, *x) for sid, x in found.items()]
+                for i in range(0, len(rows), 4096):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[i : i + 4096]], kind) for c, kind in enumerate(kinds)], names)
+
+    return texts.select("node", "z", "marks").mapInArrow(tidied(run), PIECE)
+
 
-    return texts.select("node", "z", "marks").mapInArrow(tidied(run), SHARD)
+def _bodies(part: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The strings' bytes one after the other, and their numbers (at: their anchors' places in the bytes)."""
+    raw, begin = utf8(part.column("body"))
+    m = {x: part.column(x).to_numpy().astype(np.int64) for x in part.schema.names if x not in ("sid", "body")}
+    return raw, m | {"at": begin[:-1] + m["high"]}
+
+
+def _shards(rows: DataFrame, length: int, most: int = 8192) -> DataFrame:
+    """A row for each anchor of a shard (a slice of at most `most` strings): the transform of its k strings there, that reach
+    `right` and `left` bytes at most (symbols level by level; ends: which of them are ends, as bits, if any), and their sids."""
+    names = [x.split()[0] for x in SHARD.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for part in (batch.slice(i, most) for i in range(0, batch.num_rows, most)):
+                raw, m = _bodies(part)
+                by = np.argsort(m["anchor"], kind="stable")
+                anchor, low, high = (m[x][by] for x in ("anchor", "low", "high"))
+                new = np.ones(len(by), bool)
+                new[1:] = anchor[1:] != anchor[:-1]
+                columns = transform(np.cumsum(new) - 1, strings(raw, m["at"][by], low, high, length))
+                ends = columns == 0
+                plain = (columns - ~ends).astype(np.uint8)
+                own = np.append(np.flatnonzero(new), len(by))
+                right, left = length - np.minimum.reduceat(low, own[:-1]), np.maximum.reduceat(high, own[:-1])
+                data, over = [], []
+                for a, b, r, q in zip(own[:-1].tolist(), own[1:].tolist(), right.tolist(), left.tolist(), strict=True):
+                    levels = slice(length - r, length + q)
+                    data.append(plain[levels, a:b].tobytes())
+                    over.append(np.packbits(ends[levels, a:b]).tobytes() if b > a + 1 and ends[levels, a:b].any() else b"")
+                sids = pa.ListArray.from_arrays(pa.array(own, pa.int32()), part.column("sid").take(pa.array(by)))
+                numbers = [pa.array(anchor[own[:-1]]), *(pa.array(x, pa.int32()) for x in (np.diff(own), right, left))]
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(data, pa.binary()), pa.array(over, pa.binary()), sids], names)
+
+    return rows.select("sid", "anchor", "low", "high", "body").mapInArrow(tidied(run), SHARD)
 
 
 def _merged(shards: DataFrame, n: int, length: int, most: int = 20_000) -> DataFrame:
-    """node, begin, end: the bytes of repeated windows."""
+    """sid, near, far: the distances of the repeated windows of strings."""
 
     def solve(table: pa.Table):
         table = table.combine_chunks()
         anchor, count, right, left = (table.column(c).to_numpy() for c in ("anchor", "k", "right", "left"))
-        each = table.column("strings").combine_chunks().flatten()
-        low, high = (each.field(x).to_numpy().astype(np.int64) for x in ("low", "high"))
-        at = each.field("at")
-        edge, places = at.offsets.to_numpy(), at.values
-        node, place = places.field("node"), places.field("place").to_numpy()
-        times = np.diff(edge)
-        # an anchor of one string has nothing to be merged
         group = np.concatenate([[0], np.cumsum(anchor[1:] != anchor[:-1])])
-        several = np.bincount(group, weights=count)[group] > 1
-        mine = np.flatnonzero(np.repeat(several, count))
-        found = [np.empty(0, np.int64)] * 3
-        if len(mine):
-            shard = np.repeat(np.arange(len(anchor)), count)[mine]
-            columns = np.zeros((length + int(left[several].max()), len(mine)), np.uint16)
-            symbols, ends = table.column("symbols").to_pylist(), table.column("ends").to_pylist()
-            i = 0
-            for r in np.flatnonzero(several).tolist():
-                k, size = int(count[r]), int(count[r]) * (int(right[r]) + int(left[r]))
-                block = np.frombuffer(symbols[r], np.uint8, size).astype(np.uint16) + 1
-                if ends[r]:
-                    block[np.unpackbits(np.frombuffer(ends[r], np.uint8), count=size).astype(bool)] = 0
-                columns[length - right[r] : length + left[r], i : i + k] = block.reshape(-1, k)
-                i += k
-            string, near, far = merge(group[shard], shard, columns, length)
-            string = mine[string]
-            alone = times[string] == 1
-            found = [string[alone], near[alone], far[alone]]
-        # what stands in several places of one shard repeats there in all its windows
-        many = np.flatnonzero(times > 1)
-        string, near, far = (np.concatenate(x) for x in zip(found, (many, low[many], high[many]), strict=True))
-        n_places = times[string]
-        of = np.repeat(np.arange(len(string)), n_places)
-        row = np.arange(len(of)) + np.repeat(edge[string] - (np.cumsum(n_places) - n_places), n_places)
-        begin, end = place[row] - far[of], place[row] - near[of] + length
-        yield pa.RecordBatch.from_arrays([node.take(pa.array(row)), pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["node", "begin", "end"])
+        several = np.flatnonzero(np.bincount(group, weights=count)[group] > 1)  # one string alone has nothing to be merged with
+        if not len(several):
+            return
+        columns = np.zeros((length + int(left[several].max()), int(count[several].sum())), np.uint16)
+        symbols, ends = table.column("symbols").take(pa.array(several)).to_pylist(), table.column("ends").take(pa.array(several)).to_pylist()
+        i = 0
+        for r, data, over in zip(several.tolist(), symbols, ends, strict=True):
+            k = int(count[r])
+            block = np.frombuffer(data, np.uint8).astype(np.uint16) + 1
+            if over:
+                block[np.unpackbits(np.frombuffer(over, np.uint8), count=len(block)).astype(bool)] = 0
+            columns[length - right[r] : length + left[r], i : i + k] = block.reshape(-1, k)
+            i += k
+        shard = np.repeat(several, count[several])
+        string, near, far = merge(group[shard], shard, columns, length)
+        sids = table.column("sids").take(pa.array(several)).combine_chunks().flatten()
+        yield pa.RecordBatch.from_arrays([sids.take(pa.array(string)), pa.array(near, pa.int16()), pa.array(far, pa.int16())], ["sid", "near", "far"])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -343,22 +323,26 @@ def _merged(shards: DataFrame, n: int, length: int, most: int = 20_000) -> DataF
         if held and sum(b.num_rows for b in held):
             yield from solve(pa.Table.from_batches(held))
 
-    return shards.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(tidied(run), "node binary, begin int, end int")
+    return shards.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(tidied(run), RUN)
+
 
+# --------------------------------------------------------------------------- anchors of many strings
 
-# --------------------------------------------------------------------------- frequent anchors
+# A string of a longer anchor has, beside its own columns, `left` and `right`: all its windows hold the bytes from left
+# before its place to right behind it, which are the anchor.
+GROWN = "sid binary, anchor long, check long, left short, right short, low short, high short, body binary"
 
 
-def _longer(texts: DataFrame, length: int) -> DataFrame:
-    """Marks with longer anchors, for the same windows. Windows that reach further behind a mark's bytes than half of what
-    they have to spare get those bytes too; the others get those in front. An anchor of a whole window is the window's md5,
-    in two numbers."""
-    names = ["node", "place", "anchor", "check", "left", "right", "low", "high"]
+def _longer(rows: DataFrame, length: int) -> DataFrame:
+    """Strings with longer anchors, for the same windows. Windows that reach further behind the anchor than half of what they
+    have to spare get those bytes too, the others those in front. An anchor of a whole window is its md5, in two numbers."""
+    names = [x.split()[0] for x in GROWN.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                _, node, raw, m = _marked(part)
+            for part in (batch.slice(i, 8192) for i in range(0, batch.num_rows, 8192)):
+                raw, m = _bodies(part)
+                m["row"] = np.arange(part.num_rows)
                 half = (length - m["left"] - m["right"] + 1) // 2
                 turn = length - m["right"] - half
                 behind = m | {"right": m["right"] + half, "high": np.minimum(m["high"], turn)}
@@ -371,39 +355,34 @@ def _longer(texts: DataFrame, length: int) -> DataFrame:
                 for i in np.flatnonzero(end - begin == length).tolist():
                     digest = hashlib.md5(raw[begin[i] : end[i]]).digest()
                     anchor[i], check[i] = (int.from_bytes(x, "little", signed=True) for x in (digest[:8], digest[8:]))
-                columns = [pa.array(m["place"], pa.int32()), pa.array(anchor), pa.array(check), *(pa.array(m[x], pa.int32()) for x in names[4:])]
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(m["row"])), *columns], names)
+                data = raw.tobytes()
+                body = [data[a:b] for a, b in zip((m["at"] - m["high"]).tolist(), (m["at"] + length - m["low"]).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("sid").take(pa.array(m["row"])), pa.array(anchor), pa.array(check), *(pa.array(m[x], pa.int16()) for x in names[3:7]), pa.array(body, pa.binary())], names)
 
-    return texts.select("node", "z", "marks").mapInArrow(tidied(run), "node binary, place int, anchor long, check long, left int, right int, low int, high int")
+    return rows.select("sid", "left", "right", "low", "high", "body").mapInArrow(tidied(run), GROWN)
 
 
-def _narrowed(texts: DataFrame, scratch: Scratch, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Texts with the marks whose anchors have grown until they occur `hot` times at most; and node, begin, end of the
-    windows that are anchors themselves and occur twice or more."""
+def _narrowed(rows: DataFrame, scratch: Scratch, length: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Strings whose anchors have grown until they have `hot` strings at most; and runs of the windows that are anchors
+    themselves and stand in two strings or more."""
     few, whole, step = None, None, 0
-    # an anchor grows by half of what is left to the window, so the rounds are at most as many as the window's bits
+    rows = rows.withColumn("left", F.lit(0).cast("short")).withColumn("right", F.lit(GRAM).cast("short"))
+    # an anchor grows by half of what a window has to spare, so there are no more rounds than that number has bits
     while True:
-        longer = scratch.write(_longer(texts, length), f"longer{step}")
-        twice = scratch.write(longer.groupBy("anchor", "check").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("anchor").alias("of"), F.col("check").alias("and_of"), "k"), f"twice{step}")
-        known = longer.join(twice, (F.col("anchor") == F.col("of")) & (F.col("check") == F.col("and_of")))
-        ready = known.filter(F.col("left") + F.col("right") == length).select("node", (F.col("place") - F.col("left")).alias("begin"), (F.col("place") + F.col("right")).alias("end"))
-        whole = ready if whole is None else whole.unionByName(ready)
-        marks = F.collect_list(F.struct("place", "anchor", "left", "right", "low", "high", "k")).alias("marks")
-        of_node = known.filter(F.col("left") + F.col("right") < length).groupBy(F.col("node").alias("at")).agg(marks)
-        found = scratch.write(texts.select("node", "z").join(of_node, F.col("node") == F.col("at")).select("node", "z", "marks"), f"narrowed{step}")
-        mine = _having(found, lambda m: m["k"] <= hot)
+        longer = scratch.write(_longer(rows, length), f"longer{step}")
+        twice = longer.groupBy("anchor", "check").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("anchor").alias("of"), F.col("check").alias("and_of"), "k")
+        known = longer.join(scratch.write(twice, f"twice{step}"), (F.col("anchor") == F.col("of")) & (F.col("check") == F.col("and_of")))
+        done = F.col("left") + F.col("right") == length
+        found = known.filter(done).select("sid", F.col("low").alias("near"), F.col("high").alias("far"))
+        whole = found if whole is None else whole.unionByName(found)
+        mine = known.filter(~done & (F.col("k") <= hot)).select("sid", "anchor", "low", "high", "body")
         few = mine if few is None else few.unionByName(mine)
-        texts = _having(found, lambda m: m["k"] > hot)
-        if texts.isEmpty():
+        rows = known.filter(~done & (F.col("k") > hot))
+        if rows.isEmpty():
             return few, whole
         step += 1
 
 
-def _having(texts: DataFrame, which: Callable[[Column], Column]) -> DataFrame:
-    """node, z, marks: texts with those of their marks for which a condition holds, if any."""
-    return texts.select("node", "z", F.filter("marks", which).alias("marks")).filter(F.size("marks") > 0)
-
-
 def united(spans) -> list[tuple[int, int]]:
     """The maximal runs of spans (begin, end); those that touch are one."""
     out: list[list[int]] = []
@@ -438,6 +417,20 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(tidied(run), RESULT)
 
 
+def _runs(pieces: DataFrame, scratch: Scratch, n: int, length: int, hot: int) -> DataFrame:
+    """sid, near, far: the windows of strings that start anywhere else as well, as runs of distances."""
+    one = pieces.groupBy("sid").agg(F.first(F.struct("anchor", "low", "high", "body")).alias("s"), F.sum(F.size("at")).alias("times"))
+    rows = scratch.write(one.select("sid", "s.*", "times"), "strings")
+    many = rows.filter("times > 1").select("sid", F.col("low").alias("near"), F.col("high").alias("far"))
+    hottest = scratch.write(rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select(F.col("anchor").alias("of")), "hottest")
+    if hottest.isEmpty():
+        return _merged(_shards(rows, length), n, length).unionByName(many)
+    hot_one = F.col("anchor") == F.col("of")
+    few, whole = _narrowed(rows.join(hottest, hot_one, "left_semi"), scratch, length, hot)
+    rest = rows.join(hottest, hot_one, "left_anti").select("sid", "anchor", "low", "high", "body")
+    return _merged(_shards(rest.unionByName(few), length), n, length).unionByName(whole).unionByName(many)
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """The texts with a repeated anchor or copies, cut (node, n_bytes, n_removed, n_spans, kept), and the nodes of those."""
     spark = docs.sparkSession
@@ -445,22 +438,16 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[Dat
     scratch = Scratch(spark, "suffixes")
     marks = scratch.write(_anchored(docs, length), "anchors")
     # a table of its own, so that the join's two sides are plain shuffles and Spark can split a frequent anchor's rows
-    twice = scratch.write(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").withColumnRenamed("anchor", "of"), "twice")
-    frequent = not twice.filter(F.col("k") > hot).isEmpty()
-    mark = F.struct("place", "anchor", F.lit(0).alias("left"), F.lit(GRAM).alias("right"), F.col("low").cast("int").alias("low"), F.col("high").cast("int").alias("high"), "k")
-    of_node = marks.join(twice, F.col("anchor") == F.col("of")).groupBy("node").agg(F.collect_set(mark).alias("marks"))
+    twice = scratch.write(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("anchor").alias("of")), "twice")
+    of_node = marks.join(twice, F.col("anchor") == F.col("of")).groupBy("node").agg(F.collect_set(F.struct("place", "anchor", "low", "high")).alias("marks"))
     texts = _packed(docs).groupBy("node").agg(F.count(F.lit(1)).alias("k"), F.first("z").alias("z"))
     suspects = scratch.write(texts.join(of_node, "node", "left").filter("marks IS NOT NULL OR k > 1"), "suspects")
     scratch.drop("anchors")
     scratch.drop("twice")
-    marked = suspects.filter("marks IS NOT NULL").select("node", "z", "marks")
-    if frequent:
-        few, whole = _narrowed(_having(marked, lambda m: m["k"] > hot), scratch, length, hot)
-        marked = _having(marked, lambda m: m["k"] <= hot).unionByName(few)
-    runs = _merged(_shards(marked, length), n, length)
-    if frequent:
-        runs = runs.unionByName(whole)
-    spans = runs.groupBy("node").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    pieces = scratch.write(_pieces(suspects.filter("marks IS NOT NULL"), length), "pieces")
+    runs = _runs(pieces, scratch, n, length, hot).withColumnRenamed("sid", "of")
+    spans = pieces.select("sid", "at").join(runs, F.col("sid") == F.col("of")).select(F.explode("at").alias("x"), "near", "far")
+    spans = spans.groupBy(F.col("x.node").alias("node")).agg(F.collect_list(F.struct((F.col("x.place") - F.col("far")).alias("begin"), (F.col("x.place") - F.col("near") + length).alias("end"))).alias("spans"))
     cut = _cut(suspects.select("node", "k", "z").join(spans, "node", "left"), length)
     return cut, suspects.select("node")
 

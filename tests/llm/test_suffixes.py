@@ -49,7 +49,7 @@ def test_against_brute_force(spark):
         texts = corpus(rng)
         docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
         want = brute(texts)
-        for options in ({}, {"hot": 1}, {"hot": 4}):
+        for options in ({}, {"hot": 1}, {"hot": 3}):
             if options:
                 rows, _ = suffixes.repeated(docs, **options)
                 got = {r.node: (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in rows.collect()}
