@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, Scratch, prefix, range_hash, slices, tidied, utf8, words
+from .common import U, Scratch, buckets, prefix, range_hash, slices, tidied, utf8, words
 
 #: Plain English insults, and second persons of four languages.
 INSULTS = ("clown", "disgusting", "dumb", "fool", "hate", "idiot", "idiots", "imbecile", "loser", "losers", "moron", "morons", "pathetic", "scum", "stupid", "trash", "ugly", "useless", "vile", "worthless")
@@ -122,6 +122,9 @@ def features(column: pa.Array, keys: np.ndarray, weights: np.ndarray) -> np.ndar
     if len(raw) > 2:
         hidden[1:-1] = _HIDING[raw[1:-1]] & alpha[:-2] & alpha[2:]
         stretched[1:-1] = alpha[1:-1] & (low[1:-1] == low[:-2]) & (low[1:-1] == low[2:])
+        filled = at[:-1] < at[1:]
+        edge = np.concatenate([at[:-1][filled], at[1:][filled] - 1])  # a text's neighbours don't count
+        hidden[edge] = stretched[edge] = False
     mark = (raw > 0x20) & ~_WORDY[raw]
     mean = np.divide(count(row, size.astype(float)), n_words, out=np.zeros(n), where=n_words > 0)
     return np.stack(
@@ -150,9 +153,9 @@ def sample(labels: DataFrame, bound: int) -> DataFrame:
     return drawn.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)).cast("int"))
 
 
-def lexicon(taught: DataFrame, most: int = 400, lift: float = 6.0, support: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+def lexicon(taught: DataFrame, lift: float = 6.0, support: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Terms that stand in labelled-1 texts at least `lift` times as often as in others, and in a share `support` of those of
-    a language at least roughly: at most `most` terms, by log odds and support."""
+    a language at least roughly. How many there are is bounded by the share, and the texts by the sample's bound."""
 
     def count(batches):
         for batch in batches:
@@ -172,7 +175,7 @@ def lexicon(taught: DataFrame, most: int = 400, lift: float = 6.0, support: floa
     odds = F.log((F.col("pos") + 0.5) / F.lit(p + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n - p + 1.0))
     found = taught.select("text", "label").mapInArrow(tidied(count), "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     found = found.filter(F.col("pos") >= max(3, support * p / 4)).withColumn("odds", odds).filter(F.col("odds") >= float(np.log(lift)))
-    rows = found.orderBy((F.col("odds") * F.sqrt("pos")).desc(), "term").limit(most).collect()  # a bounded lexicon
+    rows = found.collect()  # of a bounded sample
     keys = np.array([r["term"] for r in rows], np.int64).view(U)
     order = np.argsort(keys)
     return keys[order], np.array([r["odds"] for r in rows])[order]
@@ -200,11 +203,11 @@ def score(docs: DataFrame, labels: DataFrame, bound: int = 60_000, trees: int =
 
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    drawn = F.broadcast(scratch.write(sample(labels, bound).coalesce(4), "sample"))  # at most `bound` narrow rows
+    drawn = F.broadcast(scratch.write(sample(labels, bound), "sample"))  # at most `bound` narrow rows
     taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(drawn.filter("fold < 2"), "doc_id")
     keys, weights = lexicon(taught)
     rows = scratch.write(measured(docs, keys, weights), "features")
-    labelled = scratch.write(rows.join(drawn, "doc_id").filter("fold >= 2").select(array_to_vector("f").alias("features"), F.col("label").cast("double").alias("label"), "fold").repartition(6), "labelled")
+    labelled = scratch.write(rows.join(drawn, "doc_id").filter("fold >= 2").select(array_to_vector("f").alias("features"), F.col("label").cast("double").alias("label"), "fold").repartition(buckets(spark)), "labelled")
     kinds = {(r["fold"] < 4, r["label"]): r["n"] for r in labelled.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not all((True, x) in kinds for x in (0.0, 1.0)):
         base = labelled.agg(F.coalesce(F.avg("label"), F.lit(0.0))).first()[0]
