@@ -3,8 +3,8 @@
 Each text has a vector of transformed statistics. For each language and source, the minimum covariance determinant
 gives a location and a scatter that outliers don't pull: from two starts (medians and deviations from them; the same with
 the correlations of squashed scores), concentration steps refit to the half of the rows that are nearest, (n + p + 1) / 2
-of n rows with p statistics, so that junk may make up nearly half of a group; and the fit with the smaller determinant is
-refit once to all rows that it doesn't call outlying. A row is rejected if its
+of n rows with p statistics, so that junk may make up nearly half of a group, until no determinant changes; and the fit
+with the smaller determinant is refit once to all rows that it doesn't call outlying. A row is rejected if its
 Mahalanobis distance from its group's fit is beyond a chi-square quantile, or by the base rules.
 
 A step is one aggregation: rows are counted and summed up by group and by bin of their distance, which is combined
@@ -12,7 +12,8 @@ before the shuffle, so a group of any size costs its few hundred bins. The fits
 never gathered on the driver.
 
 Groups with fewer than `least` rows (nulls in lang or source are a value of their own) use their language's fit; if
-that has too few as well, only the base rules hold. Null text has no words, so it fails the base rules; rows that fail
+that has too few as well, the fit to all rows. Lines and windows of words are told apart within a text by 64-bit hashes.
+Null text has no words, so it fails the base rules; rows that fail
 them don't count in the fits. Equal rows have equal verdicts. An empty table gives an empty result. Extra columns are
 kept by keep() and ignored by digest().
 """
@@ -143,8 +144,9 @@ def chi2_quantile(p: float, degrees: int) -> float:
 
 # --------------------------------------------------------------------------- fits
 
-UNIT = ["u_lang", "u_source", "pooled", "start"]
-FIT = "u_lang string, u_source string, pooled boolean, start int, n long, mu array<double>, w array<double>, logdet double"
+#: level: 0 for a language and source, 1 for a language, 2 for all rows.
+UNIT = ["u_lang", "u_source", "level", "start"]
+FIT = "u_lang string, u_source string, level int, start int, n long, mu array<double>, w array<double>, logdet double"
 _PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 _FLOOR = np.array([s for _, s in STATISTICS])
 
@@ -237,39 +239,45 @@ def _starts(rows: DataFrame) -> DataFrame:
                 for k, corr in ((0, np.eye(P)), (1, 0.99 * cov / np.outer(sd, sd) * (np.diag(cov) > 1e-12) + 0.01 * np.eye(P))):
                     values, vectors = np.linalg.eigh(corr * np.outer(scale, scale))
                     w, logdet = _whitened((vectors * np.maximum(values, 0)) @ vectors.T)
-                    out.append([r.u_lang, r.u_source, r.pooled, k, int(r.n), list(r.mu), w, logdet])
+                    out.append([r.u_lang, r.u_source, r.level, k, int(r.n), list(r.mu), w, logdet])
             yield pd.DataFrame(out, columns=[*UNIT, "n", "mu", "w", "logdet"])
 
     return sums.mapInPandas(start, FIT)
 
 
-def fits(rows: DataFrame, scratch: Scratch, steps: int = 3, h: float = 0.5, within: float = 0.999) -> DataFrame:
-    """A fit for each language and source, and for each language (pooled)."""
+def fits(rows: DataFrame, scratch: Scratch, steps: int = 20, h: float = 0.5, within: float = 0.999, still: float = 0.01) -> DataFrame:
+    """A fit for each language and source, for each language, and for all rows. Concentration steps go on until no log of a
+    determinant changes by more than `still`, or there were `steps` of them."""
     own = rows.filter(~F.col("base_failed")).select("lang", "source", "v")
-    unit = lambda source, pooled: F.struct(F.col("lang").alias("u_lang"), (F.col(source) if source else F.lit(None).cast("string")).alias("u_source"), F.lit(pooled).alias("pooled"))
-    units = own.select(F.inline(F.array(unit("source", False), unit(None, True))), "v")
+    none = F.lit(None).cast("string")
+    unit = lambda lang, source, level: F.struct(lang.alias("u_lang"), source.alias("u_source"), F.lit(level).alias("level"))
+    units = own.select(F.inline(F.array(unit(F.col("lang"), F.col("source"), 0), unit(F.col("lang"), none, 1), unit(none, none, 2))), "v")
     now = scratch.write(_starts(units), "fit0")
     for k in range(steps):
-        now = scratch.write(_step(units, now, h), f"fit{k + 1}")
-    best = now.groupBy(*UNIT[:3]).agg(F.min_by(F.struct("start", "n", "mu", "w", "logdet"), F.struct("logdet", "start")).alias("b")).select(*UNIT[:3], "b.*")
-    last = scratch.write(_step(units, best, None, chi2_quantile(within, P)), "fit")
-    for k in range(steps + 1):
+        last, now = now, scratch.write(_step(units, now, h), f"fit{k + 1}")
+        before = _joined(now.select(*UNIT, "logdet"), last.select(*UNIT, F.col("logdet").alias("was")), UNIT)
+        moved = before.filter(F.abs(F.col("logdet") - F.col("was")) > still).limit(1).count()
         scratch.drop(f"fit{k}")
-    return last
+        if not moved:
+            break
+    best = now.groupBy(*UNIT[:3]).agg(F.min_by(F.struct("start", "n", "mu", "w", "logdet"), F.struct("logdet", "start")).alias("b")).select(*UNIT[:3], "b.*")
+    return scratch.write(_step(units, best, None, chi2_quantile(within, P)), "fit")
 
 
 def assess(docs: DataFrame, keep: list[str], quantile: float = 1 - 1e-7, least: int = 50, **options) -> DataFrame:
     """The columns of measured(), and distance and kept."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.write(measured(docs, keep), "measured")
-    found = fits(rows, scratch, **options).filter(F.col("n") >= least).select("u_lang", "u_source", "pooled", "mu", "w")
-    own = found.filter(~F.col("pooled")).select(F.col("u_lang").alias("a_lang"), F.col("u_source").alias("a_source"), F.struct("mu", "w").alias("a"))
-    wide = found.filter("pooled").select(F.col("u_lang").alias("b_lang"), F.struct("mu", "w").alias("b"))
-    both = rows.join(own, F.col("lang").eqNullSafe(F.col("a_lang")) & F.col("source").eqNullSafe(F.col("a_source")), "left").join(wide, F.col("lang").eqNullSafe(F.col("b_lang")), "left")
-    fit = F.coalesce("a", "b")
-    judged = both.withColumn("mu", fit["mu"]).withColumn("w", fit["w"]).withColumn("distance", F.sqrt(_distance()))
+    found = fits(rows, scratch, **options).filter((F.col("n") >= least) | (F.col("level") == 2))
+    fit = F.struct("mu", "w")
+    own = found.filter("level = 0").select(F.col("u_lang").alias("a_lang"), F.col("u_source").alias("a_source"), fit.alias("a"))
+    wide = found.filter("level = 1").select(F.col("u_lang").alias("b_lang"), fit.alias("b"))
+    last = found.filter("level = 2").select(fit.alias("c"))  # one row, or none in an empty table
+    both = rows.join(own, F.col("lang").eqNullSafe(F.col("a_lang")) & F.col("source").eqNullSafe(F.col("a_source")), "left").join(wide, F.col("lang").eqNullSafe(F.col("b_lang")), "left").join(F.broadcast(last), F.lit(True), "left")
+    chosen = F.coalesce("a", "b", "c")
+    judged = both.withColumn("mu", chosen["mu"]).withColumn("w", chosen["w"]).withColumn("distance", F.sqrt(_distance()))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= math.sqrt(chi2_quantile(quantile, P)))
-    return judged.withColumn("kept", kept).drop("mu", "w", "a", "b", "a_lang", "a_source", "b_lang")
+    return judged.withColumn("kept", kept).drop("mu", "w", "a", "b", "c", "a_lang", "a_source", "b_lang")
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:

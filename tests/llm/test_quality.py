@@ -53,38 +53,64 @@ def test_outliers_go_and_the_rest_stays(spark, no_docs):
     assert quality.digest(no_docs).collect() == []
 
 
-def exact_fit(v, steps=3, h=0.75, within=0.999):
-    """The same fit with sorted distances instead of bins."""
-    p = quality.P
-    floor = np.diag([s**2 for _, s in quality.STATISTICS])
+def exact_fit(v, within=0.999):
+    """Distances by the minimum covariance determinant with sorted distances instead of bins, from the same two starts."""
+    n, p = v.shape
+    floors = np.array([s for _, s in quality.STATISTICS])
 
     def distance(mu, cov):
         d = v - mu
-        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov + floor), d)
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov + np.diag(floors**2)), d)
 
     def of(x, share):
         q = quality.chi2_quantile(share, p)
         return x.mean(0), np.cov(x.T, bias=True) * share / quality.chi2_cdf(q, p + 2)
 
     mu = np.median(v, 0)
-    cov = np.diag((1.4826 * np.median(np.abs(v - mu), 0)) ** 2)
-    for _ in range(steps):
-        mu, cov = of(v[np.argsort(distance(mu, cov))[: int(np.ceil(h * len(v)))]], h)
-    mu, cov = of(v[distance(mu, cov) <= quality.chi2_quantile(within, p)], 0.975)
-    return np.sqrt(distance(mu, cov))
-
-
-def test_distances_against_an_exact_fit(spark):
+    mad = 1.4826 * np.median(np.abs(v - mu), 0)
+    y = np.tanh((v - mu) / np.maximum(mad, floors))
+    corr = np.nan_to_num(np.corrcoef(y.T)) * 0.99 + 0.01 * np.eye(p)
+    np.fill_diagonal(corr, 1)
+    best = None
+    half = int((n + p + 1) / 2)
+    for start in (np.eye(p), corr):
+        m, cov = mu, start * np.outer(mad, mad)
+        for _ in range(50):
+            m, cov = of(v[np.argsort(distance(m, cov))[:half]], half / n)
+        size = np.linalg.slogdet(cov + np.diag(floors**2))[1]
+        if best is None or size < best[0]:
+            best = size, m, cov
+    m, cov = of(v[distance(*best[1:]) <= quality.chi2_quantile(within, p)], 0.975)
+    return np.sqrt(distance(m, cov))
+
+
+def test_verdicts_against_an_exact_fit(spark):
     rng = random.Random(3)
-    rows = [(i, prose(rng, rng.randrange(60, 400)).capitalize() + (" |||" * 30 if i % 9 == 0 else ""), "en", "a", 0) for i in range(400)]
+    kinds = ("", " |||" * 30, " 12345" * 20, " A.B.C!" * 25, " é" * 3, " x#" * 2)
+    rows = [(i, prose(rng, rng.randrange(60, 400)).capitalize() + kinds[rng.choices(range(6), (80, 4, 4, 4, 4, 4))[0]], "en", "a", 0) for i in range(500)]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = {r.doc_id: r.distance for r in quality.digest(docs).collect()}
+    got = {r.doc_id: r for r in quality.digest(docs).collect()}
     _, vector = quality.statistics(pa.array([r[1] for r in rows]))
-    want = exact_fit(vector)
-    assert np.corrcoef(want, [got[i] for i in range(400)])[0, 1] > 0.99
+    want = exact_fit(vector[[not got[i].base_failed for i in range(500)]])
+    rows_in = [i for i in range(500) if not got[i].base_failed]
+    cut = np.sqrt(quality.chi2_quantile(1 - 1e-7, quality.P))
+    assert np.abs(want / np.array([got[i].distance for i in rows_in]) - 1).max() < 0.1
+    clear = np.abs(want / cut - 1) > 0.05
+    assert clear.mean() > 0.9 and 10 < (want > cut).sum() < 120
+    assert all(got[i].kept == (d <= cut) for i, d, c in zip(rows_in, want, clear) if c)
     assert abs(quality.chi2_cdf(quality.chi2_quantile(0.9, 8), 8) - 0.9) < 1e-9
 
 
+def test_small_groups_use_the_fit_to_all_rows(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randrange(60, 300)).capitalize(), "en", "a", 0) for i in range(200)]
+    rows += [(200, prose(rng, 100).capitalize(), "xx", "b", 0), (201, " ".join(w + "###" for w in prose(rng, 100).split()), "xx", "b", 0)]
+    got = {r.doc_id: r.kept for r in quality.digest(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[200] and not got[201]
+    few = quality.digest(spark.createDataFrame(rows[:3], SCHEMA)).collect()
+    assert all(r.kept for r in few)
+
+
 def test_groups_with_nearly_half_junk(spark):
     """Junk that passes the base rules goes, whether varied or copies of one text, and the rest stays."""
     rng = random.Random(4)
