@@ -1,19 +1,21 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-A text is a set of shingles of five words (one shingle of all its words if it has fewer). Shingles arrive as Poisson
-processes with their weights as rates; each arrival goes to one of m registers, and a register keeps the shingle that
-arrived first. A shingle's process stops once its next arrival is later than all registers of its text (early
-termination). Two texts agree in a register with the probability Jaccard of their weighted shingles; every distinct
-shingle has weight 1, however often it occurs, so that is the Jaccard similarity of their sets, by which they are
-verified too. Bands of registers give candidates, and texts whose sets of shingles have a Jaccard similarity of at least
-the threshold are linked. Classes are connected components of the links.
+A text has shingles of five words (one shingle of all its words if it has fewer), each with a weight: 1 (`weights="once"`),
+or how often it occurs (`weights="count"`). Shingles arrive as Poisson processes with their weights as rates; each arrival
+goes to one of m registers, and a register keeps the shingle that arrived first. A shingle's process stops once its next
+arrival is later than all registers of its text (early termination). Two texts agree in a register with the probability
+Jaccard of their weighted shingles, sum over shared i of 1 / sum over j of max(a_j / a_i, b_j / b_i); with weights of 1
+that is the Jaccard similarity of their sets. Bands of registers give candidates, and texts whose similarity by the same
+measure, computed exactly, is at least the threshold are linked. Classes are connected components of the links.
 
 How links are found without the pairs of a group:
 1. Equal texts are one node. Only nodes have bands, and equal texts are never compared.
 2. In each bucket of a band every node is compared with the bucket's leader (its least node).
-3. Buckets whose nodes are by then all in one component are closed. In the others, all pairs of nodes in different
-   components whose registers agree nearly as often as the threshold asks for are compared as well, within tasks, which
-   give links, not pairs; large buckets are dealt out as pairs of blocks.
+3. Buckets whose nodes are by then all in one component are closed. In the others, nodes in different components are
+   compared within tasks, which give links, not pairs; large buckets are dealt out as pairs of blocks of bounded size.
+   No pair that could be similar enough is left out: of two sets alike by t, the rarest 1 - t of each share a shingle, in
+   any one order by rarity, and only pairs that do are looked at. So texts that share a frequent template and nothing
+   rare are not compared.
 
 Texts without words have no shingles and are linked to equal texts only. Null text counts as empty. Null doc_id
 counts as the largest when a class's id is its least doc_id. Repeated rows are equal texts. An empty table gives an
@@ -66,6 +68,34 @@ def sets(raw: np.ndarray, at: np.ndarray, k: int = WIDTH) -> tuple[np.ndarray, n
     return rows[first], window[first], np.diff(np.append(first, len(rows)))
 
 
+def weighted(count: np.ndarray, weights: str) -> np.ndarray:
+    """The shingles' weights, from how often they occur."""
+    if weights not in ("once", "count"):
+        raise ValueError("weights are once or count")
+    return count.astype(float) if weights == "count" else np.ones(len(count))
+
+
+def alike(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
+    """The probability Jaccard of two texts with sorted shingles a and b, and their weights x and y."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    here = b[at] == a
+    if not here.any():
+        return 0.0
+    p, q = x[here], y[at[here]]
+    if (p == 1).all() and (q == 1).all() and x.max() == 1 and y.max() == 1:
+        return len(p) / (len(a) + len(b) - len(p))
+    only_a, only_b = x.sum() - p.sum(), y.sum() - q.sum()
+    # by the ratio of the weights: max(a_j / a_i, b_j / b_i) is the first where b_j / a_j is at most b_i / a_i
+    ratio = q / p
+    order = np.argsort(ratio, kind="stable")
+    ratio, p, q = ratio[order], p[order], q[order]
+    upto = np.searchsorted(ratio, ratio, side="right")
+    below, above = np.cumsum(p)[upto - 1], q.sum() - np.cumsum(q)[upto - 1]
+    return float((1 / ((only_a + below) / p + (only_b + above) / q)).sum())
+
+
 def registers(row: np.ndarray, item: np.ndarray, weight: np.ndarray, n: int, m: int = REGISTERS) -> np.ndarray:
     """The item of the first arrival in each of m registers, for each of n rows (0 for rows without items)."""
     earliest = np.full(n * m, np.inf)
@@ -100,27 +130,26 @@ def banded(kept: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs as c0_, c1_ ..., doc_id, node (of the text), n (shingles), bands and signature."""
+def signed(docs: DataFrame, keep: list[str], weights: str = "once") -> DataFrame:
+    """The columns `keep` of docs as c0_, c1_ ..., doc_id, node (of the text), n (different shingles) and bands."""
     kept = [f"c{i}_" for i in range(len(keep))]
     read = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fields = [f for f in read.schema.fields if f.name != "text"]
-    schema = T.StructType([*fields, T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
+    schema = T.StructType([*fields, T.StructField("node", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
                 raw, at = utf8(part.column("text"))
                 n = part.num_rows
-                row, item, _ = sets(raw, at)
-                found = registers(row, item, np.ones(len(row)), n)
+                row, item, count = sets(raw, at)
+                found = registers(row, item, weighted(count, weights), n)
                 size = np.bincount(row, minlength=n)
                 text = raw.tobytes()
                 node = [hashlib.md5(text[a:b]).digest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 bands = banded(found).view(np.int64)
                 lists = [b.tolist() if s else [] for b, s in zip(bands, size, strict=True)]
-                signature = [x.tobytes() for x in (found >> U(32)).astype("<u4")]
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(lists, pa.list_(pa.int64())), pa.array(signature, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in fields], pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], schema.names)
 
     return read.mapInArrow(tidied(run), schema)
 
@@ -128,13 +157,22 @@ def signed(docs: DataFrame, keep: list[str]) -> DataFrame:
 # --------------------------------------------------------------------------- verification
 
 
-def text_of_nodes(docs: DataFrame) -> DataFrame:
-    """node, text: one row for each distinct text; equal texts meet before the shuffle already."""
+def text_of_nodes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the nodes wanted: one row for each; equal texts meet before the shuffle already."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text")).groupBy("node").agg(F.first("text").alias("text"))
+    rows = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
+    return rows.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
 
+def _bounded(part: pa.RecordBatch, weights: str):
+    """The shingles and weights of each row of a batch with texts."""
+    row, item, count = sets(*utf8(part.column("text")))
+    weight = weighted(count, weights)
+    bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+    return [(item[a:b], weight[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, weights: str = "once") -> DataFrame:
     """The pairs (a, b) whose texts are similar enough. A text stands beside blocks of the texts it is compared with."""
     block = 256
     sizes = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
@@ -145,27 +183,18 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     rows = wanted.join(texts, "node").repartition(buckets(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "side", "node")
 
     def run(batches):
-        head: tuple | None = None  # of the group that goes on: (a, salt), its shingles
+        head: tuple | None = None  # of the group that goes on: (a, salt), its shingles and their weights
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                raw, at = utf8(part.column("text"))
-                row, item, _ = sets(raw, at)
-                bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
                 a, salt, side, node = (part.column(c).to_pylist() for c in ("a", "salt", "side", "node"))
                 out_a, out_b = [], []
-                for i in range(part.num_rows):
-                    own = item[bounds[i] : bounds[i + 1]]
+                for i, (item, weight) in enumerate(_bounded(part, weights)):
                     if side[i] == 0:
-                        head = ((a[i], salt[i]), own.copy())
+                        head = ((a[i], salt[i]), item.copy(), weight.copy())
                         continue
                     if head is None or head[0] != (a[i], salt[i]):
                         raise ValueError("a block without its text")
-                    small, large = (own, head[1]) if len(own) <= len(head[1]) else (head[1], own)
-                    if not len(small) or len(small) < threshold * len(large):
-                        continue
-                    found = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                    shared = int((large[found] == small).sum())
-                    if shared >= threshold * (len(small) + len(large) - shared) - 1e-9:
+                    if alike(item, weight, *head[1:]) >= threshold - 1e-9:
                         out_a.append(a[i])
                         out_b.append(node[i])
                 yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
@@ -201,14 +230,38 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 # --------------------------------------------------------------------------- links left between components
 
 
-def _links(node: list, root: list, sig: np.ndarray, items: list, mine: np.ndarray, band: int, across: bool, threshold: float, least: int):
+def _sharing(items: list[np.ndarray], threshold: float):
+    """Groups of the sets that share one of their rarest shingles: two sets alike by the threshold are in one of them.
+
+    Shingles are ordered by how many of the sets have them. Of a set of n, the first n - ceil(threshold n) + 1 count: two
+    sets that share none of those have too few others left to share.
+    """
+    size = np.fromiter(map(len, items), np.int64, len(items))
+    owner = np.repeat(np.arange(len(items)), size)
+    shingle, back, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    rank = np.empty(len(shingle), np.int64)
+    rank[np.lexsort((shingle, times))] = np.arange(len(shingle))
+    order = np.lexsort((rank[back], owner))
+    owner, rank = owner[order], rank[back][order]
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+    first = place < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]
+    owner, rank = owner[first], rank[first]
+    order = np.argsort(rank, kind="stable")
+    owner, rank = owner[order], rank[order]
+    edge = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1], [True]]))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        if b - a > 1:
+            yield owner[a:b]
+
+
+def _links(node: list, root: list, sets_: list, mine: list, across: bool, threshold: float, weights: str):
     """Links between components among the nodes of one bucket (of one pair of its blocks, if `across`).
 
-    A pair is compared in the first band that it shares, so in one bucket only, and only while the links found so far
-    leave it in two components.
+    A pair is compared once, and only while the links found so far leave it in two components.
     """
-    _, label = np.unique(np.array([r.hex() for r in root]), return_inverse=True)
-    parent = np.arange(int(label.max()) + 1)
+    number: dict = {}
+    parent = [number.setdefault(r, len(number)) for r in root]
+    label, parent = parent, list(range(len(number)))
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -216,64 +269,51 @@ def _links(node: list, root: list, sig: np.ndarray, items: list, mine: np.ndarra
             x = parent[x]
         return x
 
-    size = np.fromiter(map(len, items), np.int64, len(items))
-    for i in range(len(node) - 1):
-        fits = (label[i + 1 :] != label[i]) & (np.minimum(size[i + 1 :], size[i]) >= threshold * np.maximum(size[i + 1 :], size[i]))
-        if across:
-            fits &= mine[i + 1 :] != mine[i]
-        at = np.flatnonzero(fits) + i + 1
-        if not len(at):
-            continue
-        same = sig[at] == sig[i]
-        close = same.sum(1) >= least
-        at, same = at[close], same[close]
-        earlier = same.reshape(len(at), BANDS, ROWS)[:, :band].all(2).any(1)
-        for j in at[~earlier]:
-            if find(label[i]) == find(label[j]):
-                continue
-            small, large = (items[i], items[j]) if size[i] <= size[j] else (items[j], items[i])
-            found = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            shared = int((large[found] == small).sum())
-            if shared >= threshold * (size[i] + size[j] - shared) - 1e-9:
-                parent[find(label[i])] = find(label[j])
-                yield node[i], node[j]
-
-
-def left_over(bands: DataFrame, nodes: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float, slack: float = 0.15, block: int = 512) -> DataFrame:
+    items = [x for x, _ in sets_]
+    seen: set = set()
+    for group in _sharing(items, threshold) if weights == "once" else [np.arange(len(node))]:
+        group = group.tolist()
+        for k, i in enumerate(group):
+            for j in group[k + 1 :]:
+                small, large = sorted((len(items[i]), len(items[j])))
+                if (across and mine[i] == mine[j]) or (weights == "once" and small < threshold * large - 1e-9) or find(label[i]) == find(label[j]) or (i, j) in seen:
+                    continue
+                seen.add((i, j))
+                if alike(*sets_[i], *sets_[j]) >= threshold - 1e-9:
+                    parent[find(label[i])] = find(label[j])
+                    yield node[i], node[j]
+
+
+def left_over(bands: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float, weights: str = "once", block: int = 1 << 20) -> DataFrame:
     """Links (a, b) of nodes that share a bucket but are in different components so far.
 
-    Pairs whose registers agree less often than the threshold less `slack` (four standard deviations) are left out, all
-    others are verified, within tasks: what comes out is links, fewer than nodes. A bucket with more nodes than a block is
-    dealt out as pairs of blocks.
+    All of them are verified, within tasks: what comes out is links, fewer than nodes. A bucket is dealt out as pairs of
+    blocks with about `block` shingles each.
     """
-    comp = bands.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
-    sizes = comp.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("k")).filter("low != high").select(F.col("bucket").alias("open"), "k")
+    comp = bands.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    sizes = comp.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum("n").alias("k")).filter("low != high").select(F.col("bucket").alias("open"), "k")
     n = F.ceil(F.col("k") / block).cast("int")
     members = comp.join(sizes, F.col("bucket") == F.col("open")).withColumn("mine", F.pmod(F.xxhash64("node"), n).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    tiled = members.select("bucket", "band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root")
-    full = nodes.select("node", "signature").join(texts, "node").withColumnRenamed("node", "at")
-    rows = tiled.join(full, F.col("node") == F.col("at")).select("bucket", "band", "x", "y", "mine", "node", "root", "signature", "text")
+    tiled = members.select("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root")
+    rows = tiled.join(texts.withColumnRenamed("node", "at"), F.col("node") == F.col("at")).select("bucket", "x", "y", "mine", "node", "root", "text")
     rows = rows.repartition(buckets(bands.sparkSession), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
-    least = int((threshold - slack) * REGISTERS)
 
     def run(batches):
         key, group = None, []
 
         def give():
-            found = list(_links([g[0] for g in group], [g[1] for g in group], np.stack([g[2] for g in group]), [g[3] for g in group], np.array([g[4] for g in group]), group[0][5], key[1] != key[2], threshold, least)) if len(group) > 1 else []
+            found = list(_links(*map(list, zip(*group, strict=True)), key[1] != key[2], threshold, weights)) if len(group) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], ["a", "b"])
 
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                row, item, _ = sets(*utf8(part.column("text")))
-                bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
-                columns = [part.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "root", "signature", "mine", "band")]
-                for i, (bucket, x, y, node, root, signature, mine, band) in enumerate(zip(*columns, strict=True)):
+                columns = [part.column(c).to_pylist() for c in ("bucket", "x", "y", "node", "root", "mine")]
+                for (item, weight), bucket, x, y, node, root, mine in zip(_bounded(part, weights), *columns, strict=True):
                     if (bucket, x, y) != key:
                         if group:
                             yield give()
                         key, group = (bucket, x, y), []
-                    group.append((node, root, np.frombuffer(signature, "<u4"), item[bounds[i] : bounds[i + 1]].copy(), mine, band))
+                    group.append((node, root, (item.copy(), weight.copy()), mine))
         if group:
             yield give()
 
@@ -283,27 +323,27 @@ def left_over(bands: DataFrame, nodes: DataFrame, texts: DataFrame, labels: Data
 # --------------------------------------------------------------------------- classes
 
 
-def classes(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, keep: list[str], threshold: float = THRESHOLD, weights: str = "once") -> DataFrame:
     """The columns of signed() and uid, class (of the least doc_id and uid of its texts)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
-    rows = scratch.write(signed(docs, keep).withColumn("uid", F.monotonically_increasing_id()), "signed")
+    rows = scratch.write(signed(docs, keep, weights).withColumn("uid", F.monotonically_increasing_id()), "signed")
     own = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.col("uid").alias("uid"))
     first = rows.groupBy("node").agg(F.min(own).alias("first"))
-    nodes = scratch.write(rows.join(first.select(F.col("first.uid").alias("chosen")), F.col("uid") == F.col("chosen"), "left_semi").select("node", "bands", "signature"), "nodes")
-    bands = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    nodes = scratch.write(rows.join(first.select(F.col("first.uid").alias("chosen")), F.col("uid") == F.col("chosen"), "left_semi").select("node", "n", "bands"), "nodes")
+    bands = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("leader")).filter("k > 1").select(F.col("bucket").alias("of"), "leader")
-    joined = scratch.write(bands.join(shared, F.col("bucket") == F.col("of")).select("bucket", "band", "node", "leader"), "bands")
+    joined = scratch.write(bands.join(shared, F.col("bucket") == F.col("of")).select("bucket", "node", "n", "leader"), "bands")
     pairs = scratch.write(joined.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    texts = text_of_nodes(docs)
-    links = scratch.write(verified(pairs, texts, threshold), "links")
+    texts = scratch.write(text_of_nodes(docs, joined), "texts")
+    links = scratch.write(verified(pairs, texts, threshold, weights), "links")
     labels = components(links, scratch, "led")
-    more = scratch.write(left_over(joined.drop("leader"), nodes, texts, labels, threshold), "more")
+    more = scratch.write(left_over(joined.drop("leader"), texts, labels, threshold, weights), "more")
     labels = components(links.unionByName(more), scratch, "all")
     rooted = first.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("class")).withColumnRenamed("root", "of")
     table = scratch.write(rooted.join(least, F.col("root") == F.col("of")).select(F.col("node").alias("at"), "class"), "classes")
-    for done in ("nodes", "bands", "pairs", "links", "more", "led", "all"):
+    for done in ("nodes", "bands", "pairs", "texts", "links", "more", "led", "all"):
         scratch.drop(done)
     return rows.join(table, F.col("node") == F.col("at")).drop("at")
 

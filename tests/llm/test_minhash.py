@@ -70,6 +70,13 @@ def test_against_brute_force(spark):
         docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA).repartition(4)
         got = sorted(map(tuple, minhash.digest(docs).collect()))
         assert got == sorted(brute(rows))
+    # the last open buckets in small blocks
+    blocks = minhash.left_over
+    try:
+        minhash.left_over = lambda *a, **k: blocks(*a, **k, block=2000)
+        assert sorted(map(tuple, minhash.digest(docs).collect())) == got
+    finally:
+        minhash.left_over = blocks
 
 
 def test_odd_tables(odd_docs, no_docs):
@@ -109,3 +116,47 @@ def test_copies_that_differ_in_how_often_a_line_repeats(spark):
     got = sorted(map(tuple, minhash.digest(docs).collect()))
     assert got == sorted(brute(rows))
     assert len({c for _, c in got}) == 20
+
+
+def test_probability_jaccard_of_weights():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x, y = (rng.integers(0, 4, 12).astype(float) for _ in range(2))
+        a, b = np.flatnonzero(x), np.flatnonzero(y)
+        want = sum(1 / np.maximum(x / x[i], y / y[i]).sum() for i in range(12) if x[i] and y[i])
+        assert abs(minhash.alike(a, x[a], b, y[b]) - want) < 1e-12
+        ones = len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
+        assert abs(minhash.alike(a, np.ones(len(a)), b, np.ones(len(b))) - ones) < 1e-12
+
+
+def test_classes_by_counts(spark):
+    """With weights by count, texts that differ in how often a line repeats are apart, and a heavy shared line joins others."""
+    rng = random.Random(10)
+    body, line = prose(rng, 200), prose(rng, 8)
+    texts = [body, edited(rng, body, 1), " ".join([body] + [line] * 80), " ".join([prose(rng, 20)] + [line] * 80), " ".join([prose(rng, 20)] + [line] * 80)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert dict(map(tuple, minhash.digest(docs, weights="count").collect())) == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
+    assert dict(map(tuple, minhash.digest(docs).collect())) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+
+
+def test_rarest_shingles_lose_no_pair():
+    rng = random.Random(6)
+    for _ in range(40):
+        base = rng.sample(range(400), 60)
+        sets = [np.array(sorted(set(rng.sample(base, rng.randrange(20, 60)) + rng.sample(range(400), rng.randrange(12)))), np.uint64) for _ in range(40)]
+        near = {(i, j) for i in range(40) for j in range(i) if minhash.alike(sets[i], np.ones(len(sets[i])), sets[j], np.ones(len(sets[j]))) >= 0.8}
+        found = {(i, j) for g in minhash._sharing(sets, 0.8) for i in g.tolist() for j in g.tolist() if j < i}
+        assert near <= found
+
+
+def test_a_bucket_of_templated_texts(spark):
+    """Texts of one template that are not alike enough stay apart, without being compared; near copies among them meet."""
+    rng = random.Random(7)
+    template = prose(rng, 120)
+    texts = [template + " " + prose(rng, 60) for _ in range(150)]
+    texts += [edited(rng, texts[i], 1) for i in range(0, 150, 10)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    assert sorted(map(tuple, minhash.digest(docs).collect())) == sorted(brute(rows))
+    sets = [np.array(sorted(hash(x) & ((1 << 63) - 1) for x in shingled(t)), np.uint64) for t in texts[:150]]
+    assert sum(len(g) for g in minhash._sharing(sets, 0.8)) == 0
