@@ -3,6 +3,8 @@ import random
 import pytest
 from karst.functions import scores
 from karst.functions import text as txt
+from karst.functions import values as val
+from karst.operators import chunking
 from pyspark.sql import functions as F
 
 
@@ -30,25 +32,55 @@ def test_redaction(spark):
         assert r == cases[t] and (k > 0) == (r != t)
 
 
-def test_chunks():
+def test_chunks(spark):
     text = "intro\n\n# A\none two\n\n## B\n```\n# not a heading\n\ncode\n```\n" + " ".join(f"w{i}" for i in range(30)) + "\n# C\n## D\nlast"
-    found = txt.chunks_of(text, tokens=12, overlap=3)
-    assert [c["chunk_index"] for c in found] == list(range(len(found)))
-    assert found[0]["heading_path"] is None and found[1]["heading_path"] == "A"
-    fenced = [c for c in found if "# not a heading" in c["content"]]
-    assert fenced and all(c["heading_path"] == "A > B" for c in fenced)
-    assert found[-1] == {"chunk_index": len(found) - 1, "content": "last", "heading_path": "C > D", "token_count": 1}
-    assert all(c["token_count"] <= 12 + 3 for c in found) and all(f"w{i}" in " ".join(c["content"] for c in found) for i in range(30))
-    assert txt.chunks_of("") == [] and txt.chunks_of("# only") == []
+    rows = [(0, text), (1, ""), (2, "# only"), (3, None), (4, "a b c\n\nd e f\n\ng h\n\ni j k l m n"), (5, "### x\ny\n# z\n### w\nv\n## u ##\nt")]
+    docs = spark.createDataFrame(rows, "id int, t string")
+    found = {}
+    for r in chunking.chunks(docs, "id", "t", 12, 3).orderBy("id", "chunk_index").collect():
+        found.setdefault(r.id, []).append((r.chunk_index, r.heading_path, r.content, r.token_count))
+    assert set(found) == {0, 4, 5}
+    words = [f"w{i}" for i in range(30)]
+    assert found[0] == [
+        (0, None, "intro", 1),
+        (1, "A", "one two", 2),
+        (2, "A > B", "```\n# not a heading\n\ncode\n```", 7),
+        (3, "A > B", "heading code ```\n\n" + " ".join(words[:12]), 15),
+        (4, "A > B", " ".join(words[9:12]) + "\n\n" + " ".join(words[12:24]), 15),
+        (5, "A > B", " ".join(words[21:24]) + "\n\n" + " ".join(words[24:]), 9),
+        (6, "C > D", "last", 1),
+    ]
+    assert found[4] == [(0, None, "a b c\n\nd e f\n\ng h", 8), (1, None, "f g h\n\ni j k l m n", 9)]
+    assert [x[1] for x in found[5]] == ["x", "z > w", "z > u"]
     for bad in ((7, 0), (10, 10)):
         with pytest.raises(ValueError):
-            txt.chunks_of("x", *bad)
+            chunking.chunks(docs, "id", "t", *bad)
 
 
-def test_plain_text():
+def test_plain_text(spark):
     page = "<h2>Title <b>x</b></h2><p>a&amp;b</p>\r\n<ul><li>one</li><li>two</li></ul><ac:code><![CDATA[if a < b]]></ac:code>"
-    assert txt.plain(page) == "## Title x\na&b\none\ntwo\nif a < b"
-    assert txt.plain("a\r\nb\x07\n\n\n\nc ", "plain") == "a\nb\n\nc"
+    assert values(spark, [(page,), (None,)], "p string", txt.normalised(F.col("p"))) == [("## Title x\na&b\none\ntwo\nif a < b",), (None,)]
+    assert values(spark, [("a\r\nb\x07\n\n\n\nc ",)], "p string", txt.normalised(F.col("p"), "plain")) == [("a\nb\n\nc",)]
+    wiki = '<h2>T</h2><p>a <strong>b</strong> <a href="/u">c</a></p><ul><li>x</li></ul><pre>k</pre><table><tr><td>1</td><td>2</td></tr></table>'
+    assert values(spark, [(wiki,)], "p string", txt.markdown(F.col("p"))) == [("## T\n\na **b** [c](/u)\n\n- x\n\n```\nk\n```\n\n | 1 | 2",)]
+    assert values(spark, [("A > B", "x"), (None, "x"), ("", "x")], "h string, c string", txt.embed_input(F.col("h"), F.col("c"))) == [("A > B\n\nx",), ("x",), ("x",)]
+
+
+def test_registered_values(spark):
+    shapes, n = txt.redact_shapes(F.col("t"), ("opaque-value", "opaque-value-longer", "short"))
+    rows = [("x opaque-value-longer y opaque-value z short",), ("nothing",), (None,)]
+    assert values(spark, rows, "t string", shapes, n) == [("x «redacted:credential» y «redacted:credential» z short", 2), ("nothing", 0), (None, 0)]
+
+
+def test_values(spark):
+    times = [("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05+02:00",), ("2024-01-02 03:04:05",), ("2024-01-02",), ("soon",), (None,)]
+    assert values(spark, times, "t string", F.date_format(val.timestamp(F.col("t")), "yyyy-MM-dd HH:mm:ss")) == [("2024-01-02 03:04:05",), ("2024-01-02 01:04:05",), ("2024-01-02 03:04:05",), ("2024-01-02 00:00:00",), (None,), (None,)]
+    tree = '{"type":"doc","content":[{"type":"p","content":[{"type":"text","text":"a"},{"type":"x","content":[{"type":"text","text":"b"}]}]},{"type":"text","text":"c"}]}'
+    assert values(spark, [(tree,), ("plain",), ("7",), (None,)], "b string", val.tree_text(F.col("b"))) == [("a b c",), ("plain",), ("",), (None,)]
+    unit = values(spark, [("a b a",), ("",), (None,)], "t string", val.hashed_embedding(16)("t"))
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-9 for v, in unit) and unit[1][0][0] == 1.0
+    fields = values(spark, [({"password": "x", "message": "hi", "level": "x"},)], "f map<string,string>", val.shown(F.col("f")), val.sanitized(F.col("f"), F.lit("s"), F.lit(1)))
+    assert fields[0][0] == {"password": "«redacted:field»", "message": "hi", "level": "x"} and fields[0][1]["message"].startswith("<untrusted-content") and fields[0][1]["level"] == "x"
 
 
 def test_scores(spark):
@@ -65,5 +97,5 @@ def test_globs_intents_endpoints(spark):
     assert values(spark, paths, "p string", txt.matches_glob(F.col("p"), [".env", "*.pem"])) == [(True,), (True,), (False,), (False,)]
     asked = [("What is the latest commit?",), ("How does it work now?",), ("the design of nowhere",)]
     assert values(spark, asked, "q string", txt.intent(F.col("q"))) == [("live",), ("mixed",), ("knowledge",)]
-    ends = [("joe@example.com",), ("+1 555 123 4567",), ("https://u:p@h.example/x?k=1#f",)]
-    assert values(spark, ends, "e string", txt.masked_endpoint(F.col("e"))) == [("***@example.com",), ("***67",), ("https://h.example/x",)]
+    ends = [("email", "joe@example.com"), ("SMS", "+1 555 123 4567"), ("sms", "12345"), ("HTTPS", "HTTPS://u:p@h.example/x?k=1#f"), ("sqs", "arn:x"), ("email", None)]
+    assert values(spark, ends, "p string, e string", txt.masked_endpoint(F.col("p"), F.col("e"))) == [("j***@example.com",), ("+1 ***67",), ("***",), ("https://h.example/x",), ("arn:x",), (None,)]
