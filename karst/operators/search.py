@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -52,9 +53,53 @@ def keyword_top(rows: DataFrame, text: str, key: str, k: int, all_of: Sequence[s
         hit = hit & ~F.arrays_overlap("__t", F.array(*map(F.lit, none_of)))
     for p in phrases:
         hit = hit & F.concat(F.lit(" "), F.array_join("__t", " "), F.lit(" ")).contains(f" {' '.join(p)} ")
-    asked = F.array(*map(F.lit, [*all_of, *any_of, *(w for p in phrases for w in p)]))
-    rank = F.round(F.size(F.filter("__t", lambda x: F.array_contains(asked, x))) / F.size("__t"), 9)
-    return t.filter(hit).withColumn("rank_score", rank).drop("__t").orderBy(F.col("rank_score").desc(), key).limit(k)
+    asked = F.array(F.lit(""), *map(F.lit, [*all_of, *any_of, *(w for p in phrases for w in p)]))
+    rank = F.round(F.size(F.filter("__t", lambda x: F.array_contains(asked, x))) / F.nullif(F.size("__t"), F.lit(0)), 9)
+    return t.filter(hit).withColumn("rank_score", F.coalesce(rank, F.lit(0.0))).drop("__t").orderBy(F.col("rank_score").desc(), key).limit(k)
+
+
+_ASKED = re.compile(r'(-?)"([^"]*)"|(-?)(\S+)')
+
+
+def websearch(query: str) -> list[list[tuple[bool, tuple[str, ...]]]]:
+    """Alternatives of a web search, each a list of (wanted, words): words beside each other are all asked for, quoted ones as
+    a phrase, those after - must be absent, and `or` divides alternatives."""
+    found: list = [[]]
+    for no, quoted, minus, word in _ASKED.findall(query):
+        if word.lower() == "or":
+            found.append([])
+            continue
+        words = tuple(re.findall(r"[^\W_]+", (quoted or word).lower()))
+        if words:
+            found[-1].append((not (no or minus), words))
+    return [terms for terms in found if terms]
+
+
+def keyword_search(rows: DataFrame, text: str, key: str, k: int, query: str) -> DataFrame:
+    """Rows that a web search finds, by rank (nine places), then key.
+
+    A term that occurs n times gives 1 + 1/4 + ... + 1/n**2, over pi**2 / 6 and by 0.1, the weight of plain text; the rank
+    is the mean over the query's wanted terms: the published frequency rank for alternatives, here for all queries.
+    A query without words finds nothing.
+    """
+    groups = websearch(query)
+    t = rows.withColumn("__t", F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), "  "), F.lit(" ")))
+    # words stand between two spaces of their own, so that neighbouring occurrences are counted apart
+    shape = lambda words: " " + "  ".join(words) + " "
+    hit = F.lit(False)
+    for terms in groups:
+        every = F.lit(True)
+        for wanted, words in terms:
+            here = F.col("__t").contains(shape(words))
+            every = every & (here if wanted else ~here)
+        hit = hit | every
+    wanted = list(dict.fromkeys(words for terms in groups for ok, words in terms if ok))
+    score = F.lit(0.0)
+    for words in wanted:
+        times = F.regexp_count("__t", F.lit(shape(words)))
+        score = score + F.aggregate(F.sequence(F.lit(0), times), F.lit(0.0), lambda s, i: s + F.when(i > 0, 1.0 / (i * i)).otherwise(0.0))
+    rank = F.round(score * 0.1 / 1.64493406685 / max(1, len(wanted)), 9)
+    return t.filter(F.coalesce(hit, F.lit(False))).withColumn("rank_score", rank).drop("__t").orderBy(F.col("rank_score").desc(), key).limit(k)
 
 
 def ranked(leg: DataFrame, name: str, key: str, *order: Column) -> DataFrame:
