@@ -80,3 +80,75 @@ def rolled_up(runs: DataFrame) -> DataFrame:
     """One row: ok if all sources are, failed if all failed, else partial; and an exit code."""
     status = F.when(F.bool_and(F.col("status") == "ok"), "ok").when(F.bool_and(F.col("status") == "failed"), "failed").otherwise("partial")
     return runs.agg(status.alias("status")).withColumn("exit_code", F.when(F.col("status") == "ok", 0).when(F.col("status") == "partial", 1).otherwise(2))
+
+
+# --------------------------------------------------------------------------- crawls
+
+
+def scanned(rows: DataFrame, updated: str, key: str, cursor: Column | None = None, limit: int | None = None) -> DataFrame:
+    """What a crawl reads, oldest first: rows from the cursor on, which counts too (all without one, undated ones then too)."""
+    found = rows if cursor is None else rows.filter(F.col(updated) >= cursor)
+    found = found.orderBy(F.col(updated).asc_nulls_first(), key)
+    return found if limit is None else found.limit(limit)
+
+
+def crawled_files(files: DataFrame, path: str, size: str, include: Sequence[str], deny: Sequence[str], most: int) -> DataFrame:
+    """Adds blocked to the files that the globs `include` name: denied ones stay, as rows that say why; larger ones than
+    `most` bytes are left out."""
+    reason = F.when(matches_glob(F.col(path), list(deny)), "denied path")
+    found = files.filter(matches_glob(F.col(path), list(include))) if include else files
+    return found.withColumn("blocked", reason).filter(F.col("blocked").isNotNull() | (F.col(size) <= most))
+
+
+def refetched(rows: DataFrame, ledger: DataFrame, most: int) -> DataFrame:
+    """The rows whose failures are to be tried again: recorded, not by policy, with fewer attempts than `most`."""
+    again = ledger.filter((F.col("code") != "policy") & (F.col("attempts") < most)).select(*KEY)
+    return rows.join(again, KEY, "left_semi")
+
+
+def once_a_run(retried: DataFrame, crawled: DataFrame) -> DataFrame:
+    """A run's rows, each key once: the retried copy stays."""
+    both = retried.withColumn("retry", F.lit(True)).unionByName(crawled.withColumn("retry", F.lit(False)))
+    columns = [c for c in both.columns if c not in KEY]
+    return both.groupBy(*KEY).agg(F.max_by(F.struct(*columns), "retry").alias("r")).select(*KEY, "r.*")
+
+
+def reread(rows: DataFrame, stored: DataFrame, updated: str, cursor: Column) -> DataFrame:
+    """What an inclusive scan reads once more without change: rows at the cursor whose content is stored as it is."""
+    same = stored.select(*KEY, "content_hash")
+    return rows.filter(F.col(updated) >= cursor).join(same, [*KEY, "content_hash"], "left_semi")
+
+
+# --------------------------------------------------------------------------- what follows an action
+
+
+def replaced_chunks(stored: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The next table of chunks: those of changed documents go, and the fresh ones come in one step."""
+    return stored.join(changed.select("document_id"), "document_id", "left_anti").unionByName(fresh.select(*stored.columns))
+
+
+def purged(documents: DataFrame, chunks: DataFrame, reclassified: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, chunks and failures after some documents must not be kept: tombstones without title, no chunks, and a failure
+    by policy for each that was live."""
+    gone = reclassified.select(F.col("document_id").alias("__gone")).distinct()
+    both = documents.join(gone, F.col("document_id") == F.col("__gone"), "left")
+    hit = F.col("__gone").isNotNull() & F.col("deleted_at").isNull()
+    kept = both.withColumn("title", F.when(~F.col("__gone").isNotNull(), F.col("title"))).withColumn("deleted_at", F.when(hit, now).otherwise(F.col("deleted_at"))).select(*documents.columns)
+    failures_ = both.filter(hit).select(*KEY, F.lit("policy").alias("code"))
+    return kept, chunks.join(gone, F.col("document_id") == F.col("__gone"), "left_anti"), failures_
+
+
+def pruned(documents: DataFrame, chunks: DataFrame, before: Column, orphans: bool = False, sources: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Documents and chunks without old tombstones; with `orphans`, without live documents that no run has seen since."""
+    old = F.coalesce("last_seen_at", "ingested_at") if orphans else F.col("deleted_at")
+    which = (F.col("deleted_at").isNull() if orphans else F.col("deleted_at").isNotNull()) & (old < before)
+    if sources:
+        which = which & F.col("source_type").isin(list(sources))
+    gone = documents.filter(which).select("document_id")
+    return documents.join(gone, "document_id", "left_anti"), chunks.join(gone, "document_id", "left_anti")
+
+
+def run_rules(full: bool, since: bool, limit: bool, dry: bool, failed: int) -> dict[str, bool]:
+    """What a run may do: its own beginning never moves the cursor; only a whole, undisturbed full crawl reconciles; a dry run
+    writes nothing."""
+    return {"writes": not dry, "moves_cursor": not dry and not since, "reconciles": not dry and full and not since and not limit and failed == 0}

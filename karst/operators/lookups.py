@@ -43,13 +43,6 @@ def to_reembed(chunks: DataFrame, model: str) -> DataFrame:
     return chunks.filter(~F.col("embedding_model").eqNullSafe(model))
 
 
-def unit(vector: Column) -> Column:
-    """The vector with length 1, as doubles; one of zeros stays."""
-    wide = vector.cast("array<double>")
-    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(wide, lambda x: x / length)).otherwise(wide)
-
-
 def vector_top_each(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, where=None) -> DataFrame:
     """query, id, similarity (six places), place: the k rows most alike to each query, ties by id; exact.
 

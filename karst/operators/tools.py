@@ -13,6 +13,10 @@ from karst.functions.text import glob_regex
 # --------------------------------------------------------------------------- policy and identity
 
 
+#: A data stream's prefix, a rollover number, a date, a rollover number; what is taken off in this order.
+INDEX_PARTS = (r"^\.ds-", r"-\d{6}$", r"-\d{4}[.\-]\d{2}(?:[.\-]\d{2})?$", r"-\d{6}$")
+
+
 def all_known_true(*conditions: Column) -> Column:
     """True only if every condition is known and true; null never passes."""
     out = F.lit(True)
@@ -28,8 +32,10 @@ def restricted_by_ancestors(pages: DataFrame, key: str, restricted: str) -> Data
 
 def index_family(name: Column) -> Column:
     """The name that an index's generations share: without data-stream prefix, rollover number and date."""
-    rollover = r"-\d{6}$"
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^\.ds-", ""), rollover, ""), r"-\d{4}[.\-]\d{2}([.\-]\d{2})?$", ""), rollover, "")
+    out = name
+    for part in INDEX_PARTS:
+        out = F.regexp_replace(out, part, "")
+    return F.coalesce(F.nullif(out, F.lit("")), name)
 
 
 def stable_id(kind: str, *parts: Column) -> Column:
@@ -51,6 +57,13 @@ def host_allowed(url: Column, patterns: Sequence[str]) -> Column:
 # --------------------------------------------------------------------------- decoding
 
 
+def tail(text: Column, most: int) -> Column:
+    """The longest end of at most so many UTF-8 bytes that cuts no character."""
+    raw, n = text.cast("binary"), F.octet_length(text)
+    tries = [F.try_validate_utf8(F.substring(raw, n - F.lit(most - k) + 1, F.lit(most - k)).cast("string")) for k in range(4) if most - k > 0]
+    return F.when(n <= most, text).otherwise(F.coalesce(*tries, F.lit("")))
+
+
 def truncated(text: Column, most: int) -> Column:
     """The longest beginning of at most so many UTF-8 bytes that cuts no character."""
     raw = text.cast("binary")
@@ -70,8 +83,9 @@ def looks_binary(content: Column, first: int = 8000) -> Column:
 
 
 def wrapped(text: Column, source: Column, key: Column) -> Column:
-    """Text from outside in a frame that it can't close or open itself."""
-    safe = F.regexp_replace(text, r"(?i)<(/?)untrusted-content", "<$1untrusted​-content")
+    """Text from outside in a frame that it can't close or open itself; lines that look like a transcript's turns don't."""
+    safe = F.regexp_replace(text, r"(?i)<(/?)untrusted-content", "<$1untrusted\u200b-content")
+    safe = F.regexp_replace(safe, r"(?im)^(\s*)(human|assistant):", "$1$2\u200b:")
     return F.concat(F.lit('<untrusted-content source="'), source, F.lit('" id="'), key.cast("string"), F.lit('">\n'), safe, F.lit("\n</untrusted-content>"))
 
 

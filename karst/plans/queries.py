@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import scores
 from karst.functions import text as txt
-from karst.operators import evaluation, events, graph, grounding, ingest, lookups, search
+from karst.operators import chunking, evaluation, events, graph, grounding, ingest, lookups, search
 from karst.sources import tables as kb
 from karst.streaming import windows
 
@@ -62,8 +62,9 @@ _WORDS = r"""w AS (
 )"""
 
 
-def _keywords(spark, sf_dir):
-    return search.keyword_top(kb.documents(spark, sf_dir).filter("deleted_at IS NULL"), "text", "document_id", 50, ["the", "of"])
+def _keywords(spark, sf_dir, where=None):
+    d = kb.documents(spark, sf_dir).filter("deleted_at IS NULL")
+    return search.keyword_top(d if where is None else d.filter(where), "text", "document_id", 50, ["the", "of"])
 
 
 @query("keyword_topk", f"{_WORDS} SELECT document_id, rank_score FROM k ORDER BY rank_score DESC, document_id LIMIT 50")
@@ -77,18 +78,21 @@ def keyword_phrase(spark, sf_dir):
     return search.keyword_top(kb.documents(spark, sf_dir), "text", "document_id", 20, [], none_of=["gnu"], phrases=[["mit", "license"]]).select("document_id", "rank_score")
 
 
-_FUSED = f"""{_SCORED}, {_WORDS}, legs AS (
-  SELECT document_id, 'vector' AS leg, row_number() OVER (ORDER BY similarity DESC, document_id) AS rank FROM (SELECT document_id, max(similarity) AS similarity FROM s GROUP BY document_id ORDER BY similarity DESC, document_id LIMIT 50)
-  UNION ALL SELECT document_id, 'keyword', row_number() OVER (ORDER BY rank_score DESC, document_id) FROM (SELECT * FROM k ORDER BY rank_score DESC, document_id LIMIT 50)
+_LEGS = """legs AS (
+  SELECT document_id, 'vector' AS leg, row_number() OVER (ORDER BY similarity DESC, document_id) AS rank FROM (SELECT document_id, max(similarity) AS similarity FROM s WHERE {where} GROUP BY document_id ORDER BY similarity DESC, document_id LIMIT 50)
+  UNION ALL SELECT document_id, 'keyword', row_number() OVER (ORDER BY rank_score DESC, document_id) FROM (SELECT * FROM k WHERE {where} ORDER BY rank_score DESC, document_id LIMIT 50)
 ), f AS (
   SELECT document_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf_score, string_agg(leg || '=' || rank, ',' ORDER BY leg) AS legs FROM legs GROUP BY document_id
 )"""
+_FUSED = f"{_SCORED}, {_WORDS}, {_LEGS.format(where='true')}"
+_FUSED_WHERE = f"""{_SCORED}, {_WORDS}, {_LEGS.format(where="source_type IN ('gitlab', 'confluence')")}"""
 
 
-def _legs(spark, sf_dir):
-    best = _live(spark, sf_dir).withColumn("similarity", F.round(scores.cosine(F.col("embedding"), _vector(spark, sf_dir)), 6)).groupBy("document_id").agg(F.max("similarity").alias("similarity"))
+def _legs(spark, sf_dir, where=None):
+    """Both legs' first 50; a filter counts before that."""
+    best = _live(spark, sf_dir, where).withColumn("similarity", F.round(scores.cosine(F.col("embedding"), _vector(spark, sf_dir)), 6)).groupBy("document_id").agg(F.max("similarity").alias("similarity"))
     vector = search.ranked(best.orderBy(F.col("similarity").desc(), "document_id").limit(50), "vector", "document_id", F.col("similarity").desc())
-    keyword = search.ranked(_keywords(spark, sf_dir), "keyword", "document_id", F.col("rank_score").desc())
+    keyword = search.ranked(_keywords(spark, sf_dir, where), "keyword", "document_id", F.col("rank_score").desc())
     return vector.unionByName(keyword)
 
 
@@ -97,11 +101,10 @@ def rrf_fuse(spark, sf_dir):
     return search.fuse(_legs(spark, sf_dir), "document_id", top=20)
 
 
-@query("hybrid_filtered", f"{_FUSED} SELECT f.document_id, rrf_score, legs, d.title FROM f JOIN kb_documents d USING (document_id) WHERE d.source_type IN ('gitlab', 'confluence') ORDER BY rrf_score DESC, document_id LIMIT 20")
+@query("hybrid_filtered", f"{_FUSED_WHERE} SELECT f.document_id, rrf_score, legs, d.title FROM f JOIN kb_documents d USING (document_id) ORDER BY rrf_score DESC, document_id LIMIT 20")
 def hybrid_filtered(spark, sf_dir):
-    fused = search.fuse(_legs(spark, sf_dir), "document_id")
-    d = kb.documents(spark, sf_dir).filter(F.col("source_type").isin("gitlab", "confluence")).select("document_id", "title")
-    return fused.join(d, "document_id").orderBy(F.col("rrf_score").desc(), "document_id").limit(20)
+    fused = search.fuse(_legs(spark, sf_dir, F.col("source_type").isin("gitlab", "confluence")), "document_id", top=20)
+    return fused.join(kb.documents(spark, sf_dir).select("document_id", "title"), "document_id").orderBy(F.col("rrf_score").desc(), "document_id").limit(20)
 
 
 @query("hash_bucket_embedding", """SELECT doc_id, ('0x' || substr(sha256(lower(word)), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) GROUP BY ALL""")
@@ -352,9 +355,14 @@ def glob_filter(spark, sf_dir):
     return p.filter(F.lower("url").rlike("/[^/]*1[^/]*$") & ~txt.matches_glob(F.col("url"), ["*admin*"])).select("page_id", "url")
 
 
-@query("mask_endpoint", r"""SELECT page_id, regexp_replace(regexp_replace(url, '^([a-z]+://)[^/@]*@', '\1'), '[?#].*$', '') AS masked FROM pages""")
+@query("mask_endpoint", r"""e AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'sms' WHEN 2 THEN 'https' ELSE 'sqs' END AS protocol,
+  CASE page_id % 4 WHEN 0 THEN 'user' || page_id || '@mail.example' WHEN 1 THEN '+1555' || (1000000 + page_id) ELSE replace(url, '://', '://u:p@') END AS endpoint FROM pages)
+SELECT page_id, CASE protocol WHEN 'email' THEN 'u***@mail.example' WHEN 'sms' THEN '+15***' || right(endpoint, 2) WHEN 'https' THEN regexp_replace(regexp_replace(endpoint, '://[^/@]*@', '://'), '[?#].*$', '') ELSE endpoint END AS masked FROM e""")
 def mask_endpoint(spark, sf_dir):
-    return kb.table(spark, sf_dir, "pages").select("page_id", txt.masked_endpoint(F.col("url")).alias("masked"))
+    i = F.col("page_id")
+    protocol = F.when(i % 4 == 0, "email").when(i % 4 == 1, "sms").when(i % 4 == 2, "https").otherwise("sqs")
+    endpoint = F.when(i % 4 == 0, F.concat(F.lit("user"), i, F.lit("@mail.example"))).when(i % 4 == 1, F.concat(F.lit("+1555"), i + 1000000)).otherwise(F.replace("url", F.lit("://"), F.lit("://u:p@")))
+    return kb.table(spark, sf_dir, "pages").select("page_id", txt.masked_endpoint(protocol, endpoint).alias("masked"))
 
 
 @query("intent_class", r"""i AS (SELECT conv_id, turn, regexp_matches(lower(text), '\b(currently|now|latest|today)\b') OR regexp_matches(lower(text), 'right now|still open|still being worked on|still in progress|currently assigned|who is assigned|latest commit|up to date|as of now|at the moment') AS live,
@@ -366,12 +374,12 @@ def intent_class(spark, sf_dir):
 
 @query("chunk_documents")
 def chunk_documents(spark, sf_dir):
-    return kb.documents(spark, sf_dir).select("document_id", F.inline(txt.chunked()("text")))
+    return chunking.chunks(kb.documents(spark, sf_dir), "document_id", "text")
 
 
 @query("normalize_pages")
 def normalize_pages(spark, sf_dir):
-    return kb.table(spark, sf_dir, "pages").select("page_id", txt.normalised("html", F.lit("html")).alias("text"))
+    return kb.table(spark, sf_dir, "pages").select("page_id", txt.normalised(F.col("html")).alias("text"))
 
 
 # --------------------------------------------------------------------------- grounding
@@ -435,7 +443,12 @@ def reconcile_values(spark, sf_dir):
     return grounding.reconciled(rows.select("doc_id", F.col("quality").alias("value")), live, "doc_id")
 
 
-@query("compress_budget")
+@query("compress_budget", """RECURSIVE d AS (
+  SELECT document_id, container, least(len(regexp_extract_all(text, '\\S+')), 512)::INT AS n, row_number() OVER (PARTITION BY container ORDER BY document_id) AS pos FROM kb_documents
+), r AS (
+  SELECT container, document_id, pos, n, n <= 2048 AS fits, CASE WHEN n <= 2048 THEN n ELSE 0 END AS used FROM d WHERE pos = 1
+  UNION ALL SELECT d.container, d.document_id, d.pos, d.n, r.used + d.n <= 2048, CASE WHEN r.used + d.n <= 2048 THEN r.used + d.n ELSE r.used END FROM r JOIN d ON d.container = r.container AND d.pos = r.pos + 1
+) SELECT container, document_id, n AS token_count FROM r WHERE fits""")
 def compress_budget(spark, sf_dir):
     return grounding.compressed(kb.documents(spark, sf_dir).select("document_id", "container", "text"), [F.col("document_id")], "container", each=512, total=2048).select("container", "document_id", "token_count")
 
@@ -470,9 +483,9 @@ def upsert_snapshot(spark, sf_dir):
     return ingest.upserted(old, new).select("document_id", "state")
 
 
-@query("cursor_advance", """SELECT strftime(greatest(CASE WHEN bool_or(document_id % 29 = 0) THEN min(CASE WHEN document_id % 29 = 0 THEN source_updated_at END) - INTERVAL 1 SECOND ELSE max(source_updated_at) END, TIMESTAMP '2024-01-01 06:00:00'), '%Y-%m-%d %H:%M:%S') AS "cursor" FROM kb_documents WHERE document_id > 100""")
+@query("cursor_advance", """SELECT strftime(greatest(CASE WHEN bool_or(document_id % 29 = 0) THEN min(CASE WHEN document_id % 29 = 0 THEN source_updated_at END) - INTERVAL 1 SECOND ELSE max(source_updated_at) END, TIMESTAMP '2024-01-01 06:00:00'), '%Y-%m-%d %H:%M:%S') AS "cursor" FROM kb_documents""")
 def cursor_advance(spark, sf_dir):
-    o = kb.documents(spark, sf_dir).filter("document_id > 100").select(F.col("source_updated_at").alias("updated_at"), (F.col("document_id") % 29 == 0).alias("failed"))
+    o = kb.documents(spark, sf_dir).select(F.col("source_updated_at").alias("updated_at"), (F.col("document_id") % 29 == 0).alias("failed"))
     return ingest.next_cursor(o, F.lit("2024-01-01 06:00:00").cast("timestamp")).select(F.date_format("cursor", "yyyy-MM-dd HH:mm:ss").alias("cursor"))
 
 
@@ -506,14 +519,13 @@ def run_rollup(spark, sf_dir):
 def _judged(spark, sf_dir):
     """Each label is a query for its first vector's neighbours; vectors with the label are relevant."""
     e = kb.table(spark, sf_dir, "embeddings")
-    w = W.partitionBy("label").orderBy(F.col("vec_id") % 7, "vec_id")
     results = e.select(F.col("vec_id").alias("item"), F.expr("(label + vec_id % 2) % 10").alias("query"), "label", "vec_id").withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.col("vec_id") % 7, "vec_id"))).select("query", "item", "rank")
-    relevant = e.withColumn("n", F.row_number().over(w)).filter("n <= 20").select(F.col("label").alias("query"), F.col("vec_id").alias("item"))
+    relevant = e.select(F.col("label").alias("query"), F.col("vec_id").alias("item"))
     return results, relevant
 
 
 _JUDGED = """r AS (SELECT (label + vec_id % 2) % 10 AS query, vec_id AS item, row_number() OVER (PARTITION BY (label + vec_id % 2) % 10 ORDER BY vec_id % 7, vec_id) AS rank FROM embeddings),
-v AS (SELECT label AS query, vec_id AS item FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id % 7, vec_id) <= 20)"""
+v AS (SELECT label AS query, vec_id AS item FROM embeddings)"""
 
 
 @query("recall_at_k", f"{_JUDGED} SELECT v.query, round(count(r.item) / count(*)::DOUBLE, 6) AS recall FROM v LEFT JOIN r ON v.query = r.query AND v.item = r.item AND r.rank <= 10 GROUP BY v.query")
@@ -545,20 +557,22 @@ def grounded_search(spark, sf_dir):
     return grounding.graded(claims, F.lit(NOW).cast("timestamp"))
 
 
-@query("streaming_window_dedup")
+@query("streaming_window_dedup", """w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS b, event_type AS level, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+SELECT strftime(b, '%Y-%m-%d %H:%M:%S') AS window_start, level, n, total FROM w WHERE b + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
 def streaming_window_dedup(spark, sf_dir):
-    """Closed windows of the events as a stream, each event once."""
-    import uuid
-
+    """Closed windows of the events as a stream, each event once: those that the watermark, an hour behind the last event, has
+    passed. Windows that are still open stay in the stream's state."""
     schema = kb.table(spark, sf_dir, "events").schema
-    name = f"closed_{uuid.uuid4().hex}"
     counted = windows.windowed_counts(windows.read_events(spark, f"{sf_dir}/events.parquet*", schema))
-    running = counted.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination(600)
-    return spark.table(name)
+    return windows.run_once(counted)
 
 
-@query("rate_limited_users")
+@query("rate_limited_users", """RECURSIVE e AS (
+  SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM kb_logs
+), r AS (
+  SELECT user_id, pos, t, 5.0::DOUBLE AS had FROM e WHERE pos = 1
+  UNION ALL SELECT e.user_id, e.pos, e.t, least(5.0::DOUBLE, had - (had >= 1)::INT + greatest(0.0::DOUBLE, e.t - r.t) * (1.0::DOUBLE / 3600)) FROM r JOIN e ON e.user_id = r.user_id AND e.pos = r.pos + 1
+) SELECT user_id, count(*) FILTER (had >= 1) AS allowed, count(*) FILTER (had < 1) AS refused, max(CASE WHEN had >= 1 THEN 0 ELSE ceil((1 - had) / (1.0::DOUBLE / 3600)) END)::INT AS longest_wait FROM r GROUP BY user_id""")
 def rate_limited_users(spark, sf_dir):
     e = kb.logs(spark, sf_dir).select("event_id", "ts", "user_id")
     return windows.rate_limited(e, "user_id", 5.0, 1 / 3600).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("refused"), F.max("retry_after").alias("longest_wait"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from karst.functions import scores
 from karst.operators import grounding, lookups
 from karst.sources import tables as kb
 
@@ -51,7 +52,7 @@ def reembed_plan(spark, sf_dir):
 
 @query("unit_vectors", "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first, round(embedding[64]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS last FROM embeddings")
 def unit_vectors(spark, sf_dir):
-    u = kb.table(spark, sf_dir, "embeddings").select("vec_id", lookups.unit(F.col("embedding")).alias("u"))
+    u = kb.table(spark, sf_dir, "embeddings").select("vec_id", scores.unit(F.col("embedding")).alias("u"))
     return u.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"))
 
 

@@ -39,7 +39,7 @@ def egress_hosts(spark, sf_dir):
     return kb.table(spark, sf_dir, "pages").select("page_id", tools.host_allowed(F.col("url"), ["*1.*"]).alias("allowed"))
 
 
-@query("truncate_bytes")
+@query("truncate_bytes", "SELECT document_id, CASE WHEN strlen(text) <= 100 THEN text ELSE left(text, list_max(list_filter(range(0, 101), lambda n: strlen(left(text, n)) <= 100))) END AS beginning FROM kb_documents")
 def truncate_bytes(spark, sf_dir):
     return kb.documents(spark, sf_dir).select("document_id", tools.truncated(F.col("text"), 100).alias("beginning"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from karst.operators.folds import folded
+
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """A stream of the Parquet files under a folder, with ts as a UTC timestamp."""
@@ -25,6 +28,20 @@ def windowed_counts(events: DataFrame, every: str = "1 day", late: str = "1 hour
     )
 
 
+def run_once(stream: DataFrame, wait: int = 600) -> DataFrame:
+    """Runs a stream over what there is, into Parquet files under the shared folder, and returns them."""
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file:///tmp/karst-scratch"
+    root = f"{shared.rstrip('/')}/karst-stream-{uuid.uuid4().hex}"
+    running = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination(wait)
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
 def rate_limited(events: DataFrame, key: str, capacity: float, per_second: float) -> DataFrame:
     """Adds allowed and retry_after (whole seconds) by a token bucket for each key, which refills with event time.
 
@@ -44,7 +61,16 @@ def rate_limited(events: DataFrame, key: str, capacity: float, per_second: float
 
     out = f"{fields}, allowed boolean, retry_after int"
     if not events.isStreaming:
-        return events.groupBy(key).applyInPandas(lambda own: step(own.astype({"ts": "datetime64[ns]"}).sort_values(["ts", "event_id"]), capacity, None)[0], out)
+
+        def one(state, micros):
+            level, last = state
+            t = micros / 1e6
+            level = min(capacity, level + max(0.0, t - (t if last is None else last)) * per_second)
+            ok = level >= 1
+            return (level - ok, t), (ok, 0 if ok else int(-(-(1 - level) // per_second)))
+
+        timed = events.withColumn("__t", F.unix_micros("ts"))
+        return folded(timed, [key], ["__t", "event_id"], ["__t"], (capacity, None), one, "allowed boolean, retry_after int").drop("__t")
 
     def run(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         level, last = state.get if state.exists else (capacity, None)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 from karst.plans import queries as plans  # noqa: F401
-from karst.plans import statements, tools  # noqa: F401
+from karst.plans import statements, systems, tools  # noqa: F401
 from karst.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
