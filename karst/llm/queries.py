@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_systematic_mix": mixing.SQL}
+    return {"op7_hash_tree_shards": sharding.SQL, "op9_systematic_mix": mixing.SQL}
