@@ -28,7 +28,7 @@ def compressed(rows: DataFrame, order: Sequence[Column], by: str, each: int = 51
     """Chunks cut to `each` words, taken in order while they fit into `total` words a query: one that doesn't fit is left
     out, later ones may still fit."""
     cut = rows.withColumn("text", first_words(F.col("text"), each))
-    cut = cut.withColumn("token_count", token_count(F.col("text")))
+    cut = cut.withColumn("token_count", F.coalesce(token_count(F.col("text")), F.lit(0)))  # a null text takes nothing
 
     def take(used, n):
         fits = used + n <= total

@@ -546,7 +546,27 @@ def p95_nearest_rank(spark, sf_dir):
 # --------------------------------------------------------------------------- the whole of grounded search, and streams
 
 
-@query("grounded_search")
+_GROUNDED = rf"""RECURSIVE {_FUSED}, top50 AS (
+  SELECT document_id, rrf_score FROM f ORDER BY rrf_score DESC, document_id LIMIT 50
+), readable AS (
+  SELECT t.rrf_score, d.*, regexp_extract_all(d.text, '\S+') AS words FROM top50 t JOIN kb_documents d USING (document_id)
+  WHERE d.deleted_at IS NULL AND EXISTS (SELECT 1 FROM kb_grants g WHERE g.document_id = d.document_id AND g.principal IN ('u1', '*team*'))
+), cut AS (
+  SELECT * EXCLUDE (text), CASE WHEN len(words) <= 512 THEN text ELSE array_to_string(words[1:512], ' ') END AS text, least(len(words), 512)::INT AS n, row_number() OVER (ORDER BY rrf_score DESC, document_id) AS nth FROM readable
+), budget AS (
+  SELECT nth, n <= 2048 AS fits, CASE WHEN n <= 2048 THEN n ELSE 0 END AS used FROM cut WHERE nth = 1
+  UNION ALL SELECT cut.nth, used + n <= 2048, CASE WHEN used + n <= 2048 THEN used + n ELSE used END FROM budget JOIN cut ON cut.nth = budget.nth + 1
+), packed AS (
+  SELECT cut.*, row_number() OVER (ORDER BY cut.nth) AS pos, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS subject, min(rrf_score) OVER () AS lo, max(rrf_score) OVER () AS hi FROM cut JOIN budget USING (nth) WHERE fits
+), one AS (
+  SELECT subject, min(pos) AS first_pos, arg_min(text, pos) AS text, max(CASE WHEN hi <= lo THEN 1.0::DOUBLE ELSE (rrf_score - lo) / (hi - lo) END) AS r, round(epoch(TIMESTAMP '{NOW}' - max(source_updated_at)) / 3600.0, 1)::DOUBLE AS age, count(DISTINCT (source_type, document_id)) AS n_sources FROM packed GROUP BY subject
+), judged AS (
+  SELECT *, round(pow(r, 0.5) * pow(n_sources / (1.0::DOUBLE + n_sources), 0.3) * pow(CASE WHEN age <= 2160 THEN 1.0::DOUBLE ELSE greatest(0.25::DOUBLE, 2160 / age) END, 0.2), 6) AS sure FROM one
+)
+SELECT 'q' AS query, first_pos::INT AS first_pos, text, CASE WHEN sure >= 0.6 THEN 'FACT' ELSE 'LOW_CONFIDENCE' END AS verdict, sure AS confidence, n_sources, 1::BIGINT AS n_values, NULL::VARCHAR AS positions, NULL::VARCHAR AS note FROM judged"""
+
+
+@query("grounded_search", _GROUNDED)
 def grounded_search(spark, sf_dir):
     """Hybrid retrieval, permission, compression and grading in one plan."""
     d = kb.documents(spark, sf_dir)
