@@ -342,6 +342,14 @@ def sanitized_fields(spark, sf_dir):
     return kb.table(spark, sf_dir, "conversations").select("conv_id", "turn", fields["message"].alias("message"), fields["role"].alias("role"))
 
 
+@query("sanitized_json", """SELECT conv_id, turn, '<untrusted-content source="s" id="' || conv_id || '">' || chr(10) || text || chr(10) || '</untrusted-content>' AS message, role AS tag, turn::VARCHAR AS number FROM conversations""")
+def sanitized_json(spark, sf_dir):
+    body = F.to_json(F.struct("turn", F.array(F.struct(F.struct("text", F.array("role", "role").alias("tags")).alias("page"))).alias("pages")))
+    clean = values.sanitized_json(body, F.lit("s"), F.col("conv_id"))
+    part = lambda path: F.get_json_object("clean", path)
+    return kb.table(spark, sf_dir, "conversations").select("conv_id", "turn", clean.alias("clean")).select("conv_id", "turn", part("$.pages[0].page.text").alias("message"), part("$.pages[0].page.tags[1]").alias("tag"), part("$.turn").alias("number"))
+
+
 @query("hashed_embedding", r"""w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\w\x{80}-\x{10FFFF}]+')) AS word FROM benchmark), p AS (
   SELECT item_id, ('0x' || substr(sha256(word), 1, 8))::BIGINT % 64 AS place, CASE WHEN ('0x' || substr(sha256(word), 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END AS sign FROM w
 ), v AS (SELECT item_id, place, sum(sign)::DOUBLE AS x FROM p GROUP BY ALL HAVING sum(sign) <> 0), n AS (SELECT item_id, sqrt(sum(x * x)) AS size FROM v GROUP BY item_id)

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -83,6 +84,14 @@ def test_values(spark):
     assert fields[0][0] == {"password": "«redacted:field»", "message": "hi", "level": "x"} and fields[0][1]["message"].startswith("<untrusted-content") and fields[0][1]["level"] == "x"
 
 
+def test_sanitized_json(spark):
+    body = json.dumps({"msg": ["hi", {"Level": "x", "n": 1, "none": None}], "a": {"b": "password=hunter22", "ok": True}, "e": [], "long": "y" * 201})
+    got = [r for r, in values(spark, [(body,), ("plain\ntext",), ('"s"',), ("",), (None,)], "b string", val.sanitized_json(F.col("b"), F.lit("s"), F.lit(1)))]
+    frame = lambda text: f'<untrusted-content source="s" id="1">\n{text}\n</untrusted-content>'
+    assert json.loads(got[0]) == {"msg": [frame("hi"), {"Level": "x", "n": 1, "none": None}], "a": {"b": "password=«redacted:credential»", "ok": True}, "e": [], "long": frame("y" * 201)}
+    assert json.loads(got[1]) == frame("plain\ntext") and got[2:] == ['"s"', '""', None]
+
+
 def test_scores(spark):
     got = values(spark, [(None, 10), (1.0, 10), (10.0, 10), (20.0, 10), (1000.0, 10), (5.0, None), (-3.0, 10)], "age double, horizon int", scores.freshness(F.when(F.col("age").isNotNull(), F.timestamp_seconds(F.lit(10_000_000) - F.col("age") * 3600)), F.timestamp_seconds(F.lit(10_000_000)), F.col("horizon")))
     assert [x for x, in got] == [0.75, 1.0, 1.0, 0.5, 0.25, 1.0, 1.0]
