@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, media, minhash, mixing, packing, quality, records, sharding, suffixes, toxicity
+from . import alignment, licences, media, minhash, mixing, packing, quality, records, sharding, suffixes, toxicity
 from .common import documents
 
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mpeg_audio": lambda spark, sf_dir: media.digest(documents(spark, sf_dir)),
         "op9_systematic_mix": lambda spark, sf_dir: mixing.digest(documents(spark, sf_dir)),
         "op10_binary_records": lambda spark, sf_dir: records.digest(documents(spark, sf_dir)),
+        "op13_token_alignment": lambda spark, sf_dir: alignment.digest(documents(spark, sf_dir)),
     }
 
 
