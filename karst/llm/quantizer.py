@@ -215,7 +215,7 @@ def _round(r: int) -> str:
     return f"""
 a{r} AS MATERIALIZED (
   SELECT rn, p, any_value(x) AS x, arg_min(e, d * 256 + e) AS e, min(d) AS d
-  FROM (SELECT v.rn, v.p, v.x, c.e, list_sum(list_transform(list_zip(v.x, c.x), z -> (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v JOIN c{r} c ON v.p = c.p)
+  FROM (SELECT v.rn, v.p, v.x, c.e, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v JOIN c{r} c ON v.p = c.p)
   GROUP BY rn, p
 ),
 c{r + 1} AS MATERIALIZED (
@@ -228,9 +228,9 @@ c{r + 1} AS MATERIALIZED (
 
 SQL = f"""
 WITH v AS MATERIALIZED (
-  SELECT rn, vec_id, label, p, list_transform(embedding[p * 16 + 1 : p * 16 + 16], x -> floor(x::DOUBLE * 1024)::BIGINT) AS x
+  SELECT rn, vec_id, label, p, list_transform(embedding[p * 16 + 1 : p * 16 + 16], lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS x
   FROM (SELECT *, row_number() OVER (ORDER BY vec_id) AS rn FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
        (SELECT unnest(range(4)) AS p)
 ),
 c0 AS MATERIALIZED (SELECT p, rn - 1 AS e, x FROM v WHERE rn <= 256),

@@ -82,7 +82,7 @@ def test_bounds_spare_scans():
         scanned.append(b.assign(x, code, upper, lower))
         assert (code == quantizer.squares(x, c).argmin(1)).all()
         before, c = c, np.array([x[code == e].sum(0) // max(1, (code == e).sum()) if (code == e).any() else c[e] for e in range(16)])
-    assert scanned[0] == 3000 and scanned[-1] < 1500
+    assert scanned[-1] < scanned[0] / 2
 
 
 def test_sql(spark):
