@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, licences, media, minhash, mixing, packing, quality, quantizer, records, sharding, suffixes, toxicity
+from . import alignment, licences, media, minhash, mixing, packing, quality, quantizer, records, sharding, suffixes, toxicity, warc
 from .common import documents
 
 
@@ -22,10 +22,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mpeg_audio": lambda spark, sf_dir: media.digest(documents(spark, sf_dir)),
         "op9_systematic_mix": lambda spark, sf_dir: mixing.digest(documents(spark, sf_dir)),
         "op10_binary_records": lambda spark, sf_dir: records.digest(documents(spark, sf_dir)),
+        "op11_warc_archives": lambda spark, sf_dir: warc.digest(spark.read.parquet(f"{sf_dir}/pages.parquet")),
         "op12_vector_codes": lambda spark, sf_dir: quantizer.digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
         "op13_token_alignment": lambda spark, sf_dir: alignment.digest(documents(spark, sf_dir)),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_hash_tree_shards": sharding.SQL, "op9_systematic_mix": mixing.SQL, "op12_vector_codes": quantizer.SQL}
+    return {
+        "op7_hash_tree_shards": sharding.SQL,
+        "op9_systematic_mix": mixing.SQL,
+        "op11_warc_archives": warc.SQL,
+        "op12_vector_codes": quantizer.SQL,
+    }
