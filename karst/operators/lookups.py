@@ -43,17 +43,23 @@ def to_reembed(chunks: DataFrame, model: str) -> DataFrame:
     return chunks.filter(~F.col("embedding_model").eqNullSafe(model))
 
 
-def vector_top_each(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096, where=None) -> DataFrame:
+def whole_vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
+    """Rows with a vector all of whose components are finite numbers."""
+    return rows.filter(F.col(column).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+
+
+def vector_top_each(queries: DataFrame, rows: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """query, id, similarity (six places), place: the k rows most alike to each query, ties by id; exact.
 
-    Both have id and embedding. They are dealt into blocks of about `block` rows; a task multiplies one block of each and
-    gives the k best of every query, so what is shuffled is k rows for a query and block, and memory is two blocks.
-    `where` says from the vectors of two blocks which of their pairs are scored.
+    Both have id and embedding; rows without a whole vector are left out, vectors of different widths raise an error. They
+    are dealt into blocks of about `block` rows; a task multiplies one block of each and gives the k best of every query, so
+    what is shuffled is k rows for a query and block, and memory is two blocks.
     """
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
+        df = whole_vectors(df)
         n = -(-df.count() // block) or 1
-        at = F.pmod(F.xxhash64("id"), F.lit(n))
+        at = F.pmod(F.xxhash64("id", "embedding"), F.lit(n))  # an id that many rows share is spread by their vectors
         return df.groupBy(at.alias(name)).agg(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))).alias(f"{name}_rows"))
 
     def best(batches):
@@ -61,16 +67,15 @@ def vector_top_each(queries: DataFrame, rows: DataFrame, k: int, block: int = 40
             for i in range(batch.num_rows):
                 q, r = (batch.column(c)[i].values for c in ("q_rows", "r_rows"))
                 ids = [x.field("id").to_numpy() for x in (q, r)]
-                vectors = [np.stack(x.field("v").to_numpy(zero_copy_only=False)) for x in (q, r)]
+                lists = [x.field("v") for x in (q, r)]
+                widths = {w for x in lists for w in np.diff(x.offsets.to_numpy()).tolist()}
+                if len(widths) > 1:
+                    raise ValueError(f"vectors of widths {sorted(widths)}")
+                vectors = [x.flatten().to_numpy().reshape(len(x), -1) for x in lists]
                 a, b = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in vectors)
-                alike = np.round(a @ b.T, 6) if where is None else where(*vectors)
-                for row, query, v in zip(alike, ids[0], a, strict=True):
-                    other = ids[1]
-                    if where is not None:
-                        at = np.flatnonzero(row)
-                        other, row = other[at], np.round(b[at] @ v, 6)
-                    top = np.lexsort((other, -row))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), query)), pa.array(other[top]), pa.array(row[top])], ["query", "id", "similarity"])
+                for query, row in zip(ids[0], np.round(a @ b.T, 6), strict=True):
+                    top = np.lexsort((ids[1], -row))[:k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), query)), pa.array(ids[1][top]), pa.array(row[top])], ["query", "id", "similarity"])
 
     # blocks of the stated queries against blocks of all rows, not rows against rows
     pairs = blocks(queries, "q").crossJoin(blocks(rows, "r")).select("q_rows", "r_rows")
@@ -79,18 +84,6 @@ def vector_top_each(queries: DataFrame, rows: DataFrame, k: int, block: int = 40
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
-def bucketed_top_each(queries: DataFrame, rows: DataFrame, k: int, planes: int = 248, near: int = 116, seed: int = 5) -> DataFrame:
-    """Approximate vector_top_each: only rows whose signs against random planes differ in at most `near` from the query's
-    are scored. Choose planes and near by measuring recall against vector_top_each."""
-
-    def close(q, r):
-        normals = np.random.default_rng(seed).normal(size=(planes, q.shape[1])).T
-        a, b = (np.where(v @ normals >= 0, 1.0, -1.0) for v in (q, r))
-        return a @ b.T >= planes - 2 * near
-
-    return vector_top_each(queries, rows, k, where=close)
-
-
 # --------------------------------------------------------------------------- addresses
 
 

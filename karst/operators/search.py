@@ -113,17 +113,3 @@ def fuse(legs: DataFrame, key: str, k: int = 60, top: int | None = None) -> Data
         raise ValueError("k is positive")
     out = legs.groupBy(key).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("rrf_score"), F.array_join(F.array_sort(F.collect_list(F.concat("leg", F.lit("="), "rank"))), ",").alias("legs"))
     return out if top is None else out.orderBy(F.col("rrf_score").desc(), key).limit(top)
-
-
-def bucketed_top(chunks: DataFrame, query: list[float], k: int, planes: int = 10, near: int = 2, seed: int = 5) -> DataFrame:
-    """Approximate vector_top: only chunks whose signs against random planes differ in at most `near` from the query's are
-    scored. Choose planes and near by measuring recall against vector_top."""
-    import numpy as np
-
-    normals = np.random.default_rng(seed).normal(size=(planes, len(query)))
-    own = sum(int(np.dot(p, query) >= 0) << i for i, p in enumerate(normals))
-    code = F.lit(0).cast("long")
-    for i, p in enumerate(normals):
-        side = F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in p]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        code = code + F.when(side >= 0, F.lit(1 << i)).otherwise(F.lit(0))
-    return vector_top(chunks.filter(F.bit_count(code.bitwiseXOR(F.lit(own))) <= near), query, k)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from karst.functions import scores
 from karst.functions import text as txt
-from karst.operators import chunking, evaluation, events, graph, grounding, ingest, lookups, search
+from karst.operators import ann, chunking, evaluation, events, graph, grounding, ingest, lookups, search
 from karst.sources import tables as kb
+from karst.sources.shared import new_folder
 from karst.streaming import windows
 
 from .registry import query
@@ -115,12 +116,12 @@ def hash_bucket_embedding(spark, sf_dir):
     return w.groupBy("doc_id", bucket.alias("bucket")).agg(F.sum("k").alias("n"))
 
 
-@query("lsh_topk")
-def lsh_topk(spark, sf_dir):
-    """The approximate ten of every vector with an id divisible by 20."""
-    vectors = kb.table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "embedding")
-    rows = _live(spark, sf_dir).select(F.col("chunk_id").alias("id"), "embedding")
-    return lookups.bucketed_top_each(vectors, rows, 10).select("query", F.col("id").alias("chunk_id"), "similarity")
+@query("ann_topk")
+def ann_topk(spark, sf_dir):
+    """The approximate ten of every vector with an id divisible by 20, from an index that is stored for it."""
+    rows = kb.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index = ann.build(rows, new_folder(spark, "ann"))
+    return ann.search_each(index, rows.filter("id % 20 = 0"), 10).select("query", "id", "similarity", "place")
 
 
 # --------------------------------------------------------------------------- named statements

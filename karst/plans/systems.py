@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from karst.functions import scores, values
 from karst.functions import text as txt
-from karst.operators import chunking, compilers, evaluation, events, grounding, ingest, search, systems, tools
+from karst.operators import chunking, compilers, evaluation, events, grounding, ingest, postings, search, systems, tools
 from karst.sources import tables as kb
+from karst.sources.shared import new_folder
 
 from .queries import _GRADED, _JUDGED, NOW, _claims, _judged
 from .registry import query
@@ -298,16 +299,28 @@ def log_pipe_stats(spark, sf_dir):
     return out.select("service", F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("day"), "n", F.round("mean", 6).alias("mean"), F.round("p90", 6).alias("p90"))
 
 
-@query("keyword_websearch", r"""w AS (SELECT document_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM kb_documents WHERE deleted_at IS NULL), c AS (
+_WEBSEARCH = r"""w AS (SELECT document_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS a FROM kb_documents WHERE deleted_at IS NULL), c AS (
   SELECT document_id, ' ' || list_aggregate(a, 'string_agg', '  ') || ' ' AS t, len([x for x in a if x = 'was']) AS n1, len([x for x in a if x = 'gnu']) AS n2 FROM w
 ), h AS (SELECT *, len(regexp_extract_all(t, ' mit  license ')) AS n3 FROM c)
 SELECT document_id, round((list_sum([1.0::DOUBLE / (i * i) for i in range(1, n1 + 1)]) * (n1 > 0)::INT + 0) * 0 + (coalesce(list_sum([1.0::DOUBLE / (i * i) for i in range(1, n3 + 1)]), 0) + coalesce(list_sum([1.0::DOUBLE / (i * i) for i in range(1, n1 + 1)]), 0)) * 0.1 / 1.64493406685 / 2, 9) AS rank_score
-FROM h WHERE (n3 > 0 AND n2 = 0) OR n1 > 0 ORDER BY rank_score DESC, document_id LIMIT 30""")
+FROM h WHERE (n3 > 0 AND n2 = 0) OR n1 > 0 ORDER BY rank_score DESC, document_id LIMIT 30"""
+
+
+@query("keyword_websearch", _WEBSEARCH)
 def keyword_websearch(spark, sf_dir):
     d = kb.documents(spark, sf_dir).filter("deleted_at IS NULL")
     return search.keyword_search(d, "text", "document_id", 30, '"MIT License" -gnu or was').select("document_id", "rank_score")
 
 
+@query("keyword_index_websearch", _WEBSEARCH)
+def keyword_index_websearch(spark, sf_dir):
+    """keyword_websearch's rows from a stored index of words."""
+    d = kb.documents(spark, sf_dir).filter("deleted_at IS NULL")
+    folder = new_folder(spark, "postings")
+    postings.build(d, "text", "document_id", folder)
+    return postings.search(spark, folder, '"MIT License" -gnu or was', 30).select(F.col("key").alias("document_id"), "rank_score")
+
+
 # --------------------------------------------------------------------------- values and texts
 
 

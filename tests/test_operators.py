@@ -121,37 +121,3 @@ def test_streamed_snapshots(spark, tmp_path):
     windows.upsert_batches(stream, f"{tmp_path}/out", f"{tmp_path}/ck", ["id"], "at").start().awaitTermination(120)
     last = max(int(p.name) for p in (tmp_path / "out").iterdir())
     assert sorted((r.id, r.v) for r in spark.read.parquet(f"{tmp_path}/out/{last}").collect()) == [(1, "a"), (2, "c"), (3, "d")]
-
-
-def test_bucketed_search_recall(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    centres = rng.normal(size=(20, 16))
-    vectors = centres[rng.integers(0, 20, 800)] + 0.15 * rng.normal(size=(800, 16))
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "chunk_id int, embedding array<double>").cache()
-    hits = []
-    for q in range(0, 800, 80):
-        ids = lambda x: {r.chunk_id for r in x.collect()}
-        exact = ids(search.vector_top(df, vectors[q].tolist(), 10))
-        hits.append(len(exact & ids(search.bucketed_top(df, vectors[q].tolist(), 10, planes=8, near=2))) / 10)
-    assert sum(hits) / len(hits) >= 0.95
-
-
-@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
-def test_lsh_topk_recall(spark, sf):
-    """Of the registered query, and of vector_topk_each's vectors on their own table."""
-    from karst.operators import lookups
-    from karst.plans import queries as plans
-    from karst.sources import tables as kb
-
-    folder = f"/root/testdata/{sf}"
-    rows = kb.table(spark, folder, "embeddings").selectExpr("vec_id AS id", "embedding")
-    vectors = rows.filter("id % 20 = 0")
-    live = plans._live(spark, folder).selectExpr("chunk_id AS id", "embedding")
-    own = plans.lsh_topk(spark, folder).selectExpr("query", "chunk_id AS id")
-    for exact, found in ((lookups.vector_top_each(vectors, live, 10), own), (lookups.vector_top_each(vectors, rows, 5), lookups.bucketed_top_each(vectors, rows, 5))):
-        wanted, got = ({(r["query"], r["id"]) for r in x.collect()} for x in (exact, found))
-        assert {q for q, _ in wanted} == {q for q, _ in got} == {r["id"] for r in vectors.collect()}
-        print(sf, len(wanted), len(wanted & got) / len(wanted))
-        assert len(wanted & got) >= 0.95 * len(wanted)
