@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables under the shared folder, written once so that every later reader sees the same rows.
 
-    A result is read from them, so they stay until release(), or until the driver's Python ends.
+    A result is read from them, so they stay until release(), or until the driver's JVM ends, session or not.
     """
 
     made: list[Scratch] = []
@@ -43,9 +42,16 @@ class Scratch:
         """kept: release() leaves it."""
         self.spark = spark
         self.root = f"{shared_folder(spark)}/karst-{name}-{uuid.uuid4().hex}"
+        fs, where = self._place()
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
         if not kept:
             Scratch.made.append(self)
 
+    def _place(self, table: str = ""):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(table) if table else self.root)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
@@ -55,9 +61,8 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, table: str = "") -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(table) if table else self.root)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = self._place(table)
+        fs.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -66,13 +71,6 @@ def release(spark: SparkSession) -> None:
         Scratch.made.pop().drop()
 
 
-@atexit.register
-def _at_exit() -> None:
-    """Drops what is left if the application still runs."""
-    if Scratch.made and (spark := SparkSession.getActiveSession()) is not None:
-        release(spark)
-
-
 def buckets(spark: SparkSession) -> int:
     """How many even blocks hot groups are cut into: as many as the session's shuffles have partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -13,9 +13,8 @@ How links are found without the pairs of a group:
 2. In each bucket of a band every node is compared with the bucket's leader (its least node).
 3. Buckets whose nodes are by then all in one component are closed. In the others, nodes in different components are
    compared within tasks, which give links, not pairs; large buckets are dealt out as pairs of blocks of bounded size.
-   No pair that could be similar enough is left out: of two sets alike by t, the rarest 1 - t of each share a shingle, in
-   any one order by rarity, and only pairs that do are looked at. So texts that share a frequent template and nothing
-   rare are not compared.
+   No pair that could be similar enough is left out: sets alike by t share one of their rarest shingles (see _Prefixes),
+   and only pairs that do are looked at. So texts that share a frequent template and nothing rare are not compared.
 
 Texts without words have no shingles and are linked to equal texts only. Null text counts as empty. Null doc_id
 counts as the largest when a class's id is its least doc_id. Repeated rows are equal texts. An empty table gives an
@@ -230,58 +229,120 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 # --------------------------------------------------------------------------- links left between components
 
 
-def _sharing(items: list[np.ndarray], threshold: float):
-    """Groups of the sets that share one of their rarest shingles: two sets alike by the threshold are in one of them.
+class _Parts:
+    """Components that are joined one by one."""
 
-    Shingles are ordered by how many of the sets have them. Of a set of n, the first n - ceil(threshold n) + 1 count: two
-    sets that share none of those have too few others left to share.
+    def __init__(self, root: list):
+        number: dict = {}
+        self.own = np.array([number.setdefault(r, len(number)) for r in root], np.int64)
+        self.parent = np.arange(len(number))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        at = self.own[x]
+        while True:
+            up = self.parent[at]
+            if (up == at).all():
+                return at
+            self.parent[at] = self.parent[up]
+            at = self.parent[at]
+
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.of(np.array([x, y]))
+        self.parent[a] = b
+        return a != b
+
+
+class _Prefixes:
+    """Which sets could be alike by the threshold, from their rarest shingles (rarest among all of them first).
+
+    Sets are taken from the smallest to the largest. Of a set of n, an earlier one looks for its first n - ceil(t n) + 1
+    shingles among the first n - ceil(2 t n / (1 + t)) + 1 of the smaller ones: sets alike by t share more than they have
+    behind those. The first shingle that two share also bounds what they can share from there on. So texts of one template
+    that are less alike than t don't meet by it, as those few are their own. With weights the probability Jaccard is at most
+    the sum of the lesser parts of the two totals, so both first parts end where less than t of a set's weight is left.
     """
-    size = np.fromiter(map(len, items), np.int64, len(items))
-    owner = np.repeat(np.arange(len(items)), size)
-    shingle, back, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
-    rank = np.empty(len(shingle), np.int64)
-    rank[np.lexsort((shingle, times))] = np.arange(len(shingle))
-    order = np.lexsort((rank[back], owner))
-    owner, rank = owner[order], rank[back][order]
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-    first = place < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner]
-    owner, rank = owner[first], rank[first]
-    order = np.argsort(rank, kind="stable")
-    owner, rank = owner[order], rank[order]
-    edge = np.flatnonzero(np.concatenate([[True], rank[1:] != rank[:-1], [True]]))
-    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-        if b - a > 1:
-            yield owner[a:b]
+
+    def __init__(self, sets_: list, part: np.ndarray, threshold: float, weights: str):
+        self.t, self.once = threshold, weights == "once"
+        self.size = size = np.fromiter((len(x) for x, _ in sets_), np.int64, len(sets_))
+        owner = np.repeat(np.arange(len(sets_)), size)
+        _, back, times = np.unique(np.concatenate([x for x, _ in sets_]), return_inverse=True, return_counts=True)
+        rank = np.empty(len(times), np.int64)
+        rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+        rank = rank[back]
+        order = np.lexsort((rank, owner))
+        rank, first = rank[order], np.cumsum(size) - size
+        place = np.arange(len(owner)) - first[owner]
+        if self.once:
+            least = lambda share: (size - np.ceil(share * size - 1e-9).astype(np.int64) + 1)[owner]
+            asks, told = place < least(threshold), place < least(2 * threshold / (1 + threshold))
+        else:
+            weight = np.concatenate([w for _, w in sets_])[order]
+            total = np.add.reduceat(weight, first)[owner]
+            before = np.cumsum(weight) - weight
+            asks = told = 1 - (before - before[first][owner]) / total >= threshold - 1e-9
+        self.turn = np.empty(len(size), np.int64)
+        self.turn[np.argsort(size, kind="stable")] = np.arange(len(size))
+        # the index, by shingle and within it by component, so that a component's own can be stepped over
+        by = np.lexsort((part[owner[told]], rank[told]))
+        self.owner, self.place = owner[told][by], place[told][by]
+        span = int(part.max()) + 1
+        key = rank[told][by] * span + part[self.owner]
+        a, p = owner[asks], place[asks]
+        low, high = (np.searchsorted(key, rank[asks] * span + d) for d in (0, span))
+        own_low, own_high = (np.searchsorted(key, rank[asks] * span + part[a] + d) for d in (0, 1))
+        some = np.flatnonzero(high - low > own_high - own_low)
+        self.ask = {}
+        if len(some):
+            cut = np.flatnonzero(np.diff(a[some])) + 1
+            for rows in np.split(some, cut):
+                self.ask[int(a[rows[0]])] = [(p[r], low[r], own_low[r], own_high[r], high[r]) for r in rows]
+
+    def partners(self, x: int) -> np.ndarray:
+        """The sets before x, in other components at first, that could be alike."""
+        parts = [(p, q) for p, low, own_low, own_high, high in self.ask[x] for q in (slice(low, own_low), slice(own_high, high)) if q.start < q.stop]
+        y = np.concatenate([self.owner[q] for _, q in parts])
+        here = self.turn[y] < self.turn[x]
+        if not self.once:
+            return np.unique(y[here])
+        there = np.concatenate([self.place[q] for _, q in parts])
+        mine = np.concatenate([np.full(q.stop - q.start, p) for p, q in parts])
+        here &= self.size[y] >= self.t * self.size[x] - 1e-9
+        y, at = np.unique(y[here], return_index=True)  # the first shingle shared comes first
+        left = 1 + np.minimum(self.size[x] - 1 - mine[here][at], self.size[y] - 1 - there[here][at])
+        return y[left >= self.t / (1 + self.t) * (self.size[x] + self.size[y]) - 1e-9]
 
 
 def _links(node: list, root: list, sets_: list, mine: list, across: bool, threshold: float, weights: str):
     """Links between components among the nodes of one bucket (of one pair of its blocks, if `across`).
 
-    A pair is compared once, and only while the links found so far leave it in two components.
+    A pair is compared at most once, and only while the links found so far leave it in two components.
     """
-    number: dict = {}
-    parent = [number.setdefault(r, len(number)) for r in root]
-    label, parent = parent, list(range(len(number)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    items = [x for x, _ in sets_]
-    seen: set = set()
-    for group in _sharing(items, threshold) if weights == "once" else [np.arange(len(node))]:
-        group = group.tolist()
-        for k, i in enumerate(group):
-            for j in group[k + 1 :]:
-                small, large = sorted((len(items[i]), len(items[j])))
-                if (across and mine[i] == mine[j]) or (weights == "once" and small < threshold * large - 1e-9) or find(label[i]) == find(label[j]) or (i, j) in seen:
-                    continue
-                seen.add((i, j))
-                if alike(*sets_[i], *sets_[j]) >= threshold - 1e-9:
-                    parent[find(label[i])] = find(label[j])
-                    yield node[i], node[j]
+    parts, block = _Parts(root), np.array(mine)
+    found = _Prefixes(sets_, parts.own, threshold, weights)
+    for x in sorted(found.ask, key=found.turn.__getitem__):
+        y = found.partners(x)
+        if across:
+            y = y[block[y] != block[x]]
+        item, weight = sets_[x]
+        many = 16
+        while True:
+            y = y[parts.of(y) != parts.of(np.array([x]))]
+            if not len(y):
+                break
+            some, y = y[:many], y[many:]
+            many = min(8 * many, 1 << 14)
+            if weights == "once":
+                other = np.concatenate([sets_[i][0] for i in some])
+                at = np.minimum(np.searchsorted(item, other), len(item) - 1)
+                size = found.size[some]
+                shared = np.add.reduceat((item[at] == other).astype(np.int64), np.cumsum(size) - size)
+                near = shared >= (threshold - 1e-9) * (len(item) + size - shared)
+            else:
+                near = np.array([alike(item, weight, *sets_[i]) >= threshold - 1e-9 for i in some])
+            for i in some[near].tolist():
+                if parts.join(x, i):
+                    yield node[x], node[i]
 
 
 def left_over(bands: DataFrame, texts: DataFrame, labels: DataFrame, threshold: float, weights: str = "once", block: int = 1 << 20) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from karst.llm import minhash
 from karst.llm.common import utf8
 
@@ -139,24 +140,64 @@ def test_classes_by_counts(spark):
     assert dict(map(tuple, minhash.digest(docs).collect())) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
 
 
-def test_rarest_shingles_lose_no_pair():
+@pytest.mark.parametrize("weights", ["once", "count"])
+def test_links_within_a_task_lose_no_pair(weights):
+    """Components of the links are those of all pairs, with components found before, and across two blocks."""
     rng = random.Random(6)
-    for _ in range(40):
+    for turn in range(60):
         base = rng.sample(range(400), 60)
-        sets = [np.array(sorted(set(rng.sample(base, rng.randrange(20, 60)) + rng.sample(range(400), rng.randrange(12)))), np.uint64) for _ in range(40)]
-        near = {(i, j) for i in range(40) for j in range(i) if minhash.alike(sets[i], np.ones(len(sets[i])), sets[j], np.ones(len(sets[j]))) >= 0.8}
-        found = {(i, j) for g in minhash._sharing(sets, 0.8) for i in g.tolist() for j in g.tolist() if j < i}
-        assert near <= found
+        n = 40
+        items = [np.array(sorted(set(rng.sample(base, rng.randrange(20, 60)) + rng.sample(range(400), rng.randrange(12)))), np.uint64) for _ in range(n)]
+        sets = [(x, np.array([1.0 if weights == "once" else rng.choice([1, 1, 1, 2, 9]) for _ in x])) for x in items]
+        root = [rng.choice([i, i, 0]) for i in range(n)] if turn % 2 else list(range(n))
+        mine = [rng.randrange(2) for _ in range(n)]
+        for across in (False, True):
+            near = {(i, j) for i in range(n) for j in range(i) if (not across or mine[i] != mine[j]) and minhash.alike(*sets[i], *sets[j]) >= 0.8}
+            given = list(minhash._links(list(range(n)), root, sets, mine, across, 0.8, weights))
+            assert {(max(p), min(p)) for p in given} <= near
+
+            def classes(links, root=root):
+                label = {r: r for r in root}
+                for i, j in links:
+                    a, b = label[root[i]], label[root[j]]
+                    label = {k: b if v == a else v for k, v in label.items()}
+                return [label[r] for r in root]
+
+            got, want = classes(given), classes(near)
+            assert [(got[i] == got[j]) == (want[i] == want[j]) for i in range(n) for j in range(i)].count(False) == 0
+
+
+def templated(rng, n, words, own):
+    """n texts of `words` words of which the last `own` are their own."""
+    template = prose(rng, words - own)
+    return [template + " " + " ".join(f"{i}w{k}" for k in range(own)) for i in range(n)]
+
+
+def test_templated_texts_below_the_threshold_are_not_compared(spark):
+    """20,000 texts of 24 words, of which three are their own: alike by 0.739. Near copies among them meet."""
+    import time
+
+    rng = random.Random(7)
+    texts = templated(rng, 20_000, 24, 3)
+    near = {20_000 + i: i * 100 for i in range(40)}
+    texts += [texts[i] + " more" for i in near.values()]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(8)
+    began = time.time()
+    got = dict(map(tuple, minhash.digest(docs).collect()))
+    took = time.time() - began
+    print("20,000 templated texts:", took)
+    assert {i: c for i, c in got.items() if i != c} == near and took < 60
+    row, item, count = minhash.sets(*utf8(pa.array(texts[:3000])))
+    sets = [(x, np.ones(len(x))) for x in np.split(item, np.flatnonzero(np.diff(row)) + 1)]
+    assert minhash._Prefixes(sets, np.arange(3000), 0.8, "once").ask == {}
 
 
 def test_a_bucket_of_templated_texts(spark):
-    """Texts of one template that are not alike enough stay apart, without being compared; near copies among them meet."""
+    """Texts of one template that are not alike enough stay apart; near copies among them meet."""
     rng = random.Random(7)
-    template = prose(rng, 120)
-    texts = [template + " " + prose(rng, 60) for _ in range(150)]
-    texts += [edited(rng, texts[i], 1) for i in range(0, 150, 10)]
-    rows = list(enumerate(texts))
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
-    assert sorted(map(tuple, minhash.digest(docs).collect())) == sorted(brute(rows))
-    sets = [np.array(sorted(hash(x) & ((1 << 63) - 1) for x in shingled(t)), np.uint64) for t in texts[:150]]
-    assert sum(len(g) for g in minhash._sharing(sets, 0.8)) == 0
+    for words, own in ((180, 60), (24, 3), (60, 8)):
+        texts = templated(rng, 150, words, own)
+        texts += [edited(rng, texts[i], 1) for i in range(0, 150, 10)]
+        rows = list(enumerate(texts))
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+        assert sorted(map(tuple, minhash.digest(docs).collect())) == sorted(brute(rows))
