@@ -2,7 +2,7 @@
 
 Centres are fitted on at most `sample` rows, chosen by a hash of their ids; every row is written to the list of the
 centre most alike to it, with its vector in single precision. A search ranks the centres for a query and reads the first `probes` lists only: one
-query by partition filters, many by a join of (query, list) with the lists. How many to read is measured when the index is
+query by partition filters, many in blocks. How many to read is measured when the index is
 built: the true neighbours of at most `trials` rows are looked up exactly, and probes are the least number of lists that
 hold the `recall` asked for. Vectors without clusters need more of their lists read than others.
 
@@ -25,7 +25,7 @@ from karst.functions.scores import cosine
 from karst.operators.lookups import vector_top_each, whole_vectors
 
 #: Most lists of an index; their centres are what driver and tasks hold of it.
-MOST_LISTS = 4096
+MOST_LISTS = 1024
 ROWS = "id long, v array<float>, list int"
 
 
@@ -152,11 +152,28 @@ def search(index: Index, spark: SparkSession, query: list[float], k: int, probes
     return near.select("id", F.round(F.coalesce(cosine(F.col("v"), list(query)), F.lit(0.0)), 6).alias("similarity")).orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
+def _dealt(sizes: dict[int, int], lists: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each list its first block and how many it has: neighbouring lists share a block of about `block` rows, a longer list
+    has some of its own."""
+    first, parts = np.zeros(lists, np.int32), np.ones(lists, np.int32)
+    at, held = 0, 0
+    for i in range(lists):
+        n = sizes.get(i, 0)
+        if held and held + n > block:
+            at, held = at + 1, 0
+        first[i], parts[i] = at, max(1, -(-n // block))
+        held += n
+        if parts[i] > 1:
+            at, held = at + int(parts[i]), 0
+    return first, parts
+
+
 def search_each(index: Index, queries: DataFrame, k: int, probes: int | None = None, block: int = 2048) -> DataFrame:
     """query, id, similarity (six places), place: for each row of queries (id, embedding) the k most alike rows of its lists.
 
-    Queries and rows of a list meet in blocks of about `block`, however long the list is; a task holds two blocks and gives
-    the k best of each query.
+    Queries are dealt into blocks by the list that is nearest to them, rows by their lists, long lists into several blocks.
+    A block of queries meets the blocks with lists that one of its queries reads, and no others; a task holds one of each and
+    gives the k best of every query. What the driver holds is a number for each list.
     """
     spark = queries.sparkSession
     n = probes or index.probes
@@ -164,35 +181,43 @@ def search_each(index: Index, queries: DataFrame, k: int, probes: int | None = N
     if not index.rows:
         return spark.createDataFrame([], f"{out}, place int")
     centres, width = index.centres(spark), index.width
+    table = index.table(spark)
+    count = lambda df: {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}  # noqa: E731  a row for each list
+    row_first, row_parts = _dealt(count(table), len(centres), block)
 
     def ranked(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
-                v = _unit(_stack(some.column("embedding"), width))
-                lists = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :n]
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array(v.tolist(), pa.list_(pa.float64())), pa.array(lists.tolist(), pa.list_(pa.int32()))], ["query", "q", "lists"])
+                lists = np.argsort(-(_unit(_stack(some.column("embedding"), width)) @ centres.T), axis=1, kind="stable")[:, :n]
+                targets = [np.unique(np.concatenate([np.arange(row_first[x], row_first[x] + row_parts[x]) for x in own])) for own in lists]
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("embedding").cast(pa.list_(pa.float64())), pa.array(lists[:, 0].astype(np.int32)), pa.array([t.tolist() for t in targets], pa.list_(pa.int32()))], ["query", "q", "list", "targets"])
 
-    def blocks(df: DataFrame, key: str, vector: str, name: str) -> DataFrame:
-        sizes = df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("list", "of")
-        salted = df.join(sizes, F.col("list") == F.col("of")).withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")))
-        return salted.groupBy("list", "block").agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(vector).alias("v"))).alias(name)).drop("block")
+    def in_block(first: np.ndarray, parts: np.ndarray, key: str):
+        at = lambda x: F.element_at(F.array(*[F.lit(int(i)) for i in x]), F.col("list") + 1)
+        return at(first) + F.pmod(F.xxhash64(key), at(parts)).cast("int")
 
-    probed = whole_vectors(queries.select(F.col("id").cast("long").alias("id"), "embedding")).mapInArrow(ranked, "query long, q array<double>, lists array<int>")
-    asked = probed.select("query", "q", F.explode("lists").alias("list"))
-    pairs = blocks(asked, "query", "q", "qs").join(blocks(index.table(spark), "id", "v", "rs").withColumnRenamed("list", "at"), F.col("list") == F.col("at"))
+    asked = whole_vectors(queries.select(F.col("id").cast("long").alias("id"), "embedding")).mapInArrow(ranked, "query long, q array<double>, list int, targets array<int>")
+    asked = asked.withColumn("qb", in_block(*_dealt(count(asked), len(centres), block), "query"))
+    meet = asked.select("qb", F.explode("targets").alias("rb")).distinct()
+    qs = asked.groupBy("qb").agg(F.collect_list(F.struct(F.col("query").alias("id"), F.col("q").alias("v"))).alias("qs"))
+    rs = table.withColumn("at", in_block(row_first, row_parts, "id")).groupBy("at").agg(F.collect_list(F.struct("id", "v", "list")).alias("rs"))
+    pairs = meet.join(qs, "qb").join(rs, F.col("rb") == F.col("at")).select("qs", "rs")
 
     def best(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                qs, rs = (batch.column(c)[i].values for c in ("qs", "rs"))
-                q, r = (_unit(_stack(x.field("v"), width)) for x in (qs, rs))
-                ids, names = rs.field("id").to_numpy(), qs.field("id").to_numpy()
-                alike = np.round(q @ r.T, 6)
-                for name, row in zip(names, alike, strict=True):
-                    top = np.lexsort((ids, -row))[:k]
+                asked_, held = (batch.column(c)[i].values for c in ("qs", "rs"))
+                q, r = (_unit(_stack(x.field("v"), width)) for x in (asked_, held))
+                ids, names = held.field("id").to_numpy(), asked_.field("id").to_numpy()
+                read = np.zeros((len(q), len(centres)), bool)
+                np.put_along_axis(read, np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :n], True, axis=1)
+                alike = np.where(read[:, held.field("list").to_numpy()], np.round(q @ r.T, 6), -np.inf)
+                least = np.maximum(-np.partition(-alike, min(k, len(r)) - 1, axis=1)[:, min(k, len(r)) - 1], -2)
+                for name, row, low in zip(names, alike, least, strict=True):
+                    some = np.flatnonzero(row >= low)
+                    top = some[np.lexsort((ids[some], -row[some]))[:k]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), name)), pa.array(ids[top]), pa.array(row[top])], ["query", "id", "similarity"])
 
-    found = pairs.select("qs", "rs").mapInArrow(best, out)
     place = F.row_number().over(W.partitionBy("query").orderBy(F.col("similarity").desc(), "id"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
+    return pairs.mapInArrow(best, out).withColumn("place", place).filter(F.col("place") <= k)

@@ -5,12 +5,13 @@ A snapshot is a DataFrame; a step returns the next one, to be written beside the
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions.text import content_hash, matches_glob, redact_shapes
+from karst.sources.snapshots import Store
 
 KEY = ["source_type", "source_id"]
 
@@ -93,11 +94,11 @@ def scanned(rows: DataFrame, updated: str, key: str, cursor: Column | None = Non
 
 
 def crawled_files(files: DataFrame, path: str, size: str, include: Sequence[str], deny: Sequence[str], most: int) -> DataFrame:
-    """Adds blocked to the files that the globs `include` name: denied ones stay, as rows that say why; larger ones than
-    `most` bytes are left out."""
+    """Adds blocked: denied files come as rows that say why, whether the globs `include` name them or not; of the others
+    those that `include` names (all without one) and that have at most `most` bytes."""
     reason = F.when(matches_glob(F.col(path), list(deny)), "denied path")
-    found = files.filter(matches_glob(F.col(path), list(include))) if include else files
-    return found.withColumn("blocked", reason).filter(F.col("blocked").isNotNull() | (F.col(size) <= most))
+    wanted = (matches_glob(F.col(path), list(include)) if include else F.lit(True)) & (F.col(size) <= most)
+    return files.withColumn("blocked", reason).filter(F.col("blocked").isNotNull() | wanted)
 
 
 def refetched(rows: DataFrame, ledger: DataFrame, most: int) -> DataFrame:
@@ -152,3 +153,37 @@ def run_rules(full: bool, since: bool, limit: bool, dry: bool, failed: int) -> d
     """What a run may do: its own beginning never moves the cursor; only a whole, undisturbed full crawl reconciles; a dry run
     writes nothing."""
     return {"writes": not dry, "moves_cursor": not dry and not since, "reconciles": not dry and full and not since and not limit and failed == 0}
+
+
+# --------------------------------------------------------------------------- a whole run
+
+STORED = "source_type string, source_id string, document_id long, text string, content_hash string, chunk_config string, updated_at timestamp, redactions int, deleted_at timestamp"
+CHUNKS = "document_id long, chunk_index int, content string"
+LEDGER = "source_type string, source_id string, attempts int, code string"
+
+
+def run(store: Store, crawled: DataFrame, chunked: Callable[[DataFrame], DataFrame], config: str, deny: Sequence[str] = (), dry: bool = False) -> int:
+    """One run over what a crawl gave (source_type, source_id, document_id, source_uri, visibility, text, updated_at).
+
+    Policy, comparison, documents, their chunks (chunked gives document_id, chunk_index, content), failures and each source's
+    cursor become one version, or, if the run is lost, none. Of several rows of a key the one updated last counts. A dry run
+    commits nothing. Returns the version that is current then.
+    """
+    base = store.version()
+    stage = store.stage()
+    docs, chunks, ledger = (store.read(t, base, s) for t, s in (("documents", STORED), ("chunks", CHUNKS), ("failures", LEDGER)))
+    cursors = store.read("cursors", base, "source_type string, cursor timestamp")
+    newest = crawled.groupBy(*KEY).agg(F.max_by(F.struct("document_id", "source_uri", "visibility", "text", "updated_at"), F.struct("updated_at", "document_id")).alias("r")).select(*KEY, "r.*")
+    # decided once: later steps read what was written, so that all of them see the same
+    acts = stage.write("actions", compared(gated(newest, deny), docs, config))
+    changed = acts.filter(F.col("action").isin("insert", "update")).select(*KEY, "document_id", "text", "content_hash", F.lit(config).alias("chunk_config"), "updated_at", F.col("redactions").cast("int").alias("redactions"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    failed = acts.filter("action = 'block'").select(*KEY, F.lit("policy").alias("code"))
+    done = acts.filter("action <> 'block'").select(*KEY)
+    stage.write("documents", upserted(docs, changed))
+    stage.write("chunks", replaced_chunks(chunks, changed, chunked(changed)))
+    stage.write("failures", failures(ledger, failed, done))
+    seen = acts.groupBy("source_type").agg(F.max("updated_at").alias("cursor"))
+    stage.write("cursors", cursors.unionByName(seen).groupBy("source_type").agg(F.max("cursor").alias("cursor")))
+    if dry:
+        return base
+    return stage.commit({"config": config}, drop=("actions",))

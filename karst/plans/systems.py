@@ -9,6 +9,7 @@ from karst.functions import text as txt
 from karst.operators import chunking, compilers, evaluation, events, grounding, ingest, postings, search, systems, tools
 from karst.sources import tables as kb
 from karst.sources.shared import new_folder
+from karst.sources.snapshots import Store
 
 from .queries import _GRADED, _JUDGED, NOW, _claims, _judged
 from .registry import query
@@ -49,7 +50,7 @@ def _files(spark, sf_dir):
 
 @query("code_crawl", f"{_PATHS} SELECT document_id, path, CASE WHEN path LIKE '%/.env' THEN 'denied path' END AS blocked FROM f WHERE NOT path LIKE '%.bin' AND (path LIKE '%/.env' OR size <= 3000)")
 def code_crawl(spark, sf_dir):
-    return ingest.crawled_files(_files(spark, sf_dir), "path", "size", ["*.py", "*.md", ".env"], [".env"], 3000).select("document_id", "path", "blocked")
+    return ingest.crawled_files(_files(spark, sf_dir), "path", "size", ["*.py", "*.md"], [".env"], 3000).select("document_id", "path", "blocked")
 
 
 @query("issue_crawl", "SELECT document_id, upper(source_id) AS issue FROM kb_documents WHERE source_type = 'jira' AND source_updated_at >= TIMESTAMP '2024-01-02 06:00:00'")
@@ -497,3 +498,45 @@ def mean_metrics(spark, sf_dir):
 def max_staleness(spark, sf_dir):
     hours = kb.documents(spark, sf_dir).filter("deleted_at IS NULL").groupBy("source_type").agg(scores.hours_between(F.max("source_updated_at"), F.lit(NOW)).alias("hours"))
     return hours.agg(F.max("hours").alias("oldest"), F.min("hours").alias("newest"))
+
+
+# --------------------------------------------------------------------------- runs into a store
+
+_THIRDS = "(SELECT count(*) FROM documents) // 3"
+
+
+def _lines(changed):
+    """A chunk for each line with something on it: enough to see chunks follow their documents."""
+    line = F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)).alias("chunk_index", "content")
+    return changed.select("document_id", line)
+
+
+@query("snapshot_runs", f"""r AS (SELECT unnest([1, 2, 3]) AS version), d AS (SELECT document_id, source_type, visibility, len(list_filter(string_split(text, chr(10)), lambda x: length(trim(x, ' ')) > 0)) AS lines, source_updated_at AS upd FROM kb_documents)
+SELECT version, source_type, count(*) FILTER (visibility = 'team') AS documents, coalesce(sum(lines) FILTER (visibility = 'team'), 0)::BIGINT AS chunks, count(*) FILTER (visibility = 'team' AND version = 3 AND document_id % 10 = 0 AND document_id < {_THIRDS}) AS edited,
+  count(*) FILTER (visibility <> 'team') AS failures, strftime(max(CASE WHEN version = 3 AND document_id % 10 = 0 AND document_id < {_THIRDS} THEN TIMESTAMP '2034-01-01' ELSE upd END), {_AT}) AS at
+FROM r, d WHERE document_id < {_THIRDS} * version OR version = 3 GROUP BY version, source_type""")
+def snapshot_runs(spark, sf_dir):
+    """Three runs: the first third of the documents, those from the cursor to the second, and the rest with edits of every
+    tenth of the first; read back as of each version."""
+    docs = kb.documents(spark, sf_dir).withColumnRenamed("source_updated_at", "updated_at")
+    third = docs.count() // 3
+    store = Store(spark, new_folder(spark, "store"))
+    for turn in (1, 2, 3):
+        cursor = store.read("cursors", turn - 1, "source_type string, cursor timestamp").withColumnRenamed("source_type", "of")
+        upto = docs if turn == 3 else docs.filter(F.col("document_id") < third * turn)
+        new = upto.join(F.broadcast(cursor), F.col("source_type") == F.col("of"), "left").filter(F.col("cursor").isNull() | (F.col("updated_at") >= F.col("cursor")))  # a row a source
+        if turn == 3:
+            edits = docs.filter((F.col("document_id") % 10 == 0) & (F.col("document_id") < third))
+            new = new.drop("of", "cursor").unionByName(edits.withColumn("text", F.concat("text", F.lit(" (edited)"))).withColumn("updated_at", _time("2034-01-01")))
+        ingest.run(store, new, _lines, "lines")
+    out = None
+    for version in store.versions():
+        d, c, f, at = (store.read(t, version) for t in ("documents", "chunks", "failures", "cursors"))
+        n = d.groupBy("source_type").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("text").endswith(" (edited)")).alias("edited"))
+        chunks = d.join(c, "document_id").groupBy("source_type").agg(F.count(F.lit(1)).alias("chunks"))
+        failures = f.groupBy("source_type").agg(F.count(F.lit(1)).alias("failures"))
+        one = n.join(chunks, "source_type", "left").join(failures, "source_type", "left").join(at, "source_type")
+        zero = F.lit(0).cast("long")
+        one = one.select(F.lit(version).alias("version"), "source_type", "documents", F.coalesce("chunks", zero).alias("chunks"), "edited", F.coalesce("failures", zero).alias("failures"), F.date_format("cursor", "yyyy-MM-dd HH:mm:ss").alias("at"))
+        out = one if out is None else out.unionByName(one)
+    return out
