@@ -1,4 +1,4 @@
-"""Small languages of log searches as Columns and DataFrames: what they can't say here is refused, never guessed.
+"""Query strings and search bodies as Columns and DataFrames: what they can't say here is refused, never guessed.
 
 Each has a documented part of its language. Text matching is on whole words in any case, as in an analysed field.
 """
@@ -124,16 +124,17 @@ def query_string(query: str, columns: Mapping[str, Column], default: Sequence[st
 
     def either() -> Column:
         """Alternatives; signed ones must (+) or must not (-) hold beside them."""
-        needed, others = [], []
+        needed, others, required = [], [], False
         while look() and look()["mark"] != ")":
             if look().get("word") in ("OR", "||"):
                 take()
             signed = look().get("sign") in ("+", "-", "!") or look().get("word") == "NOT"
+            required |= look().get("sign") == "+"
             (needed if signed else others).append(both())
         if not needed and not others:
             raise Refused("an empty query")
-        # what is optional counts only where nothing is required
-        return reduce(Column.__and__, needed + ([] if needed and any(t["sign"] == "+" for t in tokens) or not others else [_any(others)]))
+        # what is optional counts only where nothing is required beside it
+        return reduce(Column.__and__, needed + ([] if required or not others else [_any(others)]))
 
     out = either()
     if place < len(tokens):
@@ -143,71 +144,72 @@ def query_string(query: str, columns: Mapping[str, Column], default: Sequence[st
 
 # --------------------------------------------------------------------------- search bodies
 
-#: What a search body may have at its top, and what it must not have anywhere.
+#: What a search body may have at its top.
 TOP = ("query", "sort", "_source", "size", "from")
-FORBIDDEN = frozenset(
-    {"script", "script_score", "script_fields", "scripted_metric", "bucket_script", "bucket_selector", "_script", "runtime_mappings", "scroll", "pit", "point_in_time", "profile", "search_template", "indices_boost"}
-)
 
 
 def search_body(rows: DataFrame, body: Mapping, columns: Mapping[str, Column], key: str, limit: int = 20, most: int = 1000) -> DataFrame:
     """Rows that a search body asks for: query (bool, term, terms, match, match_phrase, range, exists, ids, prefix, wildcard,
-    match_all), sort, _source, from and size; forbidden constructs are refused at any depth."""
-
-    def walk(node) -> None:
-        if isinstance(node, Mapping):
-            for name, below in node.items():
-                if name in FORBIDDEN or (name == "terms" and isinstance(below, Mapping) and any(isinstance(x, Mapping) and "index" in x for x in below.values())):
-                    raise Refused(f"not permitted: {name}")
-                walk(below)
-        elif isinstance(node, list | tuple):
-            for below in node:
-                walk(below)
+    match_all), sort, _source, from and size.
 
+    What isn't named here is refused wherever it stands: clauses are known by their place, and values are plain ones, so
+    scripts, lookups and their like have no place to be. A size beyond `limit` is refused, not lowered.
+    """
     unknown = [name for name in body if name not in TOP]
     if unknown:
         raise Refused(f"not permitted: {unknown[0]}")
-    walk(body)
-    first, size = body.get("from", 0), min(body.get("size", limit), limit)
-    if not 0 <= first or not 0 <= size or first + size > most:
-        raise Refused(f"from and size together are at most {most}")
+    first, size = body.get("from", 0), body.get("size", limit)
+    if not all(isinstance(x, int) for x in (first, size)) or not 0 <= first or not 0 <= size <= limit or first + size > most:
+        raise Refused(f"a size is {limit} at most, and from and size together {most}")
 
     def column(name: str) -> Column:
         if name not in columns:
             raise Refused(f"no field {name}")
         return columns[name]
 
+    def plain(x):
+        if isinstance(x, Mapping | list | tuple):
+            raise Refused(f"not permitted: {next(iter(x), 'nothing')}")
+        return x
+
+    def told(x, *names: str) -> Mapping:
+        if not isinstance(x, Mapping) or not {*x} <= {*names}:
+            raise Refused(f"not permitted: {next((n for n in x if n not in names), x) if isinstance(x, Mapping) else x}")
+        return x
+
     def listed(x) -> list:
         return list(x) if isinstance(x, list | tuple) else [x]
 
     def condition(node: Mapping) -> Column:
-        if len(node) != 1:
+        if not isinstance(node, Mapping) or len(node) != 1:
             raise Refused("a clause has one kind")
         kind, spec = next(iter(node.items()))
         if kind == "match_all":
+            told(spec)
             return F.lit(True)
         if kind == "ids":
-            return F.col(key).isin(listed(spec["values"]))
+            return F.col(key).isin([plain(x) for x in listed(told(spec, "values").get("values", []))])
         if kind == "exists":
-            return column(spec["field"]).isNotNull()
+            return column(plain(told(spec, "field").get("field"))).isNotNull()
         if kind == "bool":
+            told(spec, "must", "filter", "should", "must_not", "minimum_should_match")
             must = [condition(x) for part in ("must", "filter") for x in listed(spec.get(part, []))]
             should = [condition(x) for x in listed(spec.get("should", []))]
             never = [~condition(x) for x in listed(spec.get("must_not", []))]
-            least = int(spec.get("minimum_should_match", 0 if must else bool(should)))
+            least = int(plain(spec.get("minimum_should_match", 0 if must else bool(should))))
             if should and least:
                 must.append(sum((F.when(c, 1).otherwise(0) for c in should), F.lit(0)) >= least)
             return reduce(Column.__and__, must + never, F.lit(True))
-        if kind not in ("term", "terms", "match", "match_phrase", "range", "prefix", "wildcard") or len(spec) != 1:
+        if kind not in ("term", "terms", "match", "match_phrase", "range", "prefix", "wildcard") or not isinstance(spec, Mapping) or len(spec) != 1:
             raise Refused(f"not permitted: {kind}")
         name, value = next(iter(spec.items()))
         c = column(name)
         if kind == "terms":
-            return c.isin(listed(value))
+            return c.isin([plain(x) for x in value] if isinstance(value, list | tuple) else [plain(value)])
         if kind == "range":
             ops = {"gte": Column.__ge__, "gt": Column.__gt__, "lte": Column.__le__, "lt": Column.__lt__}
-            return reduce(Column.__and__, [ops[op](c, F.lit(x)) for op, x in value.items()], F.lit(True))
-        asked = value.get("value", value.get("query")) if isinstance(value, Mapping) else value
+            return reduce(Column.__and__, [ops[op](c, F.lit(plain(x))) for op, x in told(value, *ops).items()], F.lit(True))
+        asked = plain(told(value, "value", "query", "operator").get("value", value.get("query")) if isinstance(value, Mapping) else value)
         if kind == "term":
             return c == F.lit(asked)
         if kind == "prefix":
@@ -226,79 +228,8 @@ def search_body(rows: DataFrame, body: Mapping, columns: Mapping[str, Column], k
     order = []
     for s in listed(body.get("sort", [])):
         name, way = next(iter(s.items())) if isinstance(s, Mapping) else (s, "asc")
-        way = way.get("order", "asc") if isinstance(way, Mapping) else way
+        way = plain(told(way, "order").get("order", "asc") if isinstance(way, Mapping) else way)
         order.append(column(name).desc() if way == "desc" else column(name).asc())
     found = found.orderBy(*order, key).offset(first).limit(size)
     shown = body.get("_source")
-    return found if shown is None else found.select(*dict.fromkeys([key, *listed(shown)]))
-
-
-# --------------------------------------------------------------------------- pipes
-
-#: The stages that a log query may have.
-STAGES = ("fields", "filter", "stats", "sort", "limit", "parse", "dedup", "display")
-
-
-def stages(query: str) -> list[tuple[str, str]]:
-    """(stage, what follows it) of a log query: pipes in quotes and in regular expressions don't divide."""
-    parts = re.findall(r"""(?:'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`[^`]*`|(?:like|=~)\s*/(?:\\.|[^/\\])*/|[^|'"`])+""", query, re.IGNORECASE)
-    if "|".join(parts) != query or not parts:
-        raise Refused("an empty stage, or a quote that is not closed")
-    out = []
-    for part in parts:
-        m = re.match(r"\s*([A-Za-z_]*)\s*(.*)", part, re.DOTALL)
-        if m[1].lower() not in STAGES:
-            raise Refused(f"not permitted: {m[1]!r}")
-        out.append((m[1].lower(), m[2].strip()))
-    return out
-
-
-def _sql(expression: str) -> str:
-    """A log query's expression as Spark's: `@` in names, like or =~ with /patterns/, and bin(5m)."""
-    text = re.sub(r"(?i)\b(?:like|=~)\s*/((?:\\.|[^/\\])*)/", lambda m: f"rlike r'{m[1]}'", expression)
-    text = re.sub(r"=~", "rlike", text)
-    text = re.sub(r'"([^"]*)"', lambda m: "'" + m[1].replace("'", "\\'") + "'", text)
-    units = {"s": "second", "m": "minute", "h": "hour", "d": "day"}
-    text = re.sub(r"(?i)\bbin\(\s*(\d+)\s*([smhd])\s*\)", lambda m: f"window(timestamp, '{m[1]} {units[m[2].lower()]}').start", text)
-    text = re.sub(r"(?i)\bpct\(\s*([^,()]+),\s*(\d+)\s*\)", lambda m: f"percentile({m[1]}, {int(m[2]) / 100})", text)
-    text = re.sub(r"(?i)\bcount_distinct\(([^()]+)\)", r"count(DISTINCT \1)", text)
-    return re.sub(r"@(\w+)", r"\1", text)
-
-
-def _list(text: str) -> list[str]:
-    """Parts of a list that commas outside of parentheses and quotes divide."""
-    return [p.strip() for p in re.findall(r"""(?:\([^()]*(?:\([^()]*\)[^()]*)*\)|'[^']*'|"[^"]*"|[^,])+""", text)]
-
-
-def _named(part: str) -> Column:
-    m = re.match(r"(?is)(.*?)\s+as\s+(\w+)$", part)
-    expression, name = (m[1], m[2]) if m else (part, re.sub(r"\W+", "_", part.replace("@", "")).strip("_"))
-    return F.expr(_sql(expression)).alias(name)
-
-
-def log_query(rows: DataFrame, query: str, limit: int = 1000) -> DataFrame:
-    """Rows by a log query's stages: fields and display (columns, with names), filter, stats ... by ..., sort, limit, dedup,
-    and parse with * as wildcards. Times are in the column timestamp."""
-    for stage, rest in stages(query):
-        if stage in ("fields", "display"):
-            rows = rows.select(*map(_named, _list(rest)))
-        elif stage == "filter":
-            rows = rows.filter(F.coalesce(F.expr(_sql(rest)), F.lit(False)))
-        elif stage == "stats":
-            what, *by = re.split(r"(?i)\s+by\s+", rest, maxsplit=1)
-            rows = rows.groupBy(*map(_named, _list(by[0]) if by else [])).agg(*map(_named, _list(what)))
-        elif stage == "sort":
-            order = [re.match(r"(?i)(.*?)(?:\s+(asc|desc))?$", p) for p in _list(rest)]
-            rows = rows.orderBy(*[F.expr(_sql(m[1])).desc() if (m[2] or "").lower() == "desc" else F.expr(_sql(m[1])).asc() for m in order])
-        elif stage == "limit":
-            rows = rows.limit(min(int(rest), limit))
-        elif stage == "dedup":
-            rows = rows.dropDuplicates([re.sub("@", "", c) for c in _list(rest)])
-        else:
-            m = re.match(r"""(?is)(@?\w+)\s+(["'])(.*?)\2\s+as\s+(.*)$""", rest)
-            if m is None:
-                raise Refused(f"can't be read: parse {rest}")
-            pattern = "(.*?)".join(map(re.escape, m[3].split("*"))) + ("$" if m[3].endswith("*") else "")
-            for i, name in enumerate(_list(m[4])):
-                rows = rows.withColumn(name.lstrip("@"), F.nullif(F.regexp_extract(m[1].lstrip("@"), "(?s)" + pattern, i + 1), F.lit("")))
-    return rows
+    return found if shown is None else found.select(*dict.fromkeys([key, *map(plain, listed(shown))]))

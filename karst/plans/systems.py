@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import scores, values
 from karst.functions import text as txt
-from karst.operators import chunking, compilers, evaluation, events, grounding, ingest, postings, search, systems, tools
+from karst.operators import chunking, compilers, evaluation, events, grounding, ingest, pipes, postings, search, systems, tools
 from karst.sources import tables as kb
 from karst.sources.shared import new_folder
 from karst.sources.snapshots import Store
@@ -296,7 +296,7 @@ def log_search_body(spark, sf_dir):
 @query("log_pipe_stats", f"SELECT service, strftime(time_bucket(INTERVAL '1 day', ts), {_AT}) AS day, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.9), 6) AS p90 FROM kb_logs WHERE level <> 'view' AND regexp_matches(service, 'service[1-3]') GROUP BY 1, 2")
 def log_pipe_stats(spark, sf_dir):
     rows = kb.logs(spark, sf_dir).withColumnRenamed("ts", "timestamp")
-    out = compilers.log_query(rows, "filter level != 'view' and service like /service[1-3]/ | stats count(*) as n, avg(value) as mean, pct(value, 90) as p90 by service, bin(1d) as day | sort service asc, day desc")
+    out = pipes.log_query(rows, "filter level != 'view' and service like /service[1-3]/ | stats count(*) as n, avg(value) as mean, pct(value, 90) as p90 by service, bin(1d) as day | sort service asc, day desc")
     return out.select("service", F.date_format("day", "yyyy-MM-dd HH:mm:ss").alias("day"), "n", F.round("mean", 6).alias("mean"), F.round("p90", 6).alias("p90"))
 
 
