@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def recall_at(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """query, recall: the share of a query's relevant items among its first k results. Both have query and item."""
@@ -21,7 +23,7 @@ def reciprocal_rank(results: DataFrame, relevant: DataFrame) -> DataFrame:
 
 def nearest_rank(rows: DataFrame, value: str, share: float, by: list[str]) -> DataFrame:
     """The nearest-rank quantile: a value that occurs."""
-    return rows.groupBy(*by).agg(F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {value})").alias("quantile"))
+    return quantiles(rows, value, [share], by, nearest=True).withColumnRenamed("q0", "quantile")
 
 
 def verdicts(graded: DataFrame, by: list[str]) -> DataFrame:

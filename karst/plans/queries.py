@@ -234,6 +234,13 @@ for _name, _every, _interval in (("date_histogram_5m", "5m", "5 minutes"), ("dat
     _histogram(_name, _every, _interval)
 
 
+@query("histogram_gaps", """t AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-12', INTERVAL 1 HOUR)) AS at), g AS (SELECT DISTINCT level FROM kb_logs WHERE value > 200 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12')
+SELECT g.level, strftime(t.at, '%Y-%m-%d %H:%M:%S') AS bucket, count(l.event_id) AS n FROM g CROSS JOIN t LEFT JOIN kb_logs l ON l.level = g.level AND l.value > 200 AND l.ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12' AND date_trunc('hour', l.ts) = t.at GROUP BY 1, 2""")
+def histogram_gaps(spark, sf_dir):
+    """Hours of a week by level, of high values: most hours have none."""
+    return events.histogram_filled(kb.logs(spark, sf_dir).filter("value > 200"), "1h", "2024-01-05T00:00:00Z", "2024-01-12T01:00:00+01:00", by=["level"])
+
+
 @query("metric_stats", "SELECT service, strftime(time_bucket(INTERVAL '1 day', ts), '%Y-%m-%d %H:%M:%S') AS bucket, round(avg(value), 6) AS average, round(sum(value), 4) AS total, min(value) AS minimum, max(value) AS maximum, count(value) AS samples FROM kb_logs GROUP BY 1, 2")
 def metric_stats(spark, sf_dir):
     return events.metric(kb.logs(spark, sf_dir), 86400, by=["service"])
