@@ -59,10 +59,12 @@ def chunks(docs: DataFrame, key: str, text: str, tokens: int = 256, overlap: int
     section's first begins with the last `overlap` words of the one before.
 
     A block that is too long is cut into pieces of whole lines, a line that is too long into runs of words. Null and
-    blank texts have no chunks.
+    blank texts have no chunks. Rows with equal or null keys are cut each by itself.
     """
     if tokens < 8 or not 0 <= overlap < tokens:
         raise ValueError("a chunk has 8 words or more, and overlaps by less than that")
+    name, key = key, "__row"
+    docs = docs.select(F.struct(F.col(name).alias("key"), F.monotonically_increasing_id().alias("row")).alias(key), F.col(text).alias(text))
     so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     lines = sectioned(docs, key, text).withColumn("block", F.count_if(F.col("kind").isin("blank", "heading")).over(so_far)).filter(~F.col("kind").isin("blank", "heading"))
     words = F.regexp_extract_all("line", F.lit(WORDS), F.lit(0))
@@ -84,4 +86,4 @@ def chunks(docs: DataFrame, key: str, text: str, tokens: int = 256, overlap: int
     before = F.regexp_extract_all(F.lag("body").over(W.partitionBy(key, "section").orderBy("chunk_index")), F.lit(WORDS), F.lit(0))
     tail = F.array_join(F.slice(before, F.greatest(F.size(before) - overlap + 1, F.lit(1)), F.lit(overlap)), " ") if overlap else F.lit(None).cast("string")
     content = F.concat_ws("\n\n", F.nullif(tail, F.lit("")), "body")
-    return bodies.withColumn("content", content).select(key, "chunk_index", "content", "heading_path", token_count(F.col("content")).cast("int").alias("token_count"))
+    return bodies.withColumn("content", content).select(F.col(key)["key"].alias(name), "chunk_index", "content", "heading_path", token_count(F.col("content")).cast("int").alias("token_count"))

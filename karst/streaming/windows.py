@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.operators.folds import folded
+from karst.sources.shared import new_folder
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -28,17 +28,13 @@ def windowed_counts(events: DataFrame, every: str = "1 day", late: str = "1 hour
     )
 
 
-def run_once(stream: DataFrame, wait: int = 600) -> DataFrame:
-    """Runs a stream over what there is, into Parquet files under the shared folder, and returns them."""
+def run_once(stream: DataFrame) -> DataFrame:
+    """Runs a stream over all that there is, however long that takes, into Parquet files under the shared folder, and returns
+    them; a stream that fails raises its error."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = "file:///tmp/karst-scratch"
-    root = f"{shared.rstrip('/')}/karst-stream-{uuid.uuid4().hex}"
+    root = new_folder(spark, "stream")
     running = stream.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination(wait)
+    running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 

@@ -53,6 +53,9 @@ def test_chunks(spark):
     ]
     assert found[4] == [(0, None, "a b c\n\nd e f\n\ng h", 8), (1, None, "f g h\n\ni j k l m n", 9)]
     assert [x[1] for x in found[5]] == ["x", "z > w", "z > u"]
+    same = spark.createDataFrame([(1, "# A\nalpha one\n\nalpha two"), (1, "# X\ngamma two"), (None, "n one"), (None, "n two")], "id int, t string")
+    got = sorted((str(r.id), r.chunk_index, r.content, r.heading_path) for r in chunking.chunks(same, "id", "t", 12, 3).collect())
+    assert got == [("1", 0, "alpha one\n\nalpha two", "A"), ("1", 0, "gamma two", "X"), ("None", 0, "n one", None), ("None", 0, "n two", None)]
     for bad in ((7, 0), (10, 10)):
         with pytest.raises(ValueError):
             chunking.chunks(docs, "id", "t", *bad)
@@ -84,6 +87,27 @@ def test_values(spark):
     assert fields[0][0] == {"password": "«redacted:field»", "message": "hi", "level": "x"} and fields[0][1]["message"].startswith("<untrusted-content") and fields[0][1]["level"] == "x"
 
 
+def test_markdown_of_nested_elements(spark):
+    cases = {
+        "<ul><li>a<ul><li>b <em>c</em></li></ul></li><li>d</li></ul>": "- a\n- b *c*\n\n- d",
+        "<p><a href='/x'>in <b>bold</b> <a>none</a></a> &amp; <i>it</i></p>": "[in **bold** [none]](/x) & *it*",
+        "<table><tr><th>h</th><th><code>k</code></th></tr><tr><td>1</td><td>2<br/>3</td></tr></table>": "| h | `k`\n\n | 1 | 2\n3",
+        "<h3>T <b>x</b></h3>text</p></div><b>open": "### T **x**\ntext**open**",
+        "<pre>a\n  b</pre><p>{}</p>": "```\na\n  b\n```\n\n{}",
+        "<p>a<p>b</div></p>c": "a\nb\nc",
+        "": "",
+    }
+    got = values(spark, [(k,) for k in cases] + [(None,)], "p string", txt.markdown(F.col("p")))
+    assert [g for g, in got] == [*cases.values(), None]
+
+
+def test_texts_of_trees(spark):
+    text = lambda t: {"type": "text", "text": t}
+    nested = {"type": "doc", "content": [{"type": "bulletList", "content": [{"type": "listItem", "content": [text("a"), {"type": "text", "text": 7}]}]}, [[text("b")]], {"type": "mention", "text": "no"}, text("c")]}
+    cases = [json.dumps(nested), json.dumps([text("x"), text("y")]), '"plain"', "null", "{", json.dumps({"content": text("z")}), json.dumps({"content": ["loose", None]})]
+    assert [g for g, in values(spark, [(c,) for c in cases], "b string", val.tree_text(F.col("b")))] == ["a b c", "x y", "plain", "", "{", "z", ""]
+
+
 def test_sanitized_json(spark):
     body = json.dumps({"msg": ["hi", {"Level": "x", "n": 1, "none": None}], "a": {"b": "password=hunter22", "ok": True}, "e": [], "long": "y" * 201})
     got = [r for r, in values(spark, [(body,), ("plain\ntext",), ('"s"',), ("",), (None,)], "b string", val.sanitized_json(F.col("b"), F.lit("s"), F.lit(1)))]
