@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import scores, values
 from karst.functions import text as txt
-from karst.operators import chunking, compilers, evaluation, events, grounding, ingest, pipes, postings, search, systems, tools
+from karst.operators import chunking, compilers, embedding, envelopes, evaluation, events, grounding, ingest, pipes, postings, search, systems, tools
 from karst.sources import tables as kb
 from karst.sources.shared import new_folder
 from karst.sources.snapshots import Store
@@ -540,3 +540,47 @@ def snapshot_runs(spark, sf_dir):
         one = one.select(F.lit(version).alias("version"), "source_type", "documents", F.coalesce("chunks", zero).alias("chunks"), "edited", F.coalesce("failures", zero).alias("failures"), F.date_format("cursor", "yyyy-MM-dd HH:mm:ss").alias("at"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# --------------------------------------------------------------------------- checks inside plans, and embedding
+
+
+_ENVELOPES = """res AS (SELECT conv_id AS call, CASE WHEN conv_id % 7 = 0 THEN 'empty' WHEN conv_id % 5 = 0 THEN 'partial' ELSE 'ok' END AS status, count(*) FILTER (role <> 'system') + (conv_id % 11 = 0)::INT AS returned,
+  conv_id % 3 = 0 AS has_more, CASE WHEN conv_id % 9 > 0 THEN 'c' || conv_id END AS next_cursor FROM conversations GROUP BY conv_id
+), it AS (SELECT conv_id AS call, turn % 4 AS ref FROM conversations WHERE role <> 'system'), ci AS (SELECT conv_id AS call, CASE WHEN turn % 2 = 0 THEN 'knowledge' ELSE 'cloudwatch' END AS kind, CASE WHEN length(text) % 3 > 0 THEN 'https://x/' || turn END AS uri FROM conversations WHERE role = 'assistant'
+), n AS (SELECT res.*, (SELECT count(*) FROM it WHERE it.call = res.call) AS items, (SELECT count(*) FROM ci WHERE ci.call = res.call) AS cited, (SELECT count(*) FROM it WHERE it.call = res.call AND ref >= (SELECT count(*) FROM ci WHERE ci.call = res.call)) AS bad,
+  (SELECT count(*) FROM ci WHERE ci.call = res.call AND kind = 'knowledge' AND uri IS NULL) AS bare FROM res)"""
+
+
+@query("envelope_rules", f"""{_ENVELOPES} SELECT sum((status <> 'empty' AND cited = 0)::INT)::BIGINT AS rule1, sum((status = 'empty' AND items + cited > 0)::INT)::BIGINT AS rule2, sum((has_more AND next_cursor IS NULL)::INT)::BIGINT AS rule3, sum(bad)::BIGINT AS rule4,
+  sum((returned <> items)::INT)::BIGINT AS rule5, sum(bare)::BIGINT AS rule6, sum((status = 'partial' AND items = 0)::INT)::BIGINT AS rule7 FROM n""")
+def envelope_rules(spark, sf_dir):
+    """Conversations as calls, their turns as items, answers as citations; how often each rule is broken."""
+    c = kb.table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "call")
+    i = F.col("call")
+    status = F.when(i % 7 == 0, "empty").when(i % 5 == 0, "partial").otherwise("ok")
+    results = c.groupBy("call").agg(F.count_if(F.col("role") != "system").alias("n")).select("call", status.alias("status"), (F.col("n") + (i % 11 == 0).cast("int")).alias("returned"), (i % 3 == 0).alias("has_more"), F.when(i % 9 > 0, F.concat(F.lit("c"), i)).alias("next_cursor"))
+    items = c.filter("role <> 'system'").select("call", (F.col("turn") % 4).alias("citation_ref"))
+    uri = F.when(F.length("text") % 3 > 0, F.concat(F.lit("https://x/"), "turn"))
+    citations = c.filter("role = 'assistant'").select("call", F.when(F.col("turn") % 2 == 0, "knowledge").otherwise("cloudwatch").alias("source_type"), uri.alias("uri"), F.lit(None).cast("string").alias("scope"))
+    found = envelopes.violations(results, items, citations)
+    return found.agg(*[F.sum(f"rule{k}").alias(f"rule{k}") for k in range(1, 8)])
+
+
+@query("reembedded_store", r"""w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\w\x{80}-\x{10FFFF}]+')) AS word FROM benchmark), p AS (
+  SELECT item_id, ('0x' || substr(sha256(word), 1, 8))::BIGINT % 64 AS place, CASE WHEN ('0x' || substr(sha256(word), 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END AS sign FROM w
+), s AS (SELECT item_id, place, sum(sign) AS x FROM p GROUP BY ALL), n AS (SELECT item_id, sqrt(sum(x * x)) AS size FROM s GROUP BY item_id)
+SELECT item_id, 'hashed-64' AS model, round(max(x / size), 5) AS most, round(min(x / size), 5) AS least FROM s JOIN n USING (item_id) WHERE size > 0 GROUP BY item_id""")
+def reembedded_store(spark, sf_dir):
+    """A store of chunks without vectors, re-embedded in three runs; the last of them finds nothing to do."""
+    b = kb.table(spark, sf_dir, "benchmark")
+    none = F.lit(None)
+    store = Store(spark, new_folder(spark, "reembed"))
+    store.commit({"chunks": b.select(F.col("item_id").cast("long").alias("chunk_id"), none.cast("string").alias("heading_path"), F.col("text").alias("content"), none.cast("array<float>").alias("embedding"), none.cast("string").alias("embedding_model"))})
+    provider = embedding.hashed(64)
+    for most in (3, None, None):
+        embedding.reembed(store, provider, parts=8, most=most)
+    rows = embedding.serving(store.read("chunks"), provider.model_id, 64)
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    most, least = F.array_max(F.filter(x, lambda v: v != 0)), F.array_min(F.filter(x, lambda v: v != 0))
+    return rows.select(F.col("chunk_id").alias("item_id"), F.col("embedding_model").alias("model"), F.round(most, 5).alias("most"), F.round(least, 5).alias("least"))
