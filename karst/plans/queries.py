@@ -210,6 +210,16 @@ def graph_walk_reltype(spark, sf_dir):
     return graph.walk(kb.edges(spark, sf_dir), ["customer:1"], rel_types=["belongs_to", "part_of"])
 
 
+@query("graph_walk_regions", """RECURSIVE w AS (
+  SELECT src AS root, 1 AS depth, src, rel_type, dst, [src, dst] AS path FROM kb_edges WHERE src LIKE 'nation:%' OR src LIKE 'supplier:%'
+  UNION ALL SELECT root, depth + 1, e.src, e.rel_type, e.dst, list_append(path, e.dst) FROM w JOIN kb_edges e ON e.src = w.dst WHERE depth < 3 AND NOT list_contains(path, e.dst)
+) SELECT DISTINCT root, depth, src, rel_type, dst FROM w""")
+def graph_walk_regions(spark, sf_dir):
+    """From every nation and supplier at a time."""
+    e = kb.edges(spark, sf_dir)
+    return graph.walk(e, e.select(F.col("src").alias("root")).filter("root LIKE 'nation:%' OR root LIKE 'supplier:%'"))
+
+
 @query("edges_pruned", "SELECT src, dst, rel_type FROM kb_edges e WHERE rel_type <> 'belongs_to' OR split_part(src, ':', 2)::BIGINT IN (SELECT document_id FROM kb_grants WHERE principal = '*team*')")
 def edges_pruned(spark, sf_dir):
     e = kb.edges(spark, sf_dir).withColumn("doc", F.when(F.col("rel_type") == "belongs_to", F.split_part("src", F.lit(":"), F.lit(2)).cast("long")))
