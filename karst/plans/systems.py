@@ -155,10 +155,10 @@ def code_search(spark, sf_dir):
     return systems.code_hits(_files(spark, sf_dir), _projects(spark, sf_dir), "License", [".env"], ["*.py", "*.md"]).select("document_id", "path", "project")
 
 
-@query("project_search", "SELECT n_nationkey::BIGINT AS project_id, n_name AS name FROM nation WHERE contains(lower(n_name), 'an') ORDER BY n_regionkey DESC, project_id LIMIT 10")
+@query("project_search", "SELECT n_nationkey::BIGINT AS project_id, n_name AS name FROM nation WHERE contains(lower(n_name), 'ion_1') ORDER BY n_regionkey DESC, project_id LIMIT 10")
 def project_search(spark, sf_dir):
     p = _projects(spark, sf_dir).join(kb.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("project_id"), "n_regionkey"), "project_id")
-    return systems.searched(p, [F.col("n_regionkey").desc(), F.col("project_id")], 10, contains={"name": "AN"}).select("project_id", "name")
+    return systems.searched(p, [F.col("n_regionkey").desc(), F.col("project_id")], 10, contains={"name": "ION_1"}).select("project_id", "name")
 
 
 @query("file_contents", "SELECT document_id, CASE WHEN document_id % 3 = 0 THEN 'binary' ELSE 'utf8' END AS format, CASE WHEN document_id % 3 = 0 THEN 'binary, ' || (strlen(text) + 1) || ' bytes' ELSE text END AS content FROM kb_documents")
@@ -262,10 +262,13 @@ def queue_arns(spark, sf_dir):
     return kb.table(spark, sf_dir, "events").select(systems.queue_arn(url, "us-east-1").alias("arn")).distinct()
 
 
-@query("mapping_fields", "SELECT * FROM (VALUES ('level', 'string'), ('tags', 'nested'), ('tags.n', 'bigint'), ('tags.name', 'string'), ('ts', 'timestamp'), ('user.id', 'bigint')) t(path, type)")
+@query("mapping_fields", """SELECT DISTINCT path, type FROM kb_logs, (VALUES ('level', 'string', ''), ('tags', 'nested', ''), ('tags.n', 'bigint', ''), ('tags.name', 'string', ''), ('user.id', 'bigint', ''), ('user.purchase.id', 'bigint', 'purchase'), ('user.error.id', 'bigint', 'error')) t(path, type, needs) WHERE needs IN ('', level)""")
 def mapping_fields(spark, sf_dir):
-    e = kb.logs(spark, sf_dir).select("ts", "level", F.struct(F.col("user_id").alias("id")).alias("user"), F.array(F.struct(F.col("level").alias("name"), F.col("event_id").alias("n"))).alias("tags"))
-    return spark.createDataFrame(values.flat_fields(e.schema), "path string, type string")
+    """Of log rows as JSON, with a field that rows of each of two levels have."""
+    of = lambda level: F.when(F.col("level") == level, F.struct(F.col("user_id").alias("id")))
+    user = F.struct(F.col("user_id").alias("id"), of("purchase").alias("purchase"), of("error").alias("error"))
+    tags = F.array(F.struct(F.col("level").alias("name"), F.col("event_id").alias("n")))
+    return values.mapped_fields(kb.logs(spark, sf_dir), F.to_json(F.struct("level", user.alias("user"), tags.alias("tags"))))
 
 
 @query("total_lag", 'SELECT topic, sum(greatest(high - low - 5, 0))::BIGINT AS lag FROM (SELECT topic, partition, min("offset") AS low, max("offset") + 1 AS high FROM kb_messages GROUP BY ALL) GROUP BY topic')
@@ -431,10 +434,10 @@ def embed_inputs(spark, sf_dir):
 # --------------------------------------------------------------------------- statements and evidence
 
 
-@query("entity_by_type_name", "SELECT 'nation:' || n_nationkey AS id, d.title FROM nation LEFT JOIN kb_documents d ON d.document_id = n_nationkey AND d.deleted_at IS NULL WHERE n_name = 'FRANCE' OR n_name = 'CHINA'")
+@query("entity_by_type_name", "SELECT 'nation:' || n_nationkey AS id, d.title FROM nation LEFT JOIN kb_documents d ON d.document_id = n_nationkey AND d.deleted_at IS NULL WHERE n_name = 'NATION_3' OR n_name = 'NATION_17'")
 def entity_by_type_name(spark, sf_dir):
     e = kb.table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("id"), F.lit("nation").alias("entity_type"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("document_id"))
-    found = e.filter((F.col("entity_type") == "nation") & F.lower("name").isin("france", "china"))
+    found = e.filter((F.col("entity_type") == "nation") & F.lower("name").isin("nation_3", "nation_17"))
     return found.join(kb.documents(spark, sf_dir).filter("deleted_at IS NULL").select("document_id", "title"), "document_id", "left").select("id", "title")
 
 

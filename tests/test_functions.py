@@ -101,6 +101,15 @@ def test_markdown_of_nested_elements(spark):
     assert [g for g, in got] == [*cases.values(), None]
 
 
+def test_mappings(spark):
+    bodies = ['{"a": {"b": 1, "c": [{"d": "x"}]}, "f g": 1}', '{"a": {"b": 2.5}, "z": [1, 2], "m": 1}', '{"m": "text"}', "not JSON", None]
+    rows = spark.createDataFrame([(b,) for b in bodies], "b string")
+    got = {r.path: r.type for r in val.mapped_fields(rows, F.col("b")).collect()}
+    assert {k: got[k] for k in ("a.c", "a.c.d", "z", "m", "f g")} == {"a.c": "nested", "a.c.d": "string", "z": "bigint", "m": "variant", "f g": "bigint"} and got["a.b"].startswith("decimal")
+    assert {r.path for r in val.mapped_fields(rows, F.col("b"), "a.").collect()} == {"a.b", "a.c", "a.c.d"}
+    assert val.mapped_fields(rows.filter("b IS NULL"), F.col("b")).collect() == []
+
+
 def test_texts_of_trees(spark):
     text = lambda t: {"type": "text", "text": t}
     nested = {"type": "doc", "content": [{"type": "bulletList", "content": [{"type": "listItem", "content": [text("a"), {"type": "text", "text": 7}]}]}, [[text("b")]], {"type": "mention", "text": "no"}, text("c")]}
