@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions import values
-from karst.functions.text import matches_glob
+from karst.functions.text import glob_regex, matches_glob
 
 from .tools import decoded, looks_binary, newest, tail
 
@@ -107,3 +107,34 @@ def queue_arn(url: Column, region: str) -> Column:
     own = F.nullif(F.regexp_extract(part(1), r"^(?:sqs\.)?([a-z]{2}(?:-[a-z]+)+-\d)\.", 1), F.lit(""))
     cloud = F.when(part(1).endswith(".amazonaws.com.cn"), "aws-cn").otherwise("aws")
     return F.when(part(3) != "", F.concat_ws(":", F.lit("arn"), cloud, F.lit("sqs"), F.coalesce(own, F.lit(region)), part(2), part(3)))
+
+
+def topic_attributes(rows: DataFrame, attributes: str) -> DataFrame:
+    """Typed attributes of topics (arn, map of strings): a delivery policy that isn't JSON is null, as is a count that is no
+    number or isn't told."""
+    a = F.col(attributes)
+    policy = F.nullif(a["EffectiveDeliveryPolicy"], F.lit(""))
+    return rows.select(
+        F.coalesce(F.nullif(a["TopicArn"], F.lit("")), F.col("arn")).alias("arn"),
+        F.regexp_extract("arn", "[^/:]*$", 0).alias("name"),
+        F.nullif(a["DisplayName"], F.lit("")).alias("display_name"),
+        *[values.counted(a[f"Subscriptions{k.title()}"]).alias(k) for k in ("confirmed", "pending", "deleted")],
+        F.coalesce(values.flag(a["FifoTopic"]), F.lit(False)).alias("fifo"),
+        F.when(F.try_parse_json(policy).isNotNull(), policy).alias("delivery_policy"),
+    )
+
+
+#: The states of a consumer group.
+GROUP_STATES = ("PreparingRebalance", "CompletingRebalance", "Stable", "Dead", "Empty", "Unknown")
+
+
+def consumer_groups(groups: DataFrame, pattern: str = "*", states: Sequence[str] = (), limit: int = 20) -> DataFrame:
+    """The first `limit` groups (group, state, ...) by name whose name, in its case, fits a glob and whose state is one of
+    `states` (any without one), each with `more`: how many beyond the limit fit too."""
+    unknown = [s for s in states if s not in GROUP_STATES]
+    if unknown or limit < 1:
+        raise ValueError(f"no state {unknown[0]}" if unknown else "a limit is positive")
+    found = groups.filter(F.col("group").rlike(glob_regex(pattern)))
+    found = found.filter(F.col("state").isin(list(states))) if states else found
+    n = found.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("more"))
+    return found.orderBy("group").limit(limit).crossJoin(F.broadcast(n))  # one row

@@ -108,6 +108,16 @@ def hybrid_filtered(spark, sf_dir):
     return fused.join(kb.documents(spark, sf_dir).select("document_id", "title"), "document_id").orderBy(F.col("rrf_score").desc(), "document_id").limit(20)
 
 
+@query("code_search_granted", f"""{_SCORED}, {_WORDS}, {_LEGS.format(where="source_type = 'gitlab'")}, t AS (SELECT document_id, rrf_score FROM f ORDER BY rrf_score DESC, document_id LIMIT 20)
+SELECT t.document_id, rrf_score, d.source_uri FROM t JOIN kb_documents d USING (document_id) WHERE EXISTS (SELECT 1 FROM kb_grants g WHERE g.document_id = t.document_id AND principal IN ('u1', '*team*'))""")
+def code_search_granted(spark, sf_dir):
+    """The twenty best of the code host, without those that the caller may not read."""
+    d = kb.documents(spark, sf_dir)
+    fused = search.fuse(_legs(spark, sf_dir, F.col("source_type") == "gitlab"), "document_id", top=20)
+    may = grounding.permitted(fused, kb.grants(spark, sf_dir), d, ["u1", "*team*"])
+    return may.join(d.select("document_id", "source_uri"), "document_id").select("document_id", "rrf_score", "source_uri")
+
+
 @query("hash_bucket_embedding", """SELECT doc_id, ('0x' || substr(sha256(lower(word)), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) GROUP BY ALL""")
 def hash_bucket_embedding(spark, sf_dir):
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")

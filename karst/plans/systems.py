@@ -271,6 +271,28 @@ def mapping_fields(spark, sf_dir):
     return values.mapped_fields(kb.logs(spark, sf_dir), F.to_json(F.struct("level", user.alias("user"), tags.alias("tags"))))
 
 
+@query("topic_attributes", f"""SELECT 'arn:aws:sns:eu-west-1:1:topic-' || user_id AS arn, 'topic-' || user_id AS name, CASE WHEN user_id % 3 > 0 THEN 'Topic ' || user_id END AS display_name, CASE WHEN user_id % 7 > 0 THEN count(*) END AS confirmed,
+  count(*) FILTER (event_type = 'error') AS pending, NULL::BIGINT AS deleted, user_id % 2 = 0 AS fifo, CASE WHEN user_id % 5 > 0 THEN '{{"retries": ' || user_id || '}}' END AS delivery_policy FROM events GROUP BY user_id""")
+def topic_attributes(spark, sf_dir):
+    u = F.col("user_id")
+    n = kb.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e"))
+    policy = F.when(u % 5 > 0, F.format_string('{"retries": %d}', u)).otherwise("{broken")
+    pairs = {"DisplayName": F.when(u % 3 > 0, F.concat(F.lit("Topic "), u)).otherwise(""), "SubscriptionsConfirmed": F.when(u % 7 > 0, F.col("n").cast("string")).otherwise("many"), "SubscriptionsPending": F.col("e").cast("string"), "FifoTopic": F.when(u % 2 == 0, "true").otherwise("false"), "EffectiveDeliveryPolicy": policy}
+    return systems.topic_attributes(n.select(F.concat(F.lit("arn:aws:sns:eu-west-1:1:topic-"), u).alias("arn"), F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]).alias("a")), "a")
+
+
+_GROUPS = """g AS (SELECT 'svc' || (user_id % 30) || '-' || event_type AS "group", CASE WHEN count(*) % 3 = 0 THEN 'Empty' WHEN count(*) % 3 = 1 THEN 'Stable' ELSE 'Dead' END AS state, count(DISTINCT user_id) AS members FROM events GROUP BY 1),
+f AS (SELECT * FROM g WHERE "group" LIKE 'svc%-p%' AND state IN ('Stable', 'Empty'))"""
+
+
+@query("consumer_groups", f'{_GROUPS} SELECT "group", state, members, greatest((SELECT count(*) FROM f) - 5, 0) AS more FROM f ORDER BY "group" LIMIT 5')
+def consumer_groups(spark, sf_dir):
+    n = F.count(F.lit(1)) % 3
+    name = F.concat(F.lit("svc"), F.col("user_id") % 30, F.lit("-"), F.col("event_type")).alias("group")
+    g = kb.table(spark, sf_dir, "events").groupBy(name).agg(F.when(n == 0, "Empty").when(n == 1, "Stable").otherwise("Dead").alias("state"), F.count_distinct("user_id").alias("members"))
+    return systems.consumer_groups(g, "svc*-p*", ["Stable", "Empty"], 5)
+
+
 @query("total_lag", 'SELECT topic, sum(greatest(high - low - 5, 0))::BIGINT AS lag FROM (SELECT topic, partition, min("offset") AS low, max("offset") + 1 AS high FROM kb_messages GROUP BY ALL) GROUP BY topic')
 def total_lag(spark, sf_dir):
     marks = events.watermarks(kb.messages(spark, sf_dir))
