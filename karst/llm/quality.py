@@ -245,9 +245,9 @@ def _starts(rows: DataFrame) -> DataFrame:
     return sums.mapInPandas(start, FIT)
 
 
-def fits(rows: DataFrame, scratch: Scratch, steps: int = 20, h: float = 0.5, within: float = 0.999, still: float = 0.01) -> DataFrame:
+def fits(rows: DataFrame, scratch: Scratch, steps: int = 100, h: float = 0.5, within: float = 0.999, still: float = 0.01) -> DataFrame:
     """A fit for each language and source, for each language, and for all rows. Concentration steps go on until no log of a
-    determinant changes by more than `still`, or there were `steps` of them."""
+    determinant changes by more than `still`; if `steps` of them don't come to that, it is an error, not a result."""
     own = rows.filter(~F.col("base_failed")).select("lang", "source", "v")
     none = F.lit(None).cast("string")
     unit = lambda lang, source, level: F.struct(lang.alias("u_lang"), source.alias("u_source"), F.lit(level).alias("level"))
@@ -260,6 +260,8 @@ def fits(rows: DataFrame, scratch: Scratch, steps: int = 20, h: float = 0.5, wit
         scratch.drop(f"fit{k}")
         if not moved:
             break
+    else:
+        raise RuntimeError(f"the fits still move after {steps} steps")
     best = now.groupBy(*UNIT[:3]).agg(F.min_by(F.struct("start", "n", "mu", "w", "logdet"), F.struct("logdet", "start")).alias("b")).select(*UNIT[:3], "b.*")
     return scratch.write(_step(units, best, None, chi2_quantile(within, P)), "fit")
 
