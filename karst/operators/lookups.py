@@ -98,6 +98,19 @@ def resource_name(address: Column) -> Column:
     return F.regexp_extract(address, "[^/:]*$", 0)
 
 
+# --------------------------------------------------------------------------- documents
+
+
+def reassembled(chunks: DataFrame, most: int = 20_000, by: str = "\n\n") -> DataFrame:
+    """document_id, chunks, body (its chunks in order, cut to `most` characters), truncated and a warning where it is cut."""
+    if not 500 <= most <= 100_000:
+        raise ValueError("most is from 500 to 100,000")
+    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "content")))
+    whole = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.array_join(F.transform(parts, lambda x: x["content"]), by).alias("__body"))
+    cut = F.length("__body") > most
+    return whole.select("document_id", "chunks", F.substring("__body", 1, most).alias("body"), cut.alias("truncated"), F.when(cut, F.lit(f"content truncated at {most} chars")).alias("warning"))
+
+
 # --------------------------------------------------------------------------- answers
 
 

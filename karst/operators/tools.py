@@ -71,10 +71,18 @@ def truncated(text: Column, most: int) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*tries))
 
 
-def decoded(value: Column) -> Column:
-    """Bytes as a struct (format, text): utf8, or base64 for what isn't UTF-8."""
-    ok = F.is_valid_utf8(value.cast("string"))
-    return F.when(value.isNotNull(), F.struct(F.when(ok, "utf8").otherwise("base64").alias("format"), F.when(ok, value.cast("string")).otherwise(F.concat(F.lit("base64:"), F.base64(value))).alias("text")))
+def decoded(value: Column, fmt: str = "auto", partial: bool = False) -> Column:
+    """Bytes as a struct (format, text): json for the text of an object or array, utf8 for other text, or base64 for what isn't
+    UTF-8. fmt: auto or json, utf8 (no look for JSON), or base64 for all. partial: the value was cut off, so up to three bytes
+    of a character at its end may go."""
+    if fmt not in ("auto", "json", "utf8", "base64"):
+        raise ValueError(f"no format {fmt}")
+    size = F.octet_length(value)
+    cuts = [value] + ([F.substring(value, F.lit(1), F.greatest(size - i, F.lit(0))) for i in (1, 2, 3)] if partial else [])
+    found = F.coalesce(*[F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")) for c in cuts]) if fmt != "base64" else F.lit(None).cast("string")
+    kind = F.substring(F.schema_of_variant(F.try_parse_json(found)), 1, 5)
+    label = F.when(kind.isin("OBJEC", "ARRAY"), "json").otherwise("utf8") if fmt in ("auto", "json") else F.lit("utf8")
+    return F.when(value.isNotNull(), F.struct(F.when(found.isNotNull(), label).otherwise("base64").alias("format"), F.coalesce(found, F.concat(F.lit("base64:"), F.base64(value))).alias("text")))
 
 
 def looks_binary(content: Column, first: int = 8000) -> Column:

@@ -175,6 +175,13 @@ def document_reassembled(spark, sf_dir):
     return kb.chunks(spark, sf_dir).groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"), F.array_join(F.transform(parts, lambda x: x["content"]), "\n\n").alias("body"))
 
 
+@query("document_capped", """w AS (SELECT conv_id AS document_id, count(*) AS chunks, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id)
+SELECT document_id, chunks, substr(body, 1, 500) AS body, length(body) > 500 AS truncated, CASE WHEN length(body) > 500 THEN 'content truncated at 500 chars' END AS warning FROM w""")
+def document_capped(spark, sf_dir):
+    c = kb.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"))
+    return lookups.reassembled(c, 500)
+
+
 @query("document_versions", "SELECT document_id, lang, row_number() OVER (PARTITION BY container, lang ORDER BY source_updated_at DESC, document_id DESC) AS version_rank, container FROM kb_documents WHERE deleted_at IS NULL QUALIFY version_rank <= 3")
 def document_versions(spark, sf_dir):
     w = W.partitionBy("container", "lang").orderBy(F.col("source_updated_at").desc(), F.col("document_id").desc())

@@ -50,6 +50,16 @@ def decode_values(spark, sf_dir):
     return kb.documents(spark, sf_dir).select("document_id", tools.decoded(value).alias("v")).select("document_id", "v.*")
 
 
+@query("decode_cut_values", """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'json' ELSE 'utf8' END AS format,
+  CASE turn % 3 WHEN 0 THEN '{"role":"' || role || '","turn":' || turn || '}' WHEN 1 THEN text ELSE '"' || turn || '"' END AS text FROM conversations""")
+def decode_cut_values(spark, sf_dir):
+    """Objects, texts that end in two bytes of a character of three, and a JSON value that is no object."""
+    t = F.col("turn")
+    cut = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("E282")))
+    value = F.when(t % 3 == 0, F.to_json(F.struct("role", "turn")).cast("binary")).when(t % 3 == 1, cut).otherwise(F.concat(F.lit('"'), t, F.lit('"')).cast("binary"))
+    return kb.table(spark, sf_dir, "conversations").select("conv_id", "turn", tools.decoded(value, partial=True).alias("v")).select("conv_id", "turn", "v.*")
+
+
 @query("wrapped_texts", """SELECT item_id, '<untrusted-content source="bench" id="' || item_id || '">' || chr(10) || text || chr(10) || '</untrusted-content>' AS framed FROM benchmark""")
 def wrapped_texts(spark, sf_dir):
     return kb.table(spark, sf_dir, "benchmark").select("item_id", tools.wrapped(F.col("text"), F.lit("bench"), F.col("item_id")).alias("framed"))
