@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from karst.functions import scores, values
 from karst.functions import text as txt
-from karst.operators import chunking, compilers, embedding, envelopes, evaluation, events, grounding, ingest, pipes, postings, search, systems, tools
+from karst.operators import chunking, compilers, embedding, envelopes, evaluation, events, grounding, ingest, issueql, pipes, postings, search, systems, tools
 from karst.sources import tables as kb
 from karst.sources.shared import new_folder
 from karst.sources.snapshots import Store
@@ -567,6 +569,29 @@ def snapshot_runs(spark, sf_dir):
     return out
 
 
+# --------------------------------------------------------------------------- searches in their own languages
+
+
+def _ql_fields():
+    f = issueql.Field
+    labels = F.array("lang", "visibility")
+    return {"project": f(F.col("container")), "type": f(F.col("source_type")), "space": f(F.col("container")), "assignee": f(F.col("author")), "text": f(F.col("text"), "text"), "labels": f(labels, "list"), "label": f(labels, "list"), "updated": f(F.col("source_updated_at"), "time"), "lastmodified": f(F.col("source_updated_at"), "time"), "resolved": f(F.col("deleted_at"), "time"), "id": f(F.col("document_id"))}
+
+
+@query("jql_issues", f"""SELECT document_id, strftime(source_updated_at, {_AT}) AS at FROM kb_documents WHERE (container IN ('src0', 'src1') OR author = 'user3') AND visibility <> 'restricted' AND source_updated_at >= TIMESTAMP '2024-02-20' AND deleted_at IS NULL AND author <> 'user5' ORDER BY source_updated_at DESC, document_id LIMIT 100""")
+def jql_issues(spark, sf_dir):
+    text = 'project in (SRC0, "src1") AND assignee != user5 AND NOT labels = restricted AND updated >= -10d AND resolved is EMPTY OR assignee = currentUser() AND labels not in (restricted) AND updated > "2024-02-19 23:59" AND resolved = empty ORDER BY updated DESC, id'
+    found = issueql.searched_by(kb.documents(spark, sf_dir), text, _ql_fields(), "document_id", 100, now=datetime(2024, 3, 1, tzinfo=UTC), user="user3")
+    return found.select("document_id", _at("source_updated_at"))
+
+
+@query("cql_pages", r"""w AS (SELECT document_id, container, lang, source_updated_at, ' ' || list_aggregate(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 'string_agg', ' ') || ' ' AS t FROM kb_documents)
+SELECT document_id FROM w WHERE contains(t, ' mit license ') AND container <> 'src2' AND (lang = 'en' OR lang = 'de') ORDER BY source_updated_at DESC, document_id LIMIT 200""")
+def cql_pages(spark, sf_dir):
+    text = 'text ~ "\\"MIT license\\"" and space != src2 and (label = EN or label = de) order by lastmodified desc'
+    return issueql.searched_by(kb.documents(spark, sf_dir), text, _ql_fields(), "document_id", 200).select("document_id")
+
+
 # --------------------------------------------------------------------------- checks inside plans, and embedding
 
 
