@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.operators.folds import folded
 from karst.sources.shared import new_folder
 
+from .buckets import rate_limited_stream
+
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
     """A stream of the Parquet files under a folder, with ts as a UTC timestamp."""
@@ -39,43 +38,20 @@ def run_once(stream: DataFrame) -> DataFrame:
 
 
 def rate_limited(events: DataFrame, key: str, capacity: float, per_second: float) -> DataFrame:
-    """Adds allowed and retry_after (whole seconds) by a token bucket for each key, which refills with event time.
-
-    Works on streams and on batches; a key's events of a batch are taken in order of time. State is two numbers a key.
-    """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
-
-    def step(own: pd.DataFrame, level: float, last: float | None) -> tuple[pd.DataFrame, float, float | None]:
-        allowed, after = [], []
-        for t in own["ts"].astype("int64") / 1e9:
-            level = min(capacity, level + max(0.0, t - (t if last is None else last)) * per_second)
-            last = t if last is None else max(last, t)
-            allowed.append(level >= 1)
-            after.append(0 if level >= 1 else int(-(-(1 - level) // per_second)))
-            level -= level >= 1
-        return own.assign(allowed=allowed, retry_after=after), level, last
-
-    out = f"{fields}, allowed boolean, retry_after int"
-    if not events.isStreaming:
-
-        def one(state, micros):
-            level, last = state
-            t = micros / 1e6
-            level = min(capacity, level + max(0.0, t - (t if last is None else last)) * per_second)
-            ok = level >= 1
-            return (level - ok, t), (ok, 0 if ok else int(-(-(1 - level) // per_second)))
-
-        timed = events.withColumn("__t", F.unix_micros("ts"))
-        return folded(timed, [key], ["__t", "event_id"], ["__t"], (capacity, None), one, "allowed boolean, retry_after int").drop("__t")
-
-    def run(_, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        level, last = state.get if state.exists else (capacity, None)
-        own = pd.concat(list(batches)).astype({"ts": "datetime64[ns]"}).sort_values(["ts", "event_id"])
-        given, level, last = step(own, level, last)
-        state.update((level, last))
-        yield given
-
-    return events.groupBy(key).applyInPandasWithState(run, out, "level double, last double", "append", "NoTimeout")
+    """Adds allowed and retry_after (whole seconds) by a token bucket for each key, which refills with event time; a key's
+    events are taken in order of time. For a stream see rate_limited_stream."""
+    if events.isStreaming:
+        return rate_limited_stream(events, key, capacity, per_second)
+
+    def one(state, micros):
+        level, last = state
+        t = micros / 1e6
+        level = min(capacity, level + max(0.0, t - (t if last is None else last)) * per_second)
+        ok = level >= 1
+        return (level - ok, t), (ok, 0 if ok else int(-(-(1 - level) // per_second)))
+
+    timed = events.withColumn("__t", F.unix_micros("ts"))
+    return folded(timed, [key], ["__t", "event_id"], ["__t"], (capacity, None), one, "allowed boolean, retry_after int").drop("__t")
 
 
 def upsert_batches(changes: DataFrame, path: str, checkpoint: str, keys: list[str], order: str):
