@@ -578,10 +578,10 @@ def _ql_fields():
     return {"project": f(F.col("container")), "type": f(F.col("source_type")), "space": f(F.col("container")), "assignee": f(F.col("author")), "text": f(F.col("text"), "text"), "labels": f(labels, "list"), "label": f(labels, "list"), "updated": f(F.col("source_updated_at"), "time"), "lastmodified": f(F.col("source_updated_at"), "time"), "resolved": f(F.col("deleted_at"), "time"), "id": f(F.col("document_id"))}
 
 
-@query("jql_issues", f"""SELECT document_id, strftime(source_updated_at, {_AT}) AS at FROM kb_documents WHERE (container IN ('src0', 'src1') OR author = 'user3') AND visibility <> 'restricted' AND source_updated_at >= TIMESTAMP '2024-02-20' AND deleted_at IS NULL AND author <> 'user5' ORDER BY source_updated_at DESC, document_id LIMIT 100""")
+@query("jql_issues", f"""SELECT document_id, strftime(source_updated_at, {_AT}) AS at FROM kb_documents WHERE (container IN ('src0', 'src1') OR author = 'user3') AND visibility <> 'restricted' AND source_updated_at >= TIMESTAMP '2024-01-08' AND deleted_at IS NULL AND author <> 'user5' ORDER BY source_updated_at DESC, document_id LIMIT 100""")
 def jql_issues(spark, sf_dir):
-    text = 'project in (SRC0, "src1") AND assignee != user5 AND NOT labels = restricted AND updated >= -10d AND resolved is EMPTY OR assignee = currentUser() AND labels not in (restricted) AND updated > "2024-02-19 23:59" AND resolved = empty ORDER BY updated DESC, id'
-    found = issueql.searched_by(kb.documents(spark, sf_dir), text, _ql_fields(), "document_id", 100, now=datetime(2024, 3, 1, tzinfo=UTC), user="user3")
+    text = 'project in (SRC0, "src1") AND assignee != user5 AND NOT labels = restricted AND updated >= -10d AND resolved is EMPTY OR assignee = currentUser() AND labels not in (restricted) AND updated > "2024-01-07 23:59" AND resolved = empty ORDER BY updated DESC, id'
+    found = issueql.searched_by(kb.documents(spark, sf_dir), text, _ql_fields(), "document_id", 100, now=datetime(2024, 1, 18, tzinfo=UTC), user="user3")
     return found.select("document_id", _at("source_updated_at"))
 
 
