@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karst.functions.text import content_hash, matches_glob, redact_shapes
+from karst.functions.text import content_hash, matches_glob, redacted
 from karst.sources.snapshots import Store
 
 KEY = ["source_type", "source_id"]
@@ -19,8 +19,8 @@ KEY = ["source_type", "source_id"]
 def gated(crawled: DataFrame, deny: Sequence[str] = ()) -> DataFrame:
     """Adds blocked (why a document must not be stored, else null), redacts text, counts redactions and hashes it."""
     reason = F.when(~F.col("visibility").eqNullSafe("team"), "restricted").when(matches_glob(F.col("source_uri"), list(deny)), "denied path")
-    text, n = redact_shapes(F.col("text"))
-    return crawled.withColumn("blocked", reason).withColumn("redactions", F.when(reason.isNull(), n).otherwise(0)).withColumn("text", F.when(reason.isNull(), text)).withColumn("content_hash", content_hash(F.col("text")))
+    found = crawled.withColumn("blocked", reason).withColumn("__r", F.when(F.col("blocked").isNull(), redacted(F.col("text"))))  # patterns run once a row
+    return found.withColumns({"redactions": F.coalesce("__r.count", F.lit(0)), "text": F.col("__r.text"), "content_hash": content_hash(F.col("__r.text"))}).drop("__r")
 
 
 def compared(crawled: DataFrame, stored: DataFrame, config: str) -> DataFrame:

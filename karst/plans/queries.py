@@ -373,8 +373,8 @@ _LABELLED_RE2 = txt.LABELLED.replace("'", "''")
 
 @query("redact_fixed_shapes", f"""SELECT document_id, sha256(regexp_replace(text, '{_LABELLED_RE2}', '\\1=«redacted:credential»', 'g')) AS redacted, len(regexp_extract_all(text, '{_LABELLED_RE2}'))::BIGINT AS n FROM kb_documents""")
 def redact_fixed_shapes(spark, sf_dir):
-    text, n = txt.redact_shapes(F.col("text"))
-    return kb.documents(spark, sf_dir).select("document_id", txt.content_hash(text).alias("redacted"), n.cast("long").alias("n"))
+    found = kb.documents(spark, sf_dir).select("document_id", txt.redacted(F.col("text")).alias("r"))
+    return found.select("document_id", txt.content_hash(F.col("r.text")).alias("redacted"), F.col("r.count").cast("long").alias("n"))
 
 
 @query("scrub_entropy")
