@@ -176,3 +176,25 @@ def hashed(size: int = 64, **options) -> Provider:
         return lambda texts: np.array([one(t) for t in texts])
 
     return Provider(options.pop("model_id", f"hashed-{size}"), size, load, **options)
+
+
+def word_buckets(rows: DataFrame, key: str, words: Column, size: int = 64) -> DataFrame:
+    """key, bucket, n: how many of a key's words (an array) have a digest whose first four bytes fall on a bucket.
+
+    Words are hashed where their row is, each different one of a batch once, so that only counts are shuffled. Null arrays have
+    no words; rows with equal keys count together.
+    """
+
+    def count(batches):
+        for b in batches:
+            lists = b.column("__words")
+            words = lists.flatten().dictionary_encode()
+            place = np.array([int.from_bytes(hashlib.sha256(w.encode()).digest()[:4], "big") % size for w in words.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            n = np.bincount(row * size + place[words.indices.to_numpy()], minlength=b.num_rows * size)
+            cell = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(cell // size)), pa.array(cell % size), pa.array(n[cell])], [key, "bucket", "n"])
+
+    long = T.LongType()
+    schema = T.StructType([rows.schema[key], T.StructField("bucket", long), T.StructField("n", long)])
+    return rows.select(key, words.alias("__words")).mapInArrow(count, schema).groupBy(key, "bucket").agg(F.sum("n").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import scores
 from karst.functions import text as txt
-from karst.operators import ann, chunking, evaluation, events, graph, grounding, ingest, lookups, search
+from karst.operators import ann, chunking, embedding, evaluation, events, graph, grounding, ingest, lookups, search
 from karst.sources import tables as kb
 from karst.sources.shared import new_folder
 from karst.streaming import windows
@@ -120,10 +120,8 @@ def code_search_granted(spark, sf_dir):
 
 @query("hash_bucket_embedding", """SELECT doc_id, ('0x' || substr(sha256(lower(word)), 1, 8))::BIGINT % 64 AS bucket, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents) GROUP BY ALL""")
 def hash_bucket_embedding(spark, sf_dir):
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")
-    w = kb.table(spark, sf_dir, "documents").select("doc_id", word).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("k"))
-    bucket = F.conv(F.substring(F.sha2("word", 256), 1, 8), 16, 10).cast("long") % 64
-    return w.groupBy("doc_id", bucket.alias("bucket")).agg(F.sum("k").alias("n"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    return embedding.word_buckets(kb.table(spark, sf_dir, "documents"), "doc_id", words)
 
 
 @query("ann_topk")

@@ -1,6 +1,11 @@
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from karst.operators import embedding, envelopes
+from karst.plans import queries as plans  # noqa: F401
+from karst.plans.registry import QUERIES
 from karst.sources.shared import new_folder
 from karst.sources.snapshots import Store
 from pyspark.sql import functions as F
@@ -97,3 +102,14 @@ def test_envelope_rules(spark, rule, results, items, citations):
             envelopes.enforced(*tables).collect()
     else:
         assert sorted(r.call for r in envelopes.enforced(*tables).collect()) == [1, 2, 3]
+
+
+def test_buckets_of_words_shuffle_counts_only(spark):
+    """Words were shuffled with their documents before they were hashed."""
+    rows = [(1, ["a", "b", "a"]), (2, None), (3, []), (1, ["a"]), (None, ["a", "é"])]
+    found = embedding.word_buckets(spark.createDataFrame(rows, "id long, w array<string>"), "id", F.col("w"))
+    want = Counter((i, int(hashlib.sha256(x.encode()).hexdigest()[:8], 16) % 64) for i, w in rows for x in w or [])
+    assert {(r.id, r.bucket): r.n for r in found.collect()} == want
+    assert embedding.word_buckets(spark.createDataFrame([], "id long, w array<string>"), "id", F.col("w")).collect() == []
+    plan = QUERIES["hash_bucket_embedding"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "word" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
