@@ -4,28 +4,56 @@ Postings are dealt out in ranges of (word, key), so a word that many documents h
 by word in them, so that a search reads the row groups of the words asked for only (their statistics are kept by the file
 format), never a text. A search gives the rows and ranks of keyword_search; phrases are found by positions.
 
-Rows with a null text or key are left out, an empty text has no words. Rows with equal keys are one document, whose words follow each other in no certain order, so keys
-should be unique. An empty table gives an index that finds nothing.
+Rows with a null text or key are left out, an empty text has no words. Rows with equal keys are one document to a search, which
+puts their postings together; their words stand over each other, so keys should be unique. An empty table gives an index that finds nothing.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from karst.operators.search import tokens, websearch
+from karst.sources.shared import place, put
+
+
+def _by_word(batches):
+    """Of rows (key, t): key, words (how many), terms (each different word) and positions (where each stands, in order)."""
+    for b in batches:
+        lists = b.column("t")
+        words = lists.flatten().dictionary_encode()
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(b.num_rows), n)
+        position = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+        both = row * max(1, len(words.dictionary)) + words.indices.to_numpy()
+        order = np.argsort(both, kind="stable")
+        first = np.flatnonzero(np.diff(both[order], prepend=-1))
+        terms = words.dictionary.take(words.indices.take(pa.array(order[first])))
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array(position[order], pa.int32()))
+        of_row = pa.array(np.searchsorted(row[order[first]], np.arange(b.num_rows + 1)), pa.int32())
+        own = [b.column("key"), pa.array(n, pa.int32()), pa.ListArray.from_arrays(of_row, terms), pa.ListArray.from_arrays(of_row, positions)]
+        yield pa.RecordBatch.from_arrays(own, ["key", "words", "terms", "positions"])
 
 
 def build(rows: DataFrame, text: str, key: str, folder: str, parts: int | None = None) -> None:
-    """Writes folder/postings (term, key, positions) and folder/documents (key, words)."""
+    """Writes folder/postings (term, key, positions) and folder/documents (key, words).
+
+    Texts are cut into words once, into a table of each row's words that goes when the index is there.
+    """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), tokens(F.col(text)).alias("t"))
-    cut.select("key", F.size("t").alias("words")).write.option("compression", "zstd").parquet(f"{folder}/documents")
-    at = cut.select("key", F.posexplode("t").alias("position", "term"))
-    dealt = at.repartitionByRange(parts, "term", "key")  # grouping by both needs no other exchange
-    postings = dealt.groupBy("term", "key").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    postings.sortWithinPartitions("term", "key").write.options(**{"compression": "zstd", "parquet.block.size": str(8 << 20)}).parquet(f"{folder}/postings")
+    schema = T.StructType([cut.schema["key"], *T.StructType.fromDDL("words int, terms array<string>, positions array<array<int>>").fields])
+    by_row = put(cut.mapInArrow(_by_word, schema), f"{folder}/rows")
+    by_row.select("key", "words").write.option("compression", "zstd").parquet(f"{folder}/documents")
+    postings = by_row.select("key", F.inline(F.arrays_zip("terms", "positions")).alias("term", "positions")).select("term", "key", "positions")
+    dealt = postings.repartitionByRange(parts, "term", "key").sortWithinPartitions("term", "key")
+    dealt.write.options(**{"compression": "zstd", "parquet.block.size": str(8 << 20)}).parquet(f"{folder}/postings")
+    fs, where = place(spark, f"{folder}/rows")
+    fs.delete(where, True)
 
 
 def opened(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +79,7 @@ def occurrences(lists: list[Column]) -> Column:
 
 def asked(postings: DataFrame, words: list[str]) -> DataFrame:
     """key and found (positions by word) of the documents that have any of the words; reads those words' postings only."""
-    hits = postings.filter(F.col("term").isin(words))
+    hits = postings.filter(F.col("term").isin(words)).groupBy("key", "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))  # rows with equal keys
     return hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("found"))
 
 

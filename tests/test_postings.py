@@ -41,3 +41,22 @@ def test_live_keys_and_nothing(spark, rows, folder):
     path = new_folder(spark, "t")
     postings.build(rows.limit(0), "text", "id", path)
     assert postings.search(spark, path, "mit or -the", 5).collect() == []
+
+
+def test_texts_are_read_once_and_equal_keys_are_one(spark):
+    """They were cut into words three times: for their lengths, for the bounds of ranges, and for the postings."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    path = new_folder(spark, "t")
+    rows = spark.createDataFrame([(1, "a b a"), (1, "b"), (2, ""), (3, None), (None, "a"), (4, "é B")], "id long, text string").mapInArrow(seen, "id long, text string")
+    postings.build(rows, "text", "id", path)
+    assert read.value == 6
+    found, documents = postings.opened(spark, path)
+    assert sorted((r.term, r.key, list(r.positions)) for r in found.collect()) == [("a", 1, [0, 2]), ("b", 1, [0]), ("b", 1, [1]), ("b", 4, [1]), ("é", 4, [0])]
+    assert sorted((r.key, r.words) for r in documents.collect()) == [(1, 1), (1, 3), (2, 0), (4, 2)]
+    assert [(r["key"], r.found["b"]) for r in postings.asked(found, ["b"]).orderBy("key").collect()] == [(1, [0, 1]), (4, [1])]
